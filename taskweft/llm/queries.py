@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taskweft.llm import op7_token_counts, op9_media
+from taskweft.llm import op5_minhash, op7_token_counts, op8_pieces, op9_media
 from taskweft.sources import table
 
-#: Name of the vocabulary file; its folder is found at run time.
+#: Names of the vocabulary files; their folder is found at run time.
 WORD_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,17 +20,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, rows=7)
+
+
 def op7_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
 
+def op8_pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_pieces.encode_and_check(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+
+
 def op9_media_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_media.media_features(op9_media.store_texts(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_minhash": op5_minhash_query,
         "op7_token_counts": op7_token_counts_query,
+        "op8_pieces": op8_pieces_query,
         "op9_media_columns": op9_media_query,
     }
 
