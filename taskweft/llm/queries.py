@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taskweft.llm import op5_minhash, op7_token_counts, op8_pieces, op9_media
+from taskweft.llm import op1_grid_join, op5_minhash, op7_token_counts, op8_pieces, op9_media
 from taskweft.sources import table
 
 #: Names of the vocabulary files; their folder is found at run time.
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_grid_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_grid_join.linked_vectors(table(spark, sf_dir, "embeddings"), min_cosine=0.95)
+
+
 def op5_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, rows=7)
 
@@ -38,6 +42,7 @@ def op9_media_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_grid_join": op1_grid_join_query,
         "op5_minhash": op5_minhash_query,
         "op7_token_counts": op7_token_counts_query,
         "op8_pieces": op8_pieces_query,
