@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taskweft.llm import op1_grid_join, op5_minhash, op7_token_counts, op8_pieces, op9_media
+from taskweft.llm import op1_grid_join, op4_quality, op5_minhash, op7_token_counts, op8_pieces, op9_media
 from taskweft.sources import table
 
 #: Names of the vocabulary files; their folder is found at run time.
@@ -24,6 +24,16 @@ def op1_grid_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_grid_join.linked_vectors(table(spark, sf_dir, "embeddings"), min_cosine=0.95)
 
 
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def op4_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = op4_quality.train(docs, labels, training=lambda doc_id: ~held_out(doc_id))
+    return op4_quality.score_documents(docs, machine).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, rows=7)
 
@@ -43,6 +53,7 @@ def op9_media_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_grid_join": op1_grid_join_query,
+        "op4_quality": op4_quality_query,
         "op5_minhash": op5_minhash_query,
         "op7_token_counts": op7_token_counts_query,
         "op8_pieces": op8_pieces_query,
