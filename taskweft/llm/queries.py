@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taskweft.llm import op1_grid_join, op4_quality, op5_minhash, op7_token_counts, op8_pieces, op9_media
+from taskweft.llm import op1_grid_join, op3_url_trust, op4_quality, op5_minhash, op7_token_counts, op8_pieces, op9_media, op10_line_dedup
 from taskweft.sources import table
 
 #: Names of the vocabulary files; their folder is found at run time.
@@ -24,6 +24,10 @@ def op1_grid_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_grid_join.linked_vectors(table(spark, sf_dir, "embeddings"), min_cosine=0.95)
 
 
+def op3_url_trust_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_url_trust.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
@@ -50,16 +54,30 @@ def op9_media_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_media.media_features(op9_media.store_texts(table(spark, sf_dir, "documents")))
 
 
+#: A line is boilerplate on more than this share of its host's pages, and on so many pages at least.
+LINE_RATIO, LINE_PAGES = 0.1, 4
+
+
+def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op10_line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), LINE_RATIO, LINE_PAGES, count_col="n_dropped")
+    return out.select("doc_id", "n_dropped", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_grid_join": op1_grid_join_query,
+        "op3_url_trust": op3_url_trust_query,
         "op4_quality": op4_quality_query,
         "op5_minhash": op5_minhash_query,
         "op7_token_counts": op7_token_counts_query,
         "op8_pieces": op8_pieces_query,
         "op9_media_columns": op9_media_query,
+        "op10_line_dedup": op10_line_dedup_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_url_trust": op3_url_trust.oracle(),
+        "op10_line_dedup": op10_line_dedup.oracle(LINE_RATIO, LINE_PAGES),
+    }
