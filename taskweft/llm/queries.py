@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taskweft.llm import op1_grid_join, op3_url_trust, op4_quality, op5_minhash, op7_token_counts, op8_pieces, op9_media, op10_line_dedup
+from taskweft.llm import op1_grid_join, op3_url_trust, op4_quality, op5_minhash, op6_secrets, op7_token_counts, op8_pieces, op9_media, op10_line_dedup
 from taskweft.sources import table
 
 #: Names of the vocabulary files; their folder is found at run time.
@@ -42,6 +42,10 @@ def op5_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, rows=7)
 
 
+def op6_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secrets.digest(op6_secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_trust": op3_url_trust_query,
         "op4_quality": op4_quality_query,
         "op5_minhash": op5_minhash_query,
+        "op6_secrets": op6_secrets_query,
         "op7_token_counts": op7_token_counts_query,
         "op8_pieces": op8_pieces_query,
         "op9_media_columns": op9_media_query,
