@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taskweft.llm import op1_grid_join, op3_url_trust, op4_quality, op5_minhash, op6_secrets, op7_token_counts, op8_pieces, op9_media, op10_line_dedup
+from taskweft.llm import op1_grid_join, op2_mixing, op3_url_trust, op4_quality, op5_minhash, op6_secrets, op7_token_counts, op8_pieces, op9_media, op10_line_dedup
 from taskweft.sources import table
 
 #: Names of the vocabulary files; their folder is found at run time.
@@ -24,6 +24,15 @@ def op1_grid_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_grid_join.linked_vectors(table(spark, sf_dir, "embeddings"), min_cosine=0.95)
 
 
+#: The mix's word shares by domain.
+MIX = {"good": 0.95, "low": 0.05, "toxic": 0.0}
+
+
+def op2_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op2_mixing.mixing_rates(docs, op2_mixing.train_domains(docs, table(spark, sf_dir, "labels")), MIX)
+
+
 def op3_url_trust_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_url_trust.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -70,6 +79,7 @@ def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_grid_join": op1_grid_join_query,
+        "op2_mixing": op2_mixing_query,
         "op3_url_trust": op3_url_trust_query,
         "op4_quality": op4_quality_query,
         "op5_minhash": op5_minhash_query,
