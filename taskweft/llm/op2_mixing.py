@@ -31,7 +31,7 @@ from taskweft.plans.scratch import Scratch
 DOMAINS = ("good", "low", "toxic")
 BUCKETS = 1 << 18
 #: Words that tell domains apart: at most so many, with at least this chi-square and so many rows.
-MAX_WORDS, MIN_CHI2, MIN_ROWS = 1024, 40.0, 5
+MAX_WORDS, MIN_CHI2, MIN_ROWS = 1024, 25.0, 5
 N_STATS = len(STATS) * LEVELS
 GRID = 1000
 _EDGES = b".,;:!?\"'()[]*$%&#|-"
@@ -163,7 +163,7 @@ class Steps:
         return r + beta * (r - before)
 
 
-def fit_rates(groups: DataFrame, weights: dict[str, float] | list[float], total: float | None = None, ridge: float = 3e-3, rounds: int = 80, tolerance: float = 1e-6) -> tuple[Steps, dict]:
+def fit_rates(groups: DataFrame, weights: dict[str, float] | list[float], total: float | None = None, ridge: float = 0.1, rounds: int = 80, tolerance: float = 1e-6) -> tuple[Steps, dict]:
     """Steps of the descent for (p, words); a table without words has none, so all rates stay 1.
 
     ``total`` is the mix's number of words; without it, the largest wanted domain keeps its own.
