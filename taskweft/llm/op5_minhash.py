@@ -3,17 +3,19 @@
 1. A document's words give its set of hashed word shingles.  One hash permutation cut into ``bins`` equal
    ranges gives one minimum a bin; an empty bin takes the value of the first filled bin in a probing order
    of its own (optimal densification).  Documents with equal sets form one class, whose smallest id goes on.
-2. Bands of ``rows`` bins are hashed to buckets.  In each bucket one centre is chosen, the member that
-   shares the most buckets with others, and each other member is paired with it: a star, so a bucket of n
-   gives n - 1 candidate pairs.  Pairs whose set sizes rule the threshold out are dropped.
+2. Bands of ``rows`` bins are hashed to buckets.  In each bucket one centre is elected, the member that
+   meets the most others in its buckets (in every other band: the one with the smallest hash), and each
+   other member is paired with it: a star, so a bucket of n gives n - 1 candidate pairs.  Pairs whose set
+   sizes rule the threshold out are dropped.
 3. The candidates' full sets are compared, and the links are joined to components.
-4. A star can miss a link between two members that are not linked with the centre.  So in each bucket that
-   still holds more than one component, each component elects a further centre (in the same order), paired
-   only with members of the other components, until at most one component has members left that were no
-   centre.  No candidate pair of a bucket that could join two components is left out, and pairs within a
-   component are never made.
-
-Nothing is capped; sets, links and labels stay in distributed tables.
+4. A star can miss a link between two members that are not linked with its centre.  So for a few more
+   rounds each bucket elects a further centre, from the components that have had none there, and pairs it
+   with the members of all other components.  Pairs stay below ``stars`` times the bucket rows, whatever
+   the groups' sizes.  A pair at the threshold shares about a dozen buckets, and half of the bands elect by
+   hash instead of weight, so a link is lost only if no star of any of them, nor a path of other links,
+   joins its two ends.
+
+No bucket is capped and no member dropped; sets, links and labels stay in distributed tables.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from taskweft.plans.components import connected_components
 from taskweft.plans.scratch import Scratch
 
 BINS = 256
+#: Centres that a bucket elects, one a round.
+STARS = 4
 #: Words whose hashes a task remembers; the memo is emptied when it holds more.
 MEMO_WORDS = 400_000
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -153,7 +157,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, bins: int = BINS, stars: int = STARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``df``.
 
     Documents link when ``100 * |A & B| >= percent * |A | B|`` on their sets of ``words``-word shingles.
@@ -176,12 +180,12 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int
     )
     slots = classes.select("rep", "n", F.posexplode("bands").alias("band", "value"))
     sizes = scratch.cut(slots.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    shared = scratch.cut(slots.join(sizes, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "rep", "n", "size"))
+    shared = scratch.cut(slots.join(sizes, ["band", "value"]).select(F.shiftleft(F.shiftrightunsigned(F.xxhash64("band", "value"), 1), 1).bitwiseOR(F.col("band") % 2).alias("bucket"), "rep", "n", "size"))
     scratch.drop(sizes)
 
     # the more of its buckets' members a document meets, the more it is like an original of many copies
     weight = scratch.cut(shared.groupBy("rep").agg(F.sum("size").alias("weight")))
-    members = scratch.cut(shared.join(weight, "rep").select("bucket", "rep", "n", F.struct(-F.col("weight"), "rep").alias("turn")))
+    members = scratch.cut(shared.join(weight, "rep").select("bucket", "rep", "n", F.struct(F.when(F.col("bucket") % 2 == 0, -F.col("weight")).otherwise(F.xxhash64("rep", "bucket")).alias("by"), "rep").alias("turn")))
     sets = scratch.cut(full_sets(docs.join(weight.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", "text"), words).dropDuplicates(["doc_id"]))
     scratch.drop(shared, weight)
 
@@ -192,23 +196,17 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int
     links = scratch.cut(_confirm(pairs, sets, percent))
     labels = scratch.cut(connected_components(links, scratch, "a", "b"))
 
-    # further centres, where a bucket still holds several components
-    used = centres.select("bucket", F.col("c.rep").alias("rep"))
-    while True:
+    # further centres, where a bucket still holds components that have had none
+    elected = centres.select("bucket", F.col("c.rep").alias("rep"))
+    for _ in range(stars - 1):
         named = members.join(labels, members["rep"] == labels["id"], "left").select("bucket", "rep", "n", "turn", F.coalesce("component", "rep").alias("label"))
-        mixed = scratch.cut(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"))
-        waiting = scratch.cut(named.join(mixed, "bucket"))
-        unused = waiting.join(used, ["bucket", "rep"], "left_anti")
-        open_ = unused.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        lone = unused.groupBy("bucket", "label").agg(F.min("turn").alias("c"), F.min_by("n", "turn").alias("m"))
-        centres = scratch.cut(lone.join(open_, "bucket").withColumnRenamed("label", "other"))
-        scratch.drop(mixed)
+        served = elected.join(labels, elected["rep"] == labels["id"], "left").select("bucket", F.coalesce("component", "rep").alias("label"))
+        waiting = named.join(served, ["bucket", "label"], "left_anti")
+        centres = scratch.cut(waiting.groupBy("bucket").agg(F.min("turn").alias("c"), F.min_by("n", "turn").alias("m"), F.min_by("label", "turn").alias("other")))
         if centres.isEmpty():
-            scratch.drop(waiting)
             break
-        found = waiting.join(centres, "bucket").where((F.col("label") != F.col("other")) & close).select(*pair).distinct()
+        found = named.join(centres, "bucket").where((F.col("label") != F.col("other")) & close).select(*pair).distinct()
         found = scratch.cut(found.join(pairs, ["a", "b"], "left_anti"))
-        scratch.drop(waiting)
         more = scratch.cut(_confirm(found, sets, percent))
         if not more.isEmpty():
             links = links.unionByName(more)
@@ -216,7 +214,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int
             scratch.drop(labels)
             labels = new
         pairs = pairs.unionByName(found)
-        used = used.unionByName(centres.select("bucket", F.col("c.rep").alias("rep")))
+        elected = elected.unionByName(centres.select("bucket", F.col("c.rep").alias("rep")))
     scratch.drop(members, sets)
 
     to = labels.select(F.col("id").alias("rep"), "component")
