@@ -65,8 +65,11 @@ class PieceModel:
             raise ValueError("the model has no byte fallback")
         if sp.encode("a b") != sp.encode(" a b")[1:] and sp.encode("x", out_type=str)[0][:1] != MARK:
             raise ValueError("the model adds no mark before the text")
+        #: The number of a boundary's last piece where it is none: the text's start, or a character without one.
+        self.open, self.bare, self.base = len(self.piece), len(self.piece) + 1, len(self.piece) + 2
+        self.raw = [bytes((self.id_byte[i],)) if i in self.id_byte else self.piece[i].encode() for i in ids]
         self._tree: dict[str, tuple[str, str] | None] = {}
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
 
     # -- which pieces may stand side by side --------------------------------------------------------------
@@ -94,16 +97,17 @@ class PieceModel:
             piece = self.split(piece)[side]
         return grown[::-1]
 
-    def fits(self, left: str, right: str) -> bool:
+    def fits(self, left: int, right: int) -> bool:
         """No merge crosses the border: each time, the sides' own next merge comes before the crossing one.
 
-        ``left`` is "" at the start of the text; a character without a piece borders on anything.
+        The start of the text and a character without a piece border on anything.
         """
-        key = (left, right)
+        key = left * self.base + right
         if key not in self._fits:
             if len(self._fits) > 600_000:
                 self._fits.clear()
-            self._fits[key] = self.split(right) is not None and (left not in self.id or self._holds(left, right))
+            x = self.piece[right]
+            self._fits[key] = self.split(x) is not None and (left >= self.open or self._holds(self.piece[left], x))
         return self._fits[key]
 
     def _holds(self, left: str, right: str) -> bool:
@@ -124,24 +128,25 @@ class PieceModel:
     # -- streaming Viterbi --------------------------------------------------------------------------------
 
     def _extend(self, text: str, last: list, back: list, start: int) -> None:
-        """Boundaries after ``start``: the piece into each (None if no path ends there) and where it begins."""
-        known, fits, longest = self.id, self._fits, self.longest
+        """Boundaries after ``start``: the piece into each (-1 if no path ends there) and where it begins."""
+        known, fits, longest, base = self.id.get, self._fits.get, self.longest, self.base
         for end in range(start + 1, len(text) + 1):
-            piece, at = None, -1
-            for begin in range(end - longest if end > longest else 0, end):
-                if (part := text[begin:end]) in known and (before := last[begin]) is not None:
-                    fit = fits.get((before, part))
+            piece = at = -1
+            for begin in range(end - 1, end - longest - 1 if end > longest else -1, -1):
+                part = known(text[begin:end])
+                if part is not None and (before := last[begin]) >= 0:
+                    fit = fits(before * base + part)
                     if self.fits(before, part) if fit is None else fit:
                         piece, at = part, begin
                         break
-            if piece is None and text[end - 1] not in known and last[end - 1] is not None:
-                piece, at = text[end - 1], end - 1  # no piece: its bytes; nothing merges with it
+            if piece < 0 and text[end - 1] not in self.id and last[end - 1] >= 0:
+                piece, at = self.bare, end - 1  # its bytes; nothing merges with it
             last.append(piece)
             back.append(at)
 
     def stream(self, chars: Iterator[str]) -> Iterator[int]:
         """Ids of a stream of characters (marks in place of spaces), committed as soon as they are final."""
-        text, last, back = "", [""], [0]  # the window
+        text, last, back = "", [self.open], [0]  # the window
         while True:
             more = "".join(islice(chars, LOOK_EVERY))
             start = len(text)
@@ -149,40 +154,39 @@ class PieceModel:
             self._extend(text, last, back, start)
             final = len(text)
             if more:  # where all paths that can still be extended meet
-                alive = {p for p in range(max(0, len(text) - self.longest + 1), len(text) + 1) if last[p] is not None}
+                alive = {p for p in range(max(0, len(text) - self.longest + 1), len(text) + 1) if last[p] >= 0}
                 while len(alive) > 1:
                     top = max(alive)
                     alive.discard(top)
                     alive.add(back[top])
                 final = alive.pop()
             if final:
-                yield from self._path(last, back, final)
+                yield from self._path(text, last, back, final)
                 # the piece before the window stays, as the next border needs it
-                text, last, back = text[final:], [last[final], *last[final + 1 :]], [0, *(b - final if b >= 0 else -1 for b in back[final + 1 :])]
+                text, last, back = text[final:], last[final:], [0, *(b - final if b >= 0 else -1 for b in back[final + 1 :])]
             if not more:
                 return
 
-    def _path(self, last: list, back: list, at: int) -> list[int]:
-        pieces = []
+    def _path(self, text: str, last: list, back: list, at: int) -> list[int]:
+        ids = []
         while at > 0:
-            pieces.append(last[at])
+            if last[at] == self.bare:
+                ids.extend(self.byte_id[b] for b in reversed(text[at - 1].encode()))
+            else:
+                ids.append(last[at])
             at = back[at]
-        ids = []
-        for piece in reversed(pieces):
-            known = self.id.get(piece)
-            ids.extend([known] if known is not None else [self.byte_id[b] for b in piece.encode()])
-        return ids
+        return ids[::-1]
 
     # -- texts --------------------------------------------------------------------------------------------
 
     def _stretch(self, chunk: str) -> tuple[int, ...]:
         if len(chunk) > MEMO_LENGTH:
             return tuple(self.stream(iter(chunk)))
-        last, back = [""], [0]  # the stretch is one window
+        last, back = [self.open], [0]  # the stretch is one window
         self._extend(chunk, last, back, 0)
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
-        ids = self.memo[chunk] = tuple(self._path(last, back, len(chunk)))
+        ids = self.memo[chunk] = tuple(self._path(chunk, last, back, len(chunk)))
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -199,8 +203,7 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text again; the mark itself decodes as a space, as in the library."""
-        raw = b"".join(bytes((self.id_byte[i],)) if i in self.id_byte else self.piece[i].encode() for i in ids)
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -210,6 +213,12 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def id_lists(ids: list[list[int]]) -> pa.ListArray:
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+
+
 def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids", count_col: str = "n_pieces") -> DataFrame:
     """``df`` with the ids of each text (array<int>) and their number.
 
@@ -226,11 +235,8 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", ids_co
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids = [np.fromiter(encode(t or ""), dtype=np.int32) for t in part.column(at).to_pylist()]
-                sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(sizes)], names=[*names, ids_col, count_col])
+                lists = id_lists([encode(t or "") for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, lists.value_lengths().cast(pa.int64())], names=[*names, ids_col, count_col])
 
     return df.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
 
@@ -260,7 +266,7 @@ def encode_and_check(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
         def work(doc_ids, texts):
             ids = [m.encode(t or "") for t in texts]
             same = [m.decode(i) == (t or "").replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
-            return {"doc_id": doc_ids, "n_pieces": [len(i) for i in ids], "piece_ids": ids, "round_trip": same}
+            return {"doc_id": doc_ids, "n_pieces": [len(i) for i in ids], "piece_ids": id_lists(ids), "round_trip": same}
 
         return work
 
