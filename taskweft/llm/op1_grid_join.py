@@ -263,3 +263,17 @@ def linked_vectors(df: DataFrame, min_cosine: float = 0.95, block: int = BLOCK,
     return rows.join(judged, "vec", "left").select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
     )
+
+
+def oracle(min_cosine: float = 0.95, table: str = "embeddings") -> str:
+    """DuckDB twin by comparing all with all."""
+    return f"""
+    WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM {table}),
+    ok AS (SELECT vec_id, v FROM e WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {min_cosine}),
+    n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+    reach(a, b) AS (SELECT vec_id, vec_id FROM e WHERE vec_id IS NOT NULL UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, coalesce(e.vec_id = c.component_id, false) AS kept
+    FROM e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+    """

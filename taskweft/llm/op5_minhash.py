@@ -223,3 +223,22 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int
     scratch.drop(classes, labels)
     out = sketched.join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def oracle(words: int, percent: int, table: str = "documents") -> str:
+    """DuckDB twin: sets that share a shingle are compared in full; equal sets count as one."""
+    shingles = f"CASE WHEN len(w) >= {words} THEN list_distinct(list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i:i + {words} - 1], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+    s AS (SELECT doc_id, list_sort({shingles}) AS s FROM d),
+    classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+    long AS (SELECT rep, n, unnest(s) AS h FROM classes),
+    common AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM long a JOIN long b ON a.h = b.h AND a.rep < b.rep
+        AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY ALL),
+    one AS (SELECT a, b FROM common WHERE 100 * k >= {percent} * (na + nb - k)),
+    links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+    reach(a, b) AS (SELECT rep, rep FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    c AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+    SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+    FROM s LEFT JOIN classes ON classes.s = s.s LEFT JOIN c ON c.a = classes.rep
+    """

@@ -93,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_grid_join": op1_grid_join.oracle(0.95),
         "op3_url_trust": op3_url_trust.oracle(),
+        "op5_minhash": op5_minhash.oracle(3, 85),
         "op10_line_dedup": op10_line_dedup.oracle(LINE_RATIO, LINE_PAGES),
     }
