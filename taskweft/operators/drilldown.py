@@ -39,6 +39,20 @@ def statistics(tasks: DataFrame) -> DataFrame:
 def reference_class_curve(tasks: DataFrame) -> DataFrame:
     """(cluster, id, ratio, cumulative): ratios to 2 digits, rising, with their running share of the sum in percent."""
     r = tasks.select("cluster", "id", F.round(ratio(F.col("actual_days"), F.col("planned_days")), 2).alias("ratio")).where("ratio is not null")
-    upto = Window.partitionBy("cluster").orderBy("ratio", "id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("ratio").over(Window.partitionBy("cluster"))
-    return r.select("cluster", "id", "ratio", F.when(total != 0, 100 * F.sum("ratio").over(upto) / total).alias("cumulative"))
+    return running_share(r, "cluster", ["ratio", "id"], "ratio", "cumulative")
+
+
+def running_share(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """With ``name``: the running sum of ``value`` within the group, in percent of the group's sum (null for 0).
+
+    Rows are range-partitioned on group and order, so a group that holds most rows is spread over tasks: sums
+    run within each piece, and a small table (a row for each piece) holds what comes before it.
+    """
+    pieces = df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id())
+    upto = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = pieces.withColumn("_run", F.sum(value).over(upto))
+    sums = pieces.groupBy("_part", group).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(group)).alias("_total"))
+    joined = local.join(before, ["_part", group])
+    return joined.select(*df.columns, F.when(F.col("_total") != 0, 100 * (F.col("_run") + F.col("_before")) / F.col("_total")).alias(name))

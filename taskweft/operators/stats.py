@@ -29,11 +29,14 @@ def size_stats(assignments: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(name, coverage, uniques, percent_unique, type) of columns with any value; a null counts as one unique value."""
+def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
+    """(name, coverage, uniques, percent_unique, type) of columns with any value; a null counts as one unique value.
+
+    Exact unique counts shuffle every column's values; ``approximate`` counts by sketches in one pass.
+    """
     columns = columns or df.columns
     n = F.count(F.lit(1))
-    once = df.agg(n.alias("_n"), *(F.count(c).alias(f"c_{i}") for i, c in enumerate(columns)), *((F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"u_{i}") for i, c in enumerate(columns)))
+    once = df.agg(n.alias("_n"), *(F.count(c).alias(f"c_{i}") for i, c in enumerate(columns)), *(((F.approx_count_distinct(c) if approximate else F.countDistinct(c)) + F.max(F.col(c).isNull().cast("int"))).alias(f"u_{i}") for i, c in enumerate(columns)))
     kinds = dict(df.dtypes)
     rows = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), (F.col(f"c_{i}") / F.col("_n") * 100).alias("coverage"), F.col(f"u_{i}").alias("uniques"), (F.col(f"u_{i}") / F.col("_n") * 100).alias("percent_unique"), F.lit(kinds[c]).alias("type")) for i, c in enumerate(columns))))
     return once.where("_n > 0").select(rows.alias("r")).select("r.*").where("coverage > 0").orderBy(F.desc("coverage"), "name")

@@ -70,3 +70,35 @@ def mean_cluster_score(names: DataFrame, scores: DataFrame) -> DataFrame:
     total = lookup(token_products(name_pairs(names)), scores).groupBy("cluster").agg(F.sum("score").alias("s"))
     tokens = names.groupBy("cluster").agg(F.sum(F.size("tokens")).alias("n"))
     return total.join(tokens, "cluster").agg(F.avg(F.col("s") / F.col("n")).alias("mean_score"))
+
+
+def restrict(scores: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Pair scores whose two tokens are both among ``tokens`` (token)."""
+    t = tokens.select("token").distinct()
+    return scores.join(t.withColumnRenamed("token", "t1"), "t1", "left_semi").join(t.withColumnRenamed("token", "t2"), "t2", "left_semi").select(scores.columns)
+
+
+def pair_matrices(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(t1, t2, edit_score, embed_score) for unordered pairs of tokens, t1 < t2.
+
+    The embedding score is ``1 - distance / largest distance``, null where a token has no vector. All
+    pairs are wanted here; use ``similarity_join.edit_pairs`` with a threshold where they are not.
+    """
+    from taskweft.functions.vectors import squared_distance
+    from taskweft.operators.cluster_metrics import scale_distances
+    from taskweft.operators.similarity_join import edit_pairs
+
+    v = tokens.select("token").distinct().join(vectors.select("token", "vec"), "token")
+    a, b = v.select(F.col("token").alias("t1"), F.col("vec").alias("v1")), v.select(F.col("token").alias("t2"), F.col("vec").alias("v2"))
+    near = scale_distances(a.join(b, F.col("t1") < F.col("t2")).select("t1", "t2", F.sqrt(squared_distance(F.col("v1"), F.col("v2"))).alias("distance")))
+    return edit_pairs(tokens, "token").withColumnRenamed("score", "edit_score").join(near.select("t1", "t2", F.col("score").alias("embed_score")), ["t1", "t2"], "left")
+
+
+def expand_synonyms(tokens: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(token, synonym) for known tokens, other than the token itself. synonyms: (token, synonym)."""
+    return tokens.select("token").distinct().join(synonyms.select("token", "synonym"), "token").where("token <> synonym").distinct()
+
+
+def same_as_lemma(tokens: DataFrame, lemmas: DataFrame, ending: str = "ing") -> DataFrame:
+    """Tokens with the ending that are their own lemma. lemmas: (token, lemma), from any tagger."""
+    return tokens.select("token").distinct().where(F.col("token").endswith(ending)).join(lemmas, "token").where("token = lemma").select("token")

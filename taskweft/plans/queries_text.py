@@ -236,3 +236,30 @@ def unknown_tokens(t):
 @query("SELECT p_partkey, 2.0 * length(p_name) / (length(p_name) + length(p_type)) >= 0.8 AS reachable FROM part WHERE length(p_name) <= length(p_type)")
 def reachable_lengths(t):
     return t.part.where("length(p_name) <= length(p_type)").select("p_partkey", sim.ratio_reachable(F.col("p_name"), F.col("p_type"), 0.8).alias("reachable"))
+
+
+@query(f"WITH {SCORES}, keep AS (SELECT t FROM voc WHERE t <> 'bolt') SELECT t1, t2, round(score, 6) AS score FROM scores WHERE t1 IN (SELECT t FROM keep) AND t2 IN (SELECT t FROM keep)")
+def restricted_scores(t):
+    v = t.part.select(F.explode(F.split("p_name", " ")).alias("token")).where("token <> 'bolt'")
+    return wp.restrict(_scores(t), v).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {SCORES}, v AS (SELECT t AS token, [length(t)::DOUBLE, ascii(t)::DOUBLE] AS vec FROM voc), d AS (SELECT a.token AS t1, b.token AS t2, list_distance(a.vec, b.vec) AS d FROM v a JOIN v b ON a.token < b.token)
+    SELECT s.t1, s.t2, round(s.score, 6) AS edit_score, round(1 - d / (SELECT max(d) FROM d), 6) AS embed_score FROM scores s JOIN d ON d.t1 = s.t1 AND d.t2 = s.t2""")
+def pair_matrices(t):
+    tokens = t.part.select(F.explode(F.split("p_name", " ")).alias("token")).distinct()
+    v = tokens.select("token", F.array(F.length("token").cast("double"), F.ascii("token").cast("double")).alias("vec"))
+    return wp.pair_matrices(tokens, v).select("t1", "t2", F.round("edit_score", 6).alias("edit_score"), F.round("embed_score", 6).alias("embed_score"))
+
+
+@query("""WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part) SELECT token, upper(token) AS synonym FROM v WHERE token < 'n'""")
+def synonyms(t):
+    tokens = t.part.select(F.explode(F.split("p_name", " ")).alias("token"))
+    table = tokens.distinct().where("token < 'n'").select("token", F.explode(F.array(F.upper("token"), "token")).alias("synonym"))
+    return wp.expand_synonyms(tokens, table)
+
+
+@query("SELECT DISTINCT w AS token FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w LIKE '%ing'")
+def unchanged_by_lemma(t):
+    tokens = t.part.select(F.explode(F.split("p_name", " ")).alias("token"))
+    return wp.same_as_lemma(tokens, tokens.distinct().withColumn("lemma", F.col("token")))
