@@ -35,7 +35,7 @@ BINS = 256
 #: Centres that a bucket elects, one a round.
 STARS = 4
 #: Words whose hashes a task remembers; the memo is emptied when it holds more.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 

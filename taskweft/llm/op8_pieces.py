@@ -30,7 +30,7 @@ from taskweft.llm.common import map_rows, per_task
 
 MARK = "▁"
 #: Words whose ids a worker remembers; the memo is emptied when it holds more.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Longer stretches without white space are never remembered.
 MEMO_LENGTH = 64
 #: Characters between two looks at where the surviving paths meet.
@@ -104,7 +104,7 @@ class PieceModel:
         """
         key = left * self.base + right
         if key not in self._fits:
-            if len(self._fits) > 600_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             x = self.piece[right]
             self._fits[key] = self.split(x) is not None and (left >= self.open or self._holds(self.piece[left], x))

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose buckets a task remembers; the memo is emptied when it holds more.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _DIGIT = b"0123456789"
