@@ -38,7 +38,7 @@ def op3_url_trust_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def op4_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
