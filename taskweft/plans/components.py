@@ -15,27 +15,27 @@ def _follow(pointers: DataFrame, by: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst", rows: int | None = None) -> DataFrame:
     """(id, component) for each id that is not the smallest of its component.
 
     Each round every node hooks to its smallest neighbour below it (a hash aggregate with map-side
     combine), pointers are halved twice, and the links are rewritten between the remaining roots; rounds
     grow with the logarithm of the longest path.  Each round is a written table.  Ids absent from the
-    result are their own component.  Links with a null end and links to oneself are ignored; repeated
+    result are their own component.  ``rows`` is a bound of the links, if known.  Links with a null end and links to oneself are ignored; repeated
     links count once; no links give no rows.
     """
     links = scratch.cut(
         edges.where(F.col(src) != F.col(dst))
         .select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
-        .distinct()
+        .distinct(),
+        rows=rows,
     )
-    rounds: list[DataFrame] = []
-    while not links.isEmpty():
-        hooked = links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent"))
-        hooked = scratch.cut(hooked)
-        halved = scratch.cut(_follow(hooked, hooked))
-        pointers = scratch.cut(_follow(halved, halved))
-        scratch.drop(hooked, halved)
+    rounds: list[tuple[DataFrame, int]] = []
+    while n := links.count():
+        hooked = scratch.cut(links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")), rows=n)
+        halved = _follow(hooked, hooked)
+        pointers = scratch.cut(_follow(halved, halved), rows=n)
+        scratch.drop(hooked)
         a = pointers.select(F.col("node").alias("_a"), F.col("parent").alias("_pa"))
         b = pointers.select(F.col("node").alias("_b"), F.col("parent").alias("_pb"))
         moved = (
@@ -46,16 +46,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", d
             .select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo"))
             .distinct()
         )
-        nxt = scratch.cut(moved)
+        nxt = scratch.cut(moved, rows=n)
         scratch.drop(links)
         links = nxt
-        rounds.append(pointers)
+        rounds.append((pointers, n))
     if not rounds:
         return links.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
-    out = rounds.pop()
+    out, _ = rounds.pop()
     while rounds:
-        earlier = rounds.pop()
-        nxt = scratch.cut(_follow(earlier, out).unionByName(out))
+        earlier, n = rounds.pop()
+        nxt = scratch.cut(_follow(earlier, out).unionByName(out), rows=n)
         scratch.drop(earlier, out)
         out = nxt
     return out.select(F.col("node").alias("id"), F.col("parent").alias("component"))

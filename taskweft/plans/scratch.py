@@ -16,6 +16,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch while a table is written.
+BATCH_ROWS = 1000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -47,11 +50,23 @@ class Scratch:
     def _path(self, text: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)
 
-    def cut(self, df: DataFrame, *partition_by: str) -> DataFrame:
+    def cut(self, df: DataFrame, *partition_by: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+        """Write and re-read. Rows pass to Python workers in small batches meanwhile: texts and sets can be wide.
+
+        With ``rows``, a bound of the table's rows, the last stage has a task and a file for ``per_file`` of
+        them (never more than the plan's partitions), so small steps do not write hundreds of tiny files.
+        """
         self._n += 1
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // per_file)))
         path = f"{self.root}/{self._n:04d}"
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        conf, batch = self.spark.conf, self.spark.conf.get(_BATCH)
+        conf.set(_BATCH, str(min(int(batch), BATCH_ROWS)))
+        try:
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        finally:
+            conf.set(_BATCH, batch)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

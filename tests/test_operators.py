@@ -218,3 +218,9 @@ def test_run(spark):
     assert out.best in (3, 6) and out.runs.count() == 2
     assert run(tasks, vectors, Config(num_clusters=3)).best == 3
     assert {r.key for r in out.keys.collect()} == {"Dig Trench", "Lay Cable", "Test Pump"}
+
+
+def test_spectral(spark):
+    edges = [(i, j, 1.0) for g in (range(5), range(5, 10)) for i in g for j in g if i < j] + [(0, 5, 0.01)]
+    got = {r.id: r.label for r in ward.spectral_labels(spark.createDataFrame(edges, "src long, dst long, weight double"), 2).collect()}
+    assert len(got) == 10 and set(got.values()) <= {0, 1}
