@@ -251,7 +251,7 @@ def linked_vectors(df: DataFrame, min_cosine: float = 0.95, block: int = BLOCK,
     ready = pairs.join(content("a"), "a").join(content("b"), "b")
     found = scratch.cut(compare_blocks(ready, min_cosine))
 
-    to = connected_components(found.select("rep", "root"), scratch, "rep", "root")
+    to = connected_components(found.select("rep", "root"), scratch, "rep", "root", rows=found.count())
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     judged = scratch.cut(
         classes.join(counts, "rep", "left")

@@ -173,28 +173,40 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int
     sketched = scratch.cut(set_sketches(docs, words, rows, bins))
 
     # classes of equal sets; only their smallest id goes on
+    total = sketched.count()
     classes = scratch.cut(
         sketched.where("doc_id is not null and set_key is not null")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.min_by("n_shingles", "doc_id").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.min_by("n_shingles", "doc_id").alias("n"), F.min_by("bands", "doc_id").alias("bands")),
+        rows=total,
+        per_file=20_000,
     )
     slots = classes.select("rep", "n", F.posexplode("bands").alias("band", "value"))
-    sizes = scratch.cut(slots.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    shared = scratch.cut(slots.join(sizes, ["band", "value"]).select(F.shiftleft(F.shiftrightunsigned(F.xxhash64("band", "value"), 1), 1).bitwiseOR(F.col("band") % 2).alias("bucket"), "rep", "n", "size"))
+    n_slots = classes.count() * (bins // rows)
+    sizes = scratch.cut(slots.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), rows=n_slots // 2)
+    shared = scratch.cut(slots.join(sizes, ["band", "value"]).select(F.shiftleft(F.shiftrightunsigned(F.xxhash64("band", "value"), 1), 1).bitwiseOR(F.col("band") % 2).alias("bucket"), "rep", "n", "size"), rows=n_slots)
     scratch.drop(sizes)
 
     # the more of its buckets' members a document meets, the more it is like an original of many copies
-    weight = scratch.cut(shared.groupBy("rep").agg(F.sum("size").alias("weight")))
-    members = scratch.cut(shared.join(weight, "rep").select("bucket", "rep", "n", F.struct(F.when(F.col("bucket") % 2 == 0, -F.col("weight")).otherwise(F.xxhash64("rep", "bucket")).alias("by"), "rep").alias("turn")))
-    sets = scratch.cut(full_sets(docs.join(weight.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", "text"), words).dropDuplicates(["doc_id"]))
+    n_slots = shared.count()
+    weight = scratch.cut(shared.groupBy("rep").agg(F.sum("size").alias("weight")), rows=total)
+    turn = F.struct(F.when(F.col("bucket") % 2 == 0, -F.col("weight")).otherwise(F.xxhash64("rep", "bucket")).alias("by"), "rep").alias("turn")
+    members = scratch.cut(shared.join(weight, "rep").select("bucket", "rep", "n", turn), rows=n_slots)
+    alike = docs.join(weight.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", "text")
+    sets = scratch.cut(full_sets(alike, words).dropDuplicates(["doc_id"]), rows=weight.count(), per_file=5_000)
     scratch.drop(shared, weight)
 
     close = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     pair = (F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
-    centres = scratch.cut(members.groupBy("bucket").agg(F.min("turn").alias("c"), F.min_by("n", "turn").alias("m")))
-    pairs = scratch.cut(members.join(centres, "bucket").where((F.col("rep") != F.col("c.rep")) & close).select(*pair).distinct())
-    links = scratch.cut(_confirm(pairs, sets, percent))
-    labels = scratch.cut(connected_components(links, scratch, "a", "b"))
+    centres = scratch.cut(members.groupBy("bucket").agg(F.min("turn").alias("c"), F.min_by("n", "turn").alias("m")), rows=n_slots)
+    pairs = scratch.cut(members.join(centres, "bucket").where((F.col("rep") != F.col("c.rep")) & close).select(*pair).distinct(), rows=n_slots)
+
+    def confirmed(found: DataFrame) -> tuple[DataFrame, int]:
+        n = found.count()
+        return scratch.cut(_confirm(found, sets, percent), rows=n, per_file=10_000), n
+
+    links, n_links = confirmed(pairs)
+    labels = connected_components(links, scratch, "a", "b", rows=n_links)
 
     # further centres, where a bucket still holds components that have had none
     elected = centres.select("bucket", F.col("c.rep").alias("rep"))
@@ -202,25 +214,23 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int
         named = members.join(labels, members["rep"] == labels["id"], "left").select("bucket", "rep", "n", "turn", F.coalesce("component", "rep").alias("label"))
         served = elected.join(labels, elected["rep"] == labels["id"], "left").select("bucket", F.coalesce("component", "rep").alias("label"))
         waiting = named.join(served, ["bucket", "label"], "left_anti")
-        centres = scratch.cut(waiting.groupBy("bucket").agg(F.min("turn").alias("c"), F.min_by("n", "turn").alias("m"), F.min_by("label", "turn").alias("other")))
+        centres = scratch.cut(waiting.groupBy("bucket").agg(F.min("turn").alias("c"), F.min_by("n", "turn").alias("m"), F.min_by("label", "turn").alias("other")), rows=n_slots)
         if centres.isEmpty():
             break
         found = named.join(centres, "bucket").where((F.col("label") != F.col("other")) & close).select(*pair).distinct()
-        found = scratch.cut(found.join(pairs, ["a", "b"], "left_anti"))
-        more = scratch.cut(_confirm(found, sets, percent))
+        found = scratch.cut(found.join(pairs, ["a", "b"], "left_anti"), rows=n_slots)
+        more, n_more = confirmed(found)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            new = scratch.cut(connected_components(links, scratch, "a", "b"))
-            scratch.drop(labels)
-            labels = new
+            links, n_links = links.unionByName(more), n_links + n_more
+            labels = connected_components(links, scratch, "a", "b", rows=n_links)
         pairs = pairs.unionByName(found)
         elected = elected.unionByName(centres.select("bucket", F.col("c.rep").alias("rep")))
     scratch.drop(members, sets)
 
     to = labels.select(F.col("id").alias("rep"), "component")
     reps = classes.join(to, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    reps = scratch.cut(reps)
-    scratch.drop(classes, labels)
+    reps = scratch.cut(reps, rows=total)
+    scratch.drop(classes)
     out = sketched.join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
