@@ -16,6 +16,7 @@ whose number rounding bounds whatever the corpus; a rate follows from the poster
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,18 @@ GRID = 1000
 _EDGES = b".,;:!?\"'()[]*$%&#|-"
 
 
+#: Bytes of the word beginnings that are features of their own, beside the whole word.
+PREFIXES = (5, 6, 7)
+
+
 class _Buckets(dict):
-    def __missing__(self, word: bytes) -> int:
+    """word -> buckets of the word without outer marks and of its beginnings."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        b = self[word] = xxhash.xxh3_64_intdigest(word.strip(_EDGES)) % BUCKETS
+        core = word.strip(_EDGES)
+        b = self[word] = tuple({xxhash.xxh3_64_intdigest(x, n) % BUCKETS for n, x in ((0, core), *((n, core[:n]) for n in PREFIXES if len(core) > n))})
         return b
 
 
@@ -49,13 +57,13 @@ def _features(text: str | None, buckets: _Buckets) -> tuple[np.ndarray, np.ndarr
     """(structure ids, distinct word buckets, words)."""
     raw = (text or "").encode()
     words = word_list(raw)
-    ids = np.fromiter(set(map(buckets.__getitem__, words)), dtype=np.int64) if words else np.empty(0, np.int64)
+    ids = np.fromiter(set(chain.from_iterable(map(buckets.__getitem__, set(words)))), dtype=np.int64)
     return structure_ids(raw, words, len(raw)), ids, len(words)
 
 
 @dataclass(frozen=True)
 class DomainModel:
-    """Softmax regression on structure levels and the presence of telling words."""
+    """Softmax regression on structure levels and the presence of telling words and word beginnings."""
 
     column: np.ndarray  # (BUCKETS,) column of a bucket, -1 without
     weights: np.ndarray  # (columns, k)
