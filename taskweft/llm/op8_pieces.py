@@ -17,9 +17,10 @@ that has such pieces is streamed without the memo.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from taskweft.llm.common import map_rows, per_task
 
 MARK = "▁"
 #: Words whose ids a worker remembers; the memo is emptied when it holds more.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 600_000
 #: Longer stretches without white space are never remembered.
 MEMO_LENGTH = 64
 #: Characters between two looks at where the surviving paths meet.
@@ -70,7 +71,7 @@ class PieceModel:
         self.raw = [bytes((self.id_byte[i],)) if i in self.id_byte else self.piece[i].encode() for i in ids]
         self._tree: dict[str, tuple[str, str] | None] = {}
         self._fits: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
     # -- which pieces may stand side by side --------------------------------------------------------------
 
@@ -179,27 +180,28 @@ class PieceModel:
 
     # -- texts --------------------------------------------------------------------------------------------
 
-    def _stretch(self, chunk: str) -> tuple[int, ...]:
+    def _stretch(self, chunk: str) -> bytes:
         if len(chunk) > MEMO_LENGTH:
-            return tuple(self.stream(iter(chunk)))
+            return np.fromiter(self.stream(iter(chunk)), dtype=np.int32).tobytes()
         last, back = [self.open], [0]  # the stretch is one window
         self._extend(chunk, last, back, 0)
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
-        ids = self.memo[chunk] = tuple(self._path(chunk, last, back, len(chunk)))
+        ids = self.memo[chunk] = array("i", self._path(chunk, last, back, len(chunk))).tobytes()
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """The ids as 32-bit integers."""
         if not text:
-            return []
+            return np.empty(0, np.int32)
         marked = MARK + text.replace(" ", MARK)
         if not self.by_stretch:
-            return list(self.stream(iter(marked)))
-        memo, out = self.memo, []
+            return np.fromiter(self.stream(iter(marked)), dtype=np.int32)
+        memo, out = self.memo.get, []
         for chunk in self.cuts(marked):
-            ids = memo.get(chunk)
-            out.extend(self._stretch(chunk) if ids is None else ids)
-        return out
+            ids = memo(chunk)
+            out.append(self._stretch(chunk) if ids is None else ids)
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text again; the mark itself decodes as a space, as in the library."""
@@ -213,9 +215,9 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def id_lists(ids: list[list[int]]) -> pa.ListArray:
+def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
     sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
+    flat = np.concatenate([np.empty(0, np.int32), *ids])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
 
@@ -265,7 +267,7 @@ def encode_and_check(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
         def work(doc_ids, texts):
             ids = [m.encode(t or "") for t in texts]
-            same = [m.decode(i) == (t or "").replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
+            same = [m.decode(i.tolist()) == (t or "").replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
             return {"doc_id": doc_ids, "n_pieces": [len(i) for i in ids], "piece_ids": id_lists(ids), "round_trip": same}
 
         return work

@@ -56,7 +56,7 @@ def test_pieces_equal_the_library(texts):
     m = pieces.PieceModel(tokenizer_path(PIECE_MODEL))
     for t in texts:
         want = sp.encode(t)
-        assert m.encode(t) == want, t
+        assert m.encode(t).tolist() == want, t
         assert not t or list(m.stream(iter("▁" + t.replace(" ", "▁")))) == want
         assert m.decode(want) == t.replace("▁", " ")
 
