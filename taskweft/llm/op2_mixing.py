@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from taskweft.llm.common import map_rows, per_task
 from taskweft.llm.op4_quality import SAMPLE_ROWS, labelled_sample
-from taskweft.llm.text_features import LEVELS, MEMO_WORDS, STATS, structure_ids, word_list
+from taskweft.llm.text_features import LEVELS, STATS, structure_ids, word_list
 from taskweft.plans.scratch import Scratch
 
 #: Domains by the labelled table: toxic rows, else rows of low quality, else good ones.
@@ -38,6 +38,8 @@ GRID = 1000
 _EDGES = b".,;:!?\"'()[]*$%&#|-"
 
 
+#: Words that a task remembers; the memo is emptied when it holds more.
+MEMO_WORDS = 300_000
 #: Bytes of the word beginnings that are features of their own, beside the whole word.
 PREFIXES = (5, 6, 7)
 
@@ -49,12 +51,26 @@ class _Buckets(dict):
         if len(self) >= MEMO_WORDS:
             self.clear()
         core = word.strip(_EDGES)
-        b = self[word] = tuple({xxhash.xxh3_64_intdigest(x, n) % BUCKETS for n, x in ((0, core), *((n, core[:n]) for n in PREFIXES if len(core) > n))})
+        digest = xxhash.xxh3_64_intdigest
+        b = self[word] = (digest(core) % BUCKETS, *[digest(core[:n], n) % BUCKETS for n in PREFIXES if len(core) > n])
         return b
 
 
+class _Columns(_Buckets):
+    """word -> the model's columns among its buckets: for most words none."""
+
+    def __init__(self, column: np.ndarray):
+        super().__init__()
+        self.column = {int(b): int(column[b]) for b in np.flatnonzero(column >= 0)}
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        told = [self.column[b] for b in super().__missing__(word) if b in self.column]
+        self[word] = told = tuple(told) if told else ()
+        return told
+
+
 def _features(text: str | None, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray, int]:
-    """(structure ids, distinct word buckets, words)."""
+    """(structure ids, distinct buckets or columns of the words, number of words)."""
     raw = (text or "").encode()
     words = word_list(raw)
     ids = np.fromiter(set(chain.from_iterable(map(buckets.__getitem__, set(words)))), dtype=np.int64)
@@ -70,11 +86,10 @@ class DomainModel:
     bias: np.ndarray  # (k,)
 
     def posterior(self, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
-        """(documents, k) in thousandths that sum to 1."""
+        """(documents, k) in thousandths that sum to 1. rows: features by ``_Columns``."""
         z = np.empty((len(rows), len(self.bias)))
-        for i, (stats, words, _) in enumerate(rows):
-            at = self.column[words]
-            z[i] = self.bias + self.weights[stats].sum(axis=0) + self.weights[at[at >= 0]].sum(axis=0)
+        for i, (stats, columns, _) in enumerate(rows):
+            z[i] = self.bias + self.weights[stats].sum(axis=0) + self.weights[columns].sum(axis=0)
         z = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
         p = np.floor(z / z.sum(axis=1, keepdims=True) * GRID).astype(np.int64)
         p[np.arange(len(p)), p.argmax(axis=1)] += GRID - p.sum(axis=1)
@@ -142,7 +157,8 @@ def posteriors(df: DataFrame, model: DomainModel, id_col: str = "doc_id", text_c
 
     @per_task
     def task():
-        buckets, m = _Buckets(), shared.value
+        m = shared.value
+        buckets = _Columns(m.column)
 
         def work(ids, texts):
             rows = [_features(t, buckets) for t in texts]
@@ -248,7 +264,8 @@ def mix(df: DataFrame, model: DomainModel, weights: dict[str, float], total: flo
     shared, names = df.sparkSession.sparkContext.broadcast((model, steps)), df.columns
 
     def run(batches):
-        (m, s), buckets = shared.value, _Buckets()
+        m, s = shared.value
+        buckets = _Columns(m.column)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
