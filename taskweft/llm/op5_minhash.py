@@ -10,10 +10,11 @@
 3. The candidates' full sets are compared, and the links are joined to components.
 4. A star can miss a link between two members that are not linked with its centre.  So for a few more
    rounds each bucket elects a further centre, from the components that have had none there, and pairs it
-   with the members of all other components.  Pairs stay below ``stars`` times the bucket rows, whatever
-   the groups' sizes.  A pair at the threshold shares about a dozen buckets, and half of the bands elect by
-   hash instead of weight, so a link is lost only if no star of any of them, nor a path of other links,
-   joins its two ends.
+   with the members of all other components.
+5. The exact rest: the members of a bucket that were no centre are compared with those of all other
+   components, in blocks, so that a large bucket is dealt to many tasks.  No two documents that share a
+   bucket and lie in different components stay uncompared.  Pairs of this step grow with the square of a
+   bucket's members that no link joins.
 
 No bucket is capped and no member dropped; sets, links and labels stay in distributed tables.
 """
@@ -32,8 +33,10 @@ from taskweft.plans.components import connected_components
 from taskweft.plans.scratch import Scratch
 
 BINS = 256
-#: Centres that a bucket elects, one a round.
+#: Centres that a bucket elects, one a round, before the exact rest.
 STARS = 4
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 256
 #: Words whose hashes a task remembers; the memo is emptied when it holds more.
 MEMO_WORDS = 100_000
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -157,7 +160,20 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, bins: int = BINS, stars: int = STARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rest(members: DataFrame, elected: DataFrame, labels: DataFrame, scratch: Scratch, rows: int, block: int) -> DataFrame:
+    """(bucket, rep, n, label, a, b, low): members of buckets of several components that were no centre there.
+
+    Each is dealt to the cells (a, b) of its bucket's blocks; ``low`` tells on which side it stands there.
+    """
+    left = members.select("bucket", "rep", "n").join(elected, ["bucket", "rep"], "left_anti")
+    named = scratch.cut(left.join(labels, left["rep"] == labels["id"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("label")), rows=rows)
+    mixed = scratch.cut(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("bucket", F.ceil(F.col("size") / block).cast("int").alias("blocks")), rows=rows)
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = named.join(mixed, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select("bucket", "rep", "n", "label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("low"))
+
+
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, bins: int = BINS, stars: int = STARS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``df``.
 
     Documents link when ``100 * |A & B| >= percent * |A | B|`` on their sets of ``words``-word shingles.
@@ -225,7 +241,19 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int
             labels = connected_components(links, scratch, "a", "b", rows=n_links)
         pairs = pairs.unionByName(found)
         elected = elected.unionByName(centres.select("bucket", F.col("c.rep").alias("rep")))
-    scratch.drop(members, sets)
+
+    # the exact rest, where members of different components were no centre
+    rest = scratch.cut(_rest(members, elected, labels, scratch, n_slots, block))
+    if not rest.isEmpty():
+        x, y = rest.where("low").alias("x"), rest.where("not low or a = b").withColumnsRenamed({"rep": "rep2", "n": "m", "label": "other"}).select("bucket", "a", "b", "rep2", "m", "other")
+        met = x.join(y, ["bucket", "a", "b"]).where((F.col("label") != F.col("other")) & ((F.col("a") < F.col("b")) | (F.col("rep") < F.col("rep2"))) & close)
+        found = met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+        found = scratch.cut(found.join(pairs, ["a", "b"], "left_anti"))
+        more, n_more = confirmed(found)
+        if not more.isEmpty():
+            links, n_links = links.unionByName(more), n_links + n_more
+            labels = connected_components(links, scratch, "a", "b", rows=n_links)
+    scratch.drop(rest, members, sets)
 
     to = labels.select(F.col("id").alias("rep"), "component")
     reps = classes.join(to, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))

@@ -88,3 +88,19 @@ def test_densified_signatures_estimate_similarity():
         same = (m.signature(base, probes) == m.signature(keep, probes)).mean()
         assert abs(same - len(keep) / len(base)) < 0.25
         assert (m.signature(base, probes) == m.signature(base, probes)).all()
+
+
+def test_families_without_a_common_original(spark):
+    """All share their buckets by common words, and only pairs of them reach the threshold."""
+    rng = random.Random(12)
+    shared, rows = [f"c{i}" for i in range(120)], []
+    for i in range(0, 160, 2):
+        own = [f"o{i}x{k}" for k in range(40)]
+        rows.append((i, " ".join(shared + own)))
+        rows.append((i + 1, " ".join(shared + own[:-3] + [f"m{rng.random()}" for _ in range(3)])))
+    rng.shuffle(rows)
+    want = brute(rows, 3, 85)
+    assert len(set(want.values())) == 80
+    for block in (16, 256):
+        got = near(spark, rows, words=3, percent=85, rows=1, bins=8, block=block)
+        assert {r.doc_id: r.component_id for r in got} == want
