@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fitted rate rounds to a copy or more, once each."""
+    """Documents that get a copy or more by their fitted rate and the draw of their doc_id, once each."""
     return op2_mixing.mix(docs, op2_mixing.train_domains(docs, table(spark, sf_dir, "labels")), MIX, repeat=False)
 
 

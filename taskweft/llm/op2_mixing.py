@@ -15,7 +15,7 @@ whose number rounding bounds whatever the corpus; a rate follows from the poster
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -152,7 +152,7 @@ def train_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 
 def posteriors(df: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, p array<double>), one row for each row of ``df``; null texts count as empty."""
+    """(doc_id, n_words, p array<double>, draw), one row for each row of ``df``; null texts count as empty."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @per_task
@@ -162,11 +162,23 @@ def posteriors(df: DataFrame, model: DomainModel, id_col: str = "doc_id", text_c
 
         def work(ids, texts):
             rows = [_features(t, buckets) for t in texts]
-            return {"doc_id": ids, "n_words": [n for _, _, n in rows], "p": m.posterior(rows).tolist()}
+            return {"doc_id": ids, "n_words": [n for _, _, n in rows], "p": m.posterior(rows).tolist(), "draw": [_draw(i, t) for i, t in zip(ids, texts, strict=True)]}
 
         return work
 
-    return map_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id long, n_words long, p array<double>", task)
+    return map_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id long, n_words long, p array<double>, draw double", task)
+
+
+def _draw(doc_id: int | None, text: str | None) -> float:
+    """A number in [0, 1) by the id's hash, or by the text's where there is no id."""
+    key = f"id {doc_id}" if doc_id is not None else f"text {text or ''}"
+    return (xxhash.xxh3_64_intdigest(key.encode()) >> 11) / (1 << 53)
+
+
+def copies_of(rates: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Whole copies whose expectation is the rate: a fraction is one copy where the draw lies below it."""
+    whole = np.floor(rates)
+    return (whole + (draws < rates - whole)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -177,6 +189,11 @@ class Steps:
     ridge: float
     momentum: tuple[float, ...] = ()
     pull: tuple[tuple[float, ...], ...] = ()
+    #: What the mix's rates are divided by: shares stay, and a clear document of the anchor domain has rate 1.
+    unit: float = 1.0
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return self.looking(p) / self.unit
 
     def looking(self, p: np.ndarray, beta: float = 0.0) -> np.ndarray:
         """The point after these steps, moved on by ``beta`` times the last one."""
@@ -187,7 +204,7 @@ class Steps:
         return r + beta * (r - before)
 
 
-def fit_rates(groups: DataFrame, weights: dict[str, float] | list[float], total: float | None = None, ridge: float = 0.1, rounds: int = 80, tolerance: float = 1e-6) -> tuple[Steps, dict]:
+def fit_rates(groups: DataFrame, weights: dict[str, float] | list[float], total: float | None = None, ridge: float = 1e-2, rounds: int = 80, tolerance: float = 1e-6) -> tuple[Steps, dict]:
     """Steps of the descent for (p, words); a table without words has none, so all rates stay 1.
 
     ``total`` is the mix's number of words; without it, the largest wanted domain keeps its own.
@@ -229,6 +246,17 @@ def fit_rates(groups: DataFrame, weights: dict[str, float] | list[float], total:
     return steps, {"words": n, "share": share.tolist(), "target": target.tolist(), "residual": residual.tolist(), "rounds": rounds}
 
 
+def _fit_mix(groups: DataFrame, weights: dict[str, float], total: float | None) -> Steps:
+    """``fit_rates``; without ``total`` the unit is the rate of a clear document of the largest wanted domain."""
+    steps, info = fit_rates(groups, weights, total)
+    if total is not None or not info["words"]:
+        return steps
+    w = np.array(list(weights.values()), dtype=float)
+    anchor = np.where(w > 0, info["share"], -1.0).argmax()
+    unit = float(steps.looking(np.eye(len(w))[[anchor]])[0])
+    return replace(steps, unit=unit) if unit > 0 else steps
+
+
 def _grouped(found: DataFrame) -> DataFrame:
     return found.groupBy("p").agg(F.sum("n_words").alias("words"))
 
@@ -236,30 +264,31 @@ def _grouped(found: DataFrame) -> DataFrame:
 def mixing_rates(df: DataFrame, model: DomainModel, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, p_<domain>..., rate, copies), one row for each row of ``df``.
 
-    ``copies`` is the rate rounded half up.  Null and empty texts have no words and the rate of their
+    ``copies`` is the rate's whole part, and one more where the draw of the doc_id lies below its fraction, so
+    the copies' words follow the rates'.  Null and empty texts have no words and the rate of their
     posterior.  Ids may be null or repeated; an empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(df.sparkSession, "mixing")
     found = scratch.cut(posteriors(df, model, id_col, text_col))
     groups = scratch.cut(_grouped(found))
-    steps, _ = fit_rates(groups, weights, total)
+    steps = _fit_mix(groups, weights, total)
     scratch.drop(groups)
     names = list(weights)
 
-    def work(ids, words, p):
+    def work(ids, words, p, draw):
         m = np.array(p, dtype=float).reshape(-1, len(names))
-        r = steps.looking(m)
-        return {"doc_id": ids, "n_words": words} | {f"p_{d}": pa.array(m[:, j]) for j, d in enumerate(names)} | {"rate": pa.array(r), "copies": pa.array(np.floor(r + 0.5).astype(np.int64))}
+        r = steps.rates(m)
+        return {"doc_id": ids, "n_words": words} | {f"p_{d}": pa.array(m[:, j]) for j, d in enumerate(names)} | {"rate": pa.array(r), "copies": pa.array(copies_of(r, np.array(draw, dtype=float)))}
 
     schema = "doc_id long, n_words long, " + ", ".join(f"p_{d} double" for d in names) + ", rate double, copies long"
-    return map_rows(found.select("doc_id", "n_words", "p"), schema, work, slice_rows=4096)
+    return map_rows(found.select("doc_id", "n_words", "p", "draw"), schema, work, slice_rows=4096)
 
 
-def mix(df: DataFrame, model: DomainModel, weights: dict[str, float], total: float | None = None, repeat: bool = True, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns as they are, each as often as its rate rounded half up; at most once without ``repeat``."""
+def mix(df: DataFrame, model: DomainModel, weights: dict[str, float], total: float | None = None, repeat: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, each as often as ``mixing_rates`` says in ``copies``; at most once without ``repeat``."""
     scratch = Scratch(df.sparkSession, "mix")
     groups = scratch.cut(_grouped(posteriors(df.select(F.lit(0).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), model)))
-    steps, _ = fit_rates(groups, weights, total)
+    steps = _fit_mix(groups, weights, total)
     scratch.drop(groups)
     shared, names = df.sparkSession.sparkContext.broadcast((model, steps)), df.columns
 
@@ -269,8 +298,10 @@ def mix(df: DataFrame, model: DomainModel, weights: dict[str, float], total: flo
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                p = m.posterior([_features(t, buckets) for t in part.column(names.index(text_col)).to_pylist()])
-                copies = np.floor(s.looking(p) + 0.5).astype(np.int64)
+                texts = part.column(names.index(text_col)).to_pylist()
+                p = m.posterior([_features(t, buckets) for t in texts])
+                draws = [_draw(i, t) for i, t in zip(part.column(names.index(id_col)).to_pylist(), texts, strict=True)]
+                copies = copies_of(s.rates(p), np.array(draws, dtype=float))
                 yield part.take(pa.array(np.repeat(np.arange(len(copies)), copies if repeat else np.minimum(copies, 1))))
 
     return df.mapInArrow(run, df.schema)

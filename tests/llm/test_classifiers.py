@@ -97,3 +97,18 @@ def test_mixing(data, odd, clash, none, no_labels):
         assert mx.mixing_rates(clash, m, MIX).count() == 10 and mx.mixing_rates(none, m, MIX).count() == 0
         assert mx.mix(clash, m, MIX).columns == clash.columns and mx.mix(none, m, MIX).count() == 0
     assert mx.mix(docs, model, MIX, repeat=False).join(labels, "doc_id").where("toxic = 1").count() <= 4
+
+
+def test_realised_mix_follows_the_targets(spark):
+    """Low documents far above their target keep some copies, and toxic ones none, so that the words meet the targets."""
+    rng = np.random.default_rng(6)
+    kinds = rng.choice(3, 3000, p=[0.7, 0.25, 0.05])
+    p, words = np.eye(3)[kinds] * 0.98 + 0.02 / 3, rng.integers(50, 150, 3000)
+    groups = spark.createDataFrame([(list(map(float, x)), int(w)) for x, w in zip(p, words, strict=True)], "p array<double>, words long")
+    steps, info = mx.fit_rates(groups, MIX)
+    assert np.abs(info["residual"]).max() < 0.005, info
+    rates = steps.looking(p)
+    copies = mx.copies_of(rates, np.array([mx._draw(i, None) for i in range(3000)]))
+    share = (words * copies) @ p / (words * copies).sum()
+    assert abs(share[1] - MIX["low"]) < 0.01 and share[2] < 0.01, share
+    assert abs((words * copies).sum() / (words * rates).sum() - 1) < 0.02
