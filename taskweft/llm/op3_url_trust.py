@@ -11,6 +11,8 @@ verdicts are distributed tables.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taskweft.plans.scratch import Scratch
@@ -24,7 +26,10 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 DAMPING = 0.85
+#: Rounds that the DuckDB twin writes out.
 ROUNDS = 12
+#: Propagation ends when the scores of all hosts change by less than this in sum.
+TOLERANCE = 1e-12
 #: A host whose distrust is more than this many times its trust is blocked.
 RATIO = 1.0
 #: Scores are rounded to so many digits before they are compared.
@@ -65,26 +70,34 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _rank(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float, rounds: int) -> DataFrame:
+def _rank(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float, rounds: int | None) -> DataFrame:
     """Personalised PageRank: (host, score). edges: (src, dst, share), shares of a source sum to 1. seeds: (host, mass).
 
-    A host without edges out keeps what it would pass on.
+    A host without edges out keeps what it would pass on.  Without ``rounds`` it goes on until the scores
+    change by less than TOLERANCE in sum.
     """
     score = seeds.select("host", F.col("mass").alias("score"))
-    if edges.isEmpty():  # nothing moves: a fixed point from the start
+    if edges.isEmpty() or seeds.isEmpty():  # nothing moves: a fixed point from the start
         return score
     dead = scratch.cut(seeds.select("host").unionByName(edges.select(F.col("dst").alias("host"))).distinct().join(edges.select(F.col("src").alias("host")).distinct(), "host", "left_anti"))
-    for _ in range(rounds):
+    last = None
+    for _ in count() if rounds is None else range(rounds):
         passed = edges.join(score.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.lit(damping) * F.col("share") * F.col("score")).alias("score"))
         stayed = score.join(dead, "host", "left_semi").select("host", (F.lit(damping) * F.col("score")).alias("score"))
         back = seeds.select("host", (F.lit(1 - damping) * F.col("mass")).alias("score"))
-        nxt = scratch.cut(passed.unionByName(stayed).unionByName(back).groupBy("host").agg(F.sum("score").alias("score")))
-        scratch.drop(score)
-        score = nxt
+        new = passed.unionByName(stayed).unionByName(back).withColumn("old", F.lit(0.0)).unionByName(score.select("host", F.lit(0.0).alias("score"), F.col("score").alias("old")))
+        nxt = scratch.cut(new.groupBy("host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")))
+        score = nxt.select("host", "score")
+        change = nxt.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] if rounds is None else None
+        if last is not None:
+            scratch.drop(last)
+        last = nxt
+        if change is not None and change < TOLERANCE:
+            break
     return score
 
 
-def host_trust(judged: DataFrame, edges: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO) -> DataFrame:
+def host_trust(judged: DataFrame, edges: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int | None = None, ratio: float = RATIO) -> DataFrame:
     """(host, trust, distrust, blocked) for hosts that trust or distrust reaches. judged: (host, action) a page."""
     counts = judged.groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("allowed"), F.count_if(F.col("action") == "block").alias("barred")).where("host <> '' and allowed + barred > 0")
     counts = scratch.cut(counts)
@@ -102,7 +115,7 @@ def host_trust(judged: DataFrame, edges: DataFrame, scratch: Scratch, damping: f
     return both.select("host", t.alias("trust"), d.alias("distrust"), (d > ratio * t).alias("blocked"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int | None = None, ratio: float = RATIO, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust), one row for each row of ``pages``.
 
     Null urls and urls without ``://`` have an empty host and path; no rule fits an empty host, and such

@@ -118,3 +118,11 @@ def test_rules(spark, url, rule):
 
 def test_no_pages(spark):
     assert u.judge_urls(spark.createDataFrame([], "page_id long, url string, html string, host string, trust int")).count() == 0
+
+
+def test_chain_longer_than_twelve_hosts(spark):
+    """A host that reaches a blocked one over many links is blocked, as in converged PageRank."""
+    pages = [(i, f"http://h{i}.com/", link(f"h{i + 1}.com") if i < 15 else link("bad.com")) for i in range(16)] + [(99, "http://bad.com/", "")]
+    got = {r.host: r.verdict for r in u.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES, damping=0.5).collect()}
+    blocked = brute_trust(pages, RULES, 0.5, 200, u.RATIO)
+    assert got == {h: "block" if blocked[h] else "allow" for h in got} and got["h0.com"] == "block"
