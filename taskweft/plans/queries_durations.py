@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from taskweft.functions import dates
 from taskweft.operators import drilldown, durations as du, stats, tables as tb
@@ -103,8 +103,8 @@ def date_forms(t):
 def clusters_by_overrun(t):
     x = tasks(t)
     c = drilldown.annotate(x).select("cluster", "tasks").join(drilldown.mean_overrun(x), "cluster")
-    ranked = tb.top_per_group(c.withColumn("g", F.lit(1)), ["g"], [F.desc("overrun"), "cluster"], 1000)
-    return ranked.select("cluster", "tasks", "overrun", F.col("rank").alias("place"))
+    place = F.row_number().over(Window.orderBy(F.desc("overrun"), "cluster"))
+    return c.select("cluster", "tasks", "overrun", place.alias("place"))
 
 
 @query("""SELECT s.label AS label, CAST(count(*) AS BIGINT) AS size FROM (SELECT o_custkey AS label FROM orders) s GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5""")

@@ -224,3 +224,12 @@ def test_spectral(spark):
     edges = [(i, j, 1.0) for g in (range(5), range(5, 10)) for i in g for j in g if i < j] + [(0, 5, 0.01)]
     got = {r.id: r.label for r in ward.spectral_labels(spark.createDataFrame(edges, "src long, dst long, weight double"), 2).collect()}
     assert len(got) == 10 and set(got.values()) <= {0, 1}
+
+
+def test_all_clusters_get_a_place(spark, monkeypatch):
+    from taskweft.plans import queries_durations
+
+    rows = [(i, i, f"c{i}", "f", 10, 10 + i % 7) for i in range(1200)]
+    tasks = spark.createDataFrame(rows, "id long, cluster long, name string, file string, planned_days int, actual_days int")
+    monkeypatch.setattr(queries_durations, "tasks", lambda t: tasks)
+    assert sorted(r.place for r in queries_durations.clusters_by_overrun(None).collect()) == list(range(1, 1201))
