@@ -25,10 +25,10 @@ PATTERNS = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
     "access": (r"(AKIA[A-Z0-9]+)", 16),
     "hex": (r"([0-9a-f]{32,})", 32),
-    "ident": (r"""(?i:\b(?:user|username|user_?id|login|account|client_?id|access_?key_?id|key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]+)""", 3),
-    "weak": (r"""(?i:\b(?:pass|pwd|key|auth|credential|private_?key|signature))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 4),
+    "ident": (r"""(?<![A-Za-z0-9_])(?i:(?:user|username|user_?id|login|account|client_?id|access_?key_?id|key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]+)""", 3),
+    "weak": (r"""(?<![A-Za-z0-9_])(?i:(?:pass|pwd|key|auth|credential|private_?key|signature))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 4),
     "bare": (r"(?<![A-Za-z0-9+/_.=-])((?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])[A-Za-z0-9+/]{20,}={0,2})", 20),
-    "endpoint": (r"""(?i:\b(?:https?|ftps?|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://)([^\s"'<>]+)""", 3),
+    "endpoint": (r"""(?<![A-Za-z0-9_])(?i:(?:https?|ftps?|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://)([^\s"'<>]+)""", 3),
 }
 #: A plain string that every match of the kind holds; texts without it are not searched.
 NEEDS = {"access": "AKIA", "endpoint": "://"}
