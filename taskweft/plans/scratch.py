@@ -22,10 +22,12 @@ BATCH_ROWS = 1000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the session names none (tests)."""
+    """The shared folder of the session; a temporary one only on a local master (tests), ``ValueError`` on a cluster without one."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", "") or ""
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="taskweft-")
@@ -42,7 +44,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/taskweft-{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
+        #: Each written table's frame, held so that its identity stays its own, and its folder.
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
         self._n = 0
         path = self._path(self.root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
@@ -68,12 +71,12 @@ class Scratch:
         finally:
             conf.set(_BATCH, batch)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
+        """Delete the tables behind frames that ``cut`` gave; other frames are left alone."""
         for df in frames:
-            path = self.paths.pop(id(df), None)
-            if path:
-                p = self._path(path)
+            if id(df) in self.paths:
+                p = self._path(self.paths.pop(id(df))[1])
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
