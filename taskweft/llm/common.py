@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -43,3 +44,18 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
     return name
+
+
+def connect(hits: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row and each column is connected to through hits; ``same``: both are the same ids."""
+    big = np.iinfo(np.int64).max
+    a, b = left.copy(), right.copy()
+    while True:
+        a2 = np.minimum(a, np.where(hits, b[None, :], big).min(axis=1, initial=big))
+        if same:
+            b2 = a2
+        else:
+            b2 = np.minimum(b, np.where(hits, a2[:, None], big).min(axis=0, initial=big))
+        if (a2 == a).all() and (b2 == b).all():
+            return a2, b2
+        a, b = a2, b2

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from taskweft.llm.common import connect
 from taskweft.plans.components import connected_components
 from taskweft.plans.scratch import Scratch
 
@@ -172,21 +173,6 @@ def _interval_pairs(leaves: DataFrame, eps: float, dims: int, top: int, scratch:
     return pairs
 
 
-def _connect(hits: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest id that each row and each column is connected to through hits."""
-    big = np.iinfo(np.int64).max
-    a, b = left.copy(), right.copy()
-    while True:
-        a2 = np.minimum(a, np.where(hits, b[None, :], big).min(axis=1, initial=big))
-        if same:
-            b2 = a2
-        else:
-            b2 = np.minimum(b, np.where(hits, a2[:, None], big).min(axis=0, initial=big))
-        if (a2 == a).all() and (b2 == b).all():
-            return a2, b2
-        a, b = a2, b2
-
-
 def compare_blocks(pairs: DataFrame, floor: float) -> DataFrame:
     """(rep, n, root): links of each vector found in a pair of blocks."""
 
@@ -206,7 +192,7 @@ def compare_blocks(pairs: DataFrame, floor: float) -> DataFrame:
                 if not len(at_a):
                     continue
                 hits = hits[np.ix_(at_a, at_b)]
-                root_a, root_b = _connect(hits, ids_a[at_a], ids_b[at_b], same)
+                root_a, root_b = connect(hits, ids_a[at_a], ids_b[at_b], same)
                 weigh = hits.astype(np.float64)
                 out = [(ids_a[at_a], weigh @ copies_b[at_b], root_a)]
                 if not same:

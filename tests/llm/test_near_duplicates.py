@@ -101,6 +101,56 @@ def test_families_without_a_common_original(spark):
     rng.shuffle(rows)
     want = brute(rows, 3, 85)
     assert len(set(want.values())) == 80
-    for block in (16, 256):
-        got = near(spark, rows, words=3, percent=85, rows=1, bins=8, block=block)
+    for tile in (16, 1024):
+        got = near(spark, rows, words=3, percent=85, rows=1, bins=8, tile=tile)
         assert {r.doc_id: r.component_id for r in got} == want
+
+
+def brute_by_product(rows, words, percent):
+    """Components by one product of incidences; for distinct ids with text."""
+    sets = [{" ".join(w[k : k + words]) for k in range(len(w) - words + 1)} for w in (t.split() for _, t in rows)]
+    at = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [at[x] for x in s]] = 1
+    common, n = np.rint(m @ m.T), m.sum(axis=1)
+    hits = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    ids = np.array([i for i, _ in rows])
+    root = ids.copy()
+    while (new := np.where(hits, root[None, :], ids.max() + 1).min(axis=1)).tolist() != root.tolist():
+        root = new
+    return dict(zip(ids.tolist(), root.tolist(), strict=True))
+
+
+def family(pairs, cuts=7, gap=15, seed=21):
+    """Pairs of near copies of one text that is not among them: the two of a pair share all cuts but one."""
+    rng = random.Random(seed)
+    base, rows = [f"b{i}" for i in range(1000)], []
+    for i in range(pairs):
+        first = [rng.randrange(985) for _ in range(cuts)]
+        for k, at in enumerate((first, [*first[1:], rng.randrange(985)])):
+            gone = {c + j for c in at for j in range(gap)}
+            rows.append((2 * i + k, " ".join(w for n, w in enumerate(base) if n not in gone)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_family_of_cut_copies(spark):
+    for rows, tile in ((family(450), 64), (family(450, gap=20), 1024)):
+        want = brute_by_product(rows, 3, 85)
+        assert len(set(want.values())) > 5
+        assert {r.doc_id: r.component_id for r in near(spark, rows, words=3, percent=85, rows=7, tile=tile)} == want
+
+
+def test_repeated_ids_with_other_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "c d e f"), (4, a + " fin"), (9, "c d e f"), (8, "x y z"), (7, "x y z")]
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 8: 7, 7: 7}
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        assert {r.doc_id: r.component_id for r in near(spark, order, words=3, percent=85, rows=7)} == want == brute(rows, 3, 85)
+
+
+def test_long_texts_of_distinct_words(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-500])), (3, " ".join(words[:30_000])), (4, " ".join(words[3:]))]
+    assert {r.doc_id: r.component_id for r in near(spark, rows)} == {1: 1, 2: 1, 3: 3, 4: 1}
