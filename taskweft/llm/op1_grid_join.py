@@ -6,7 +6,8 @@ on the leading principal dimensions and the sequence is cut into blocks; above t
 sequence intervals, each with its bounding box.  The join starts from the whole sequence against itself and
 goes down the tree level by level, keeping the pairs of child intervals whose boxes are within eps; what is
 farther apart is skipped with everything below it.  The pairs of blocks that remain are compared in double
-precision, one matrix product a pair.
+precision, one matrix product a pair.  A task holds a few neighbouring blocks while the blocks that they are
+paired with pass by, so pairs carry no content.
 
 A pair of blocks returns one row for each vector that has a link: how many vectors it links with there, and
 the smallest vector it is connected to within the two blocks.  So a group of n near copies gives rows in
@@ -27,8 +28,10 @@ from taskweft.llm.common import connect
 from taskweft.plans.components import connected_components
 from taskweft.plans.scratch import Scratch
 
-#: Vectors in a block: two blocks and their product take about 50 MB.
-BLOCK = 2048
+#: Vectors in a block, and bytes of their components as doubles, at most.
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
+#: Blocks that a task holds while others pass by, and chunks of passing blocks.
+HOLD, CHUNK = 8, 64
 #: Principal dimensions whose cells order the sequence, and that the boxes span.
 SORT_DIMS, BOX_DIMS = 4, 16
 #: Children of an interval.
@@ -54,32 +57,34 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def principal_axes(classes: DataFrame, width: int) -> np.ndarray:
+def principal_axes(classes: DataFrame, width: int, rounds: int = 2) -> np.ndarray:
     """Leading principal axes of the unit vectors (shorter vectors padded); a (width, dims) matrix.
 
-    Each task sums its outer products, Spark adds them by row, so the driver gets width * width sums.
+    Orthogonal iteration from a fixed start: each round multiplies the covariance with ``dims`` columns, so
+    Spark sums ``width`` rows of ``dims`` numbers and the driver never holds more.  Any orthonormal columns
+    give true lower bounds of distances, so rounds only sharpen the order.
     """
-
-    def sums(batches):
-        total, mean, n = np.zeros((width, width)), np.zeros(width), 0
-        for batch in batches:
-            for k, _, m in _groups(batch.column(0)):
-                u = _unit(m)
-                total[:k, :k] += u.T @ u
-                mean[:k] += u.sum(axis=0)
-                n += len(u)
-        rows = [*total, mean, np.full(width, float(n))]
-        yield pa.RecordBatch.from_arrays([pa.array(range(width + 2), pa.int32()), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["i", "row"])
-
-    parts = classes.select("vec").mapInArrow(sums, "i int, row array<double>")
-    got = parts.groupBy("i").agg(F.array(*(F.sum(F.col("row")[k]) for k in range(width))).alias("row")).collect()
-    by = {r["i"]: np.array(r["row"]) for r in got}
-    if not by or by[width + 1][0] == 0:
-        return np.eye(width)[:, : min(width, BOX_DIMS)]
-    n = by[width + 1][0]
-    cov = np.stack([by[i] for i in range(width)]) / n - np.outer(by[width], by[width]) / n**2
-    values, axes = np.linalg.eigh(cov)
-    return axes[:, np.argsort(-values)[: min(width, BOX_DIMS)]]
+    dims = min(width, BOX_DIMS)
+    axes = np.linalg.qr(np.random.default_rng(7).normal(size=(width, dims)))[0]
+    for _ in range(rounds):
+
+        def sums(batches, axes=axes):
+            total, mean, n = np.zeros((width, dims)), np.zeros(width), 0
+            for batch in batches:
+                for k, _, m in _groups(batch.column(0)):
+                    u = _unit(m)
+                    total[:k] += u.T @ (u @ axes[:k])
+                    mean[:k] += u.sum(axis=0)
+                    n += len(u)
+            columns = [pa.array(range(width), pa.int32()), pa.array(np.full(width, n)), pa.array(mean), *(pa.array(total[:, j]) for j in range(dims))]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "n", "mean", *(f"x{j}" for j in range(dims))])
+
+        parts = classes.select("vec").mapInArrow(sums, "i int, n long, mean double, " + ", ".join(f"x{j} double" for j in range(dims)))
+        got = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("mean").alias("mean"), *(F.sum(f"x{j}").alias(f"x{j}") for j in range(dims))).toPandas().sort_values("i")
+        n, mean = float(got["n"].iloc[0]), got["mean"].to_numpy()
+        moved = got[[f"x{j}" for j in range(dims)]].to_numpy() / n - np.outer(mean, mean @ axes) / n**2
+        axes, scale, _ = np.linalg.svd(moved + 1e-12 * axes, full_matrices=False)  # by falling variance
+    return axes
 
 
 def _blocks(classes: DataFrame, axes: np.ndarray, eps: float, block: int, count: int) -> DataFrame:
@@ -107,7 +112,7 @@ def _blocks(classes: DataFrame, axes: np.ndarray, eps: float, block: int, count:
 
         def emit(rows: pa.Table):
             p = np.stack(rows.column("p").to_numpy(zero_copy_only=False))
-            m = np.stack(rows.column("vec").combine_chunks().to_numpy(zero_copy_only=False)).astype(np.float64)
+            m = np.stack(rows.column("vec").combine_chunks().to_numpy(zero_copy_only=False))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int64()),
@@ -173,34 +178,58 @@ def _interval_pairs(leaves: DataFrame, eps: float, dims: int, top: int, scratch:
     return pairs
 
 
-def compare_blocks(pairs: DataFrame, floor: float) -> DataFrame:
-    """(rep, n, root): links of each vector found in a pair of blocks."""
+def meetings(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The content of each block, once for each group of blocks that it meets: (g, c, turn, node, partners, size, ids, copies, vecs).
+
+    A group is a run of HOLD blocks.  Its own blocks come first (turn 0) and stay in the task's memory; the
+    blocks that they are paired with follow one by one (turn 1).  So a block travels once for HOLD pairs, and
+    no row holds more than one.  Many partners are cut into chunks of CHUNK blocks, each with the group's blocks.
+    """
+    met = pairs.withColumns({"g": F.expr(f"a div {HOLD}"), "c": F.expr(f"b div {CHUNK}")})
+    held = met.select("g", "c", F.lit(0).alias("turn"), F.col("a").alias("node"), F.array().cast("array<bigint>").alias("partners")).distinct()
+    passing = met.groupBy("g", "c", F.col("b").alias("node")).agg(F.array_sort(F.collect_list("a")).alias("partners")).select("g", "c", F.lit(1).alias("turn"), "node", "partners")
+    rows = held.unionByName(passing).join(blocks, "node")
+    return rows.repartition("g", "c").sortWithinPartitions("g", "c", "turn", "node").select("g", "c", "turn", "node", "partners", "size", "ids", "copies", "vecs")
+
+
+def compare_blocks(met: DataFrame, floor: float, kind) -> DataFrame:
+    """(rep, n, root): links of each vector found in a pair of blocks. met: rows of ``meetings`` in their order."""
 
     def run(batches):
+        group, held = None, {}
         for batch in batches:
-            rows = {k: batch.column(k) for k in batch.schema.names}
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
             for r in range(batch.num_rows):
-                size = rows["size"][r].as_py()
-                raw = lambda k, kind: np.frombuffer(rows[k][r].as_buffer(), kind)  # noqa: B023, E731
-                same = rows["a"][r] == rows["b"][r]
-                ids_a, copies_a, u = raw("ids_a", np.int64), raw("copies_a", np.int64), _unit(raw("vecs_a", np.float64).reshape(-1, size))
-                ids_b, copies_b, v = (ids_a, copies_a, u) if same else (raw("ids_b", np.int64), raw("copies_b", np.int64), _unit(raw("vecs_b", np.float64).reshape(-1, size)))
-                hits = (u @ v.T) >= floor
-                if same:
-                    np.fill_diagonal(hits, False)
-                at_a, at_b = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
-                if not len(at_a):
+                if (of := (column["g"][r].as_py(), column["c"][r].as_py())) != group:
+                    group, held = of, {}
+                raw = lambda k, t: np.frombuffer(column[k][r].as_buffer(), t)  # noqa: B023, E731
+                node = column["node"][r].as_py()
+                block = raw("ids", np.int64).copy(), raw("copies", np.int64).copy(), raw("vecs", kind).reshape(-1, column["size"][r].as_py()).copy()
+                if column["turn"][r].as_py() == 0:
+                    held[node] = block
                     continue
-                hits = hits[np.ix_(at_a, at_b)]
-                root_a, root_b = connect(hits, ids_a[at_a], ids_b[at_b], same)
-                weigh = hits.astype(np.float64)
-                out = [(ids_a[at_a], weigh @ copies_b[at_b], root_a)]
-                if not same:
-                    out.append((ids_b[at_b], copies_a[at_a] @ weigh, root_b))
-                for ids, n, root in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.rint(n).astype(np.int64)), pa.array(root)], names=["rep", "n", "root"])
-
-    return pairs.mapInArrow(run, "rep long, n long, root long")
+                ids_b, copies_b, v = block
+                v = _unit(v.astype(np.float64))
+                for at in column["partners"][r].as_py():
+                    same, (ids_a, copies_a, u) = at == node, held[at]
+                    if u.shape[1] != v.shape[1]:
+                        continue
+                    hits = (v if same else _unit(u.astype(np.float64))) @ v.T >= floor
+                    if same:
+                        np.fill_diagonal(hits, False)
+                    at_a, at_b = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
+                    if not len(at_a):
+                        continue
+                    hits = hits[np.ix_(at_a, at_b)]
+                    root_a, root_b = connect(hits, ids_a[at_a], ids_b[at_b], same)
+                    weigh = hits.astype(np.float64)
+                    out = [(ids_a[at_a], weigh @ copies_b[at_b], root_a)]
+                    if not same:
+                        out.append((ids_b[at_b], copies_a[at_a] @ weigh, root_b))
+                    for ids, n, root in out:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.rint(n).astype(np.int64)), pa.array(root)], names=["rep", "n", "root"])
+
+    return met.mapInArrow(run, "rep long, n long, root long")
 
 
 def linked_vectors(df: DataFrame, min_cosine: float = 0.95, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -210,22 +239,25 @@ def linked_vectors(df: DataFrame, min_cosine: float = 0.95, block: int = BLOCK,
     ``n_links`` counts the other vectors linked directly, equal ones included; ``component_id`` is the
     smallest vec_id reachable by links, itself included; ``kept`` is ``vec_id = component_id``.  Vectors
     that are null, empty, zero, or hold null or non-finite components link with nothing, as do vectors of
-    different lengths with each other.  Rows that repeat a vec_id with the same vector count as
+    different lengths with each other; lengths are not bounded, and a block of long vectors holds fewer.  Rows that repeat a vec_id with the same vector count as
     copies; with another vector they share their links.  A row without vec_id links with nothing: 0 links, null component, not kept.  An empty table
     gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "grid")
     eps = math.sqrt(2 - 2 * min_cosine)
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    single = df.schema[vec_col].dataType == T.ArrayType(T.FloatType(), df.schema[vec_col].dataType.containsNull) if isinstance(df.schema[vec_col].dataType, T.ArrayType) else False
+    kind = np.float32 if single else np.float64  # singles are moved as they are and compared as doubles
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>" if single else "array<double>").alias("vec"))
     usable = (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = rows.withColumn("vec", F.when(F.col("vec_id").isNotNull() & usable, F.transform("vec", lambda x: x + F.lit(0.0))))
+    rows = rows.withColumn("vec", F.when(F.col("vec_id").isNotNull() & usable, F.transform("vec", lambda x: x + F.lit(0.0).cast("float" if single else "double"))))
     classes = scratch.cut(rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     facts = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
     if not facts["n"]:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
 
     axes = principal_axes(classes, facts["width"])
+    block = min(block, max(16, BLOCK_BYTES // (8 * facts["width"])))
     blocks = scratch.cut(_blocks(classes, axes, eps, block, facts["n"]))
     last = blocks.agg(F.max("part").alias("part"), F.max("number").alias("number")).first()
     per = last["number"] + 1
@@ -233,9 +265,8 @@ def linked_vectors(df: DataFrame, min_cosine: float = 0.95, block: int = BLOCK,
     dims = axes.shape[1]
     leaves = scratch.cut(blocks.select(node, F.col("size").alias("size_lo"), F.col("size").alias("size_hi"), *(F.col("lo")[k].alias(f"lo{k}") for k in range(dims)), *(F.col("hi")[k].alias(f"hi{k}") for k in range(dims))))
     pairs = _interval_pairs(leaves, eps, dims, last["part"] * per + last["number"], scratch)
-    content = lambda s: blocks.select(node.alias(s), *([F.col("size")] if s == "a" else []), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "vecs")))
-    ready = pairs.join(content("a"), "a").join(content("b"), "b")
-    found = scratch.cut(compare_blocks(ready, min_cosine))
+    content = blocks.select(node, "size", "ids", "copies", "vecs")
+    found = scratch.cut(compare_blocks(meetings(pairs, content), min_cosine, kind))
 
     to = connected_components(found.select("rep", "root"), scratch, "rep", "root", rows=found.count())
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
