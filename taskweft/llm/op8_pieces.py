@@ -8,10 +8,10 @@ the library's own segmentation of that prefix.  Only the last ``max_piece`` boun
 extended: when the backpointers of all of them meet in one boundary, everything before it is final, its
 ids are committed, and the window starts anew.  Memory is bounded by the window, not by the text.
 
-Words recur, so the ids of a stretch of letters, or of other characters, are remembered (a bounded memo)
-with the marks before it.  No piece of the model joins letters to other characters or holds a mark after
-either (checked as the model is read), so every path passes the boundaries between such stretches; a model
-that has such pieces is streamed without the memo.
+Words recur, so what the stream has committed for a stretch of letters, or of other characters, is
+remembered (a bounded memo) with the marks before it.  No piece of the model joins letters to other
+characters or holds a mark after either (checked as the model is read), so all paths meet at the boundaries
+between such stretches; a model that has such pieces is streamed without the memo.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ MEMO_WORDS = 600_000
 #: Longer stretches without white space are never remembered.
 MEMO_LENGTH = 64
 #: Characters between two looks at where the surviving paths meet.
-LOOK_EVERY = 32
+LOOK_EVERY = 8
+#: Texts that a normaliser or a piece taken before all merges would change.
+PROBES = ("a  b", " a ", "\ufb01x \u2460", "e\u0301\u00e9", "\uff21\u3000b", "\ta\n\nb", "\u200bx", "\u00a0y")
 
 
 def stretches(joined: str = "") -> re.Pattern:
@@ -72,6 +74,10 @@ class PieceModel:
         self._tree: dict[str, tuple[str, str] | None] = {}
         self._fits: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        first = sorted((p for p in plain if sp.get_score(p) >= 0), key=lambda p: len(self.piece[p]))[-64:]
+        for probe in (*PROBES, *(f"x{self.piece[p].replace(MARK, ' ')}x" for p in first)):
+            if self.encode(probe).tolist() != sp.encode(probe):
+                raise ValueError(f"the model normalises texts or holds user-defined pieces: {probe!r}")
 
     # -- which pieces may stand side by side --------------------------------------------------------------
 
@@ -145,8 +151,12 @@ class PieceModel:
             last.append(piece)
             back.append(at)
 
-    def stream(self, chars: Iterator[str]) -> Iterator[int]:
-        """Ids of a stream of characters (marks in place of spaces), committed as soon as they are final."""
+    def commits(self, chars: Iterator[str]) -> Iterator[tuple[list[int], int, bool]]:
+        """Ids of a stream of characters (marks in place of spaces) as soon as they are final.
+
+        Yields (ids, characters of the window before the commit, whether the surviving paths met; if not, the
+        stream ended).
+        """
         text, last, back = "", [self.open], [0]  # the window
         while True:
             more = "".join(islice(chars, LOOK_EVERY))
@@ -162,12 +172,17 @@ class PieceModel:
                     alive.add(back[top])
                 final = alive.pop()
             if final:
-                yield from self._path(text, last, back, final)
+                yield self._path(text, last, back, final), len(text), bool(more)
                 # the piece before the window stays, as the next border needs it
                 text, last, back = text[final:], last[final:], [0, *(b - final if b >= 0 else -1 for b in back[final + 1 :])]
             if not more:
                 return
 
+    def stream(self, chars: Iterator[str]) -> Iterator[int]:
+        """The ids of ``commits``, one by one."""
+        for ids, _, _ in self.commits(chars):
+            yield from ids
+
     def _path(self, text: str, last: list, back: list, at: int) -> list[int]:
         ids = []
         while at > 0:
@@ -181,13 +196,12 @@ class PieceModel:
     # -- texts --------------------------------------------------------------------------------------------
 
     def _stretch(self, chunk: str) -> bytes:
-        if len(chunk) > MEMO_LENGTH:
-            return np.fromiter(self.stream(iter(chunk)), dtype=np.int32).tobytes()
-        last, back = [self.open], [0]  # the stretch is one window
-        self._extend(chunk, last, back, 0)
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        ids = self.memo[chunk] = array("i", self._path(chunk, last, back, len(chunk))).tobytes()
+        """All that the stream commits for a stretch; all paths meet at its end, so it can be remembered."""
+        ids = array("i", self.stream(iter(chunk))).tobytes()
+        if len(chunk) <= MEMO_LENGTH:
+            if len(self.memo) >= MEMO_WORDS:
+                self.memo.clear()
+            self.memo[chunk] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
@@ -244,7 +258,11 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", ids_co
 
 
 def decode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "piece_ids") -> DataFrame:
-    """(doc_id, text): null arrays decode as empty."""
+    """(doc_id, text), one row for each row of ``df``.
+
+    Null and empty arrays decode as empty texts, a null id stays null, repeated rows are decoded each, very
+    long arrays whole; an empty table gives no rows; other columns are not read.
+    """
 
     @per_task
     def task():
@@ -258,7 +276,9 @@ def encode_and_check(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
     """(doc_id, n_pieces, piece_ids, round_trip): encoding, and whether decoding gives the text back.
 
     ``round_trip`` compares with the text after replacing the mark U+2581 by a space, which the model
-    cannot tell apart.
+    cannot tell apart.  Null and empty texts have no pieces and come back as empty; a null id stays null;
+    repeated rows are encoded each; very long texts are streamed; an empty table gives no rows; other columns
+    are not read.
     """
 
     @per_task

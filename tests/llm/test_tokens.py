@@ -73,7 +73,32 @@ def test_stream_commits_early():
 
     ids = m.stream(chars())
     next(ids)
-    assert taken <= 2 * pieces.LOOK_EVERY
+    assert taken <= 4 * pieces.LOOK_EVERY
+
+
+def test_most_ids_are_committed_where_paths_meet(spark, sf):
+    """Over real texts, without the memo: the window stays small and nearly no id waits for the end."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECE_MODEL))
+    m = pieces.PieceModel(tokenizer_path(PIECE_MODEL))
+    met = ended = widest = 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect():
+        ids = []
+        for part, window, early in m.commits(iter(pieces.MARK + r.text.replace(" ", pieces.MARK))):
+            ids += part
+            met, ended, widest = met + early * len(part), ended + (not early) * len(part), max(widest, window)
+        assert ids == sp.encode(r.text)
+    assert met > 0.95 * (met + ended) and widest <= 4 * m.longest + pieces.LOOK_EVERY
+
+
+def test_models_that_change_texts_are_refused(monkeypatch):
+    import sentencepiece
+
+    plain = sentencepiece.SentencePieceProcessor.encode
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", lambda sp, text, **how: plain(sp, text.replace("  ", " ") if isinstance(text, str) else text, **how))
+    with pytest.raises(ValueError, match="normalises"):
+        pieces.PieceModel(tokenizer_path(PIECE_MODEL))
 
 
 def test_odd_rows_encode(spark, odd, clash, none):
