@@ -25,8 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; n_chars follows."""
-    return op10_line_dedup.drop_boilerplate(docs, LINE_RATIO, LINE_PAGES, chars_col="n_chars")
+    """Texts without the boilerplate lines of their source; n_chars follows.
+
+    Equal texts of a source count as one page here: copies are for the next stage to drop, not their lines.
+    """
+    return op10_line_dedup.drop_boilerplate(docs, LINE_RATIO, LINE_PAGES, distinct_pages=True, chars_col="n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Line de-duplication by site-relative frequency.
 
 Lines are counted per host: the share of a host's pages that contain the line.  Lines above the ratio are
-the site's boilerplate and are dropped from its pages.  Pages of a host with equal texts count once, so
-copies of a page do not make its lines boilerplate.
+the site's boilerplate and are dropped from its pages.  With ``distinct_pages`` pages of a host with equal
+texts count once, so copies of a page do not make its lines boilerplate; that costs a shuffle more.
 
 Only hashes of lines are shuffled, never texts.  The boilerplate of a host is short: no more than its mean
 number of distinct lines a page divided by the ratio.  It is joined to the pages by host, as one array a
@@ -26,22 +26,21 @@ def _is_blank(line: Column) -> Column:
     return F.length(F.trim(F.regexp_replace(line, "[\\t\\r\\x0B\\f]", " "))) == 0
 
 
-def boilerplate(df: DataFrame, max_ratio: float, min_pages: int, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def boilerplate(df: DataFrame, max_ratio: float, min_pages: int = 1, distinct_pages: bool = False, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """(host, lines): the hashes of each host's lines that stand on ``min_pages`` pages and more than ``max_ratio`` of all.
 
     Null hosts form a host of their own.  Null texts are no pages.  Blank lines are not counted.
     """
     pages = df.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    page = F.xxhash64("text").alias("page")
-    totals = pages.select("host", page).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     hashed = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: ~_is_blank(x)), lambda x: F.xxhash64(x)))
-    on = (
-        pages.select("host", page, F.explode(hashed).alias("line"))
-        .distinct()
-        .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= max(1, min_pages))
-    )
+    if distinct_pages:
+        page = F.xxhash64("text").alias("page")
+        counted = pages.select("host", page).distinct()
+        lines = pages.select("host", page, F.explode(hashed).alias("line")).distinct()
+    else:
+        counted, lines = pages, pages.select("host", F.explode(hashed).alias("line"))
+    totals = counted.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    on = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, min_pages))
     return (
         on.join(totals, on["host"].eqNullSafe(totals["host"]))
         .where(F.col("n") > max_ratio * F.col("pages"))
@@ -50,17 +49,17 @@ def boilerplate(df: DataFrame, max_ratio: float, min_pages: int, host_col: str =
     )
 
 
-def drop_boilerplate(df: DataFrame, max_ratio: float = 0.1, min_pages: int = 4, host_col: str = "source", text_col: str = "text", count_col: str | None = None, chars_col: str | None = None) -> DataFrame:
+def drop_boilerplate(df: DataFrame, max_ratio: float = 0.1, min_pages: int = 1, distinct_pages: bool = False, host_col: str = "source", text_col: str = "text", count_col: str | None = None, chars_col: str | None = None) -> DataFrame:
     """``df`` with its host's boilerplate lines taken out of each text; all rows stay.
 
-    A page whose every line is boilerplate keeps an empty text; a null text stays null.  Blank lines and
+    Without ``min_pages`` every line of a host's only page is on all its pages and goes.  A page whose every line is boilerplate keeps an empty text; a null text stays null.  Blank lines and
     the order of lines are kept.  ``count_col`` adds the number of lines dropped (replacing a column of that
     name), ``chars_col`` is set to the new text's length.  Repeated rows and null ids are treated alike;
     other columns pass through, whatever their names; an empty table gives none.
     """
     scratch = Scratch(df.sparkSession, "lines")
     host, bad = fresh(df, "_host"), fresh(df, "_boilerplate")
-    found = scratch.cut(boilerplate(df, max_ratio, min_pages, host_col, text_col)).withColumnsRenamed({"host": host, "lines": bad})
+    found = scratch.cut(boilerplate(df, max_ratio, min_pages, distinct_pages, host_col, text_col)).withColumnsRenamed({"host": host, "lines": bad})
     joined = df.join(found, F.col(f"`{host_col}`").cast("string").eqNullSafe(F.col(host)), "left")
     text = F.col(f"`{text_col}`").cast("string")
     kept = F.filter(_lines(text), lambda x: _is_blank(x) | ~F.array_contains(F.col(bad), F.xxhash64(x)))
@@ -75,13 +74,13 @@ def drop_boilerplate(df: DataFrame, max_ratio: float = 0.1, min_pages: int = 4,
     return joined.select(*cols)
 
 
-def oracle(max_ratio: float, min_pages: int, table: str = "documents") -> str:
+def oracle(max_ratio: float, min_pages: int = 1, distinct_pages: bool = False, table: str = "documents") -> str:
     """DuckDB twin: (doc_id, n_dropped, text)."""
     blank = "length(trim(regexp_replace({0}, '[\\t\\r\\x0B\\f]', ' ', 'g'))) = 0"
     return f"""
-    WITH pages AS (SELECT DISTINCT source, text FROM {table} WHERE text IS NOT NULL),
+    WITH pages AS ({"SELECT DISTINCT source, text, 0 AS page" if distinct_pages else "SELECT source, text, row_number() OVER () AS page"} FROM {table} WHERE text IS NOT NULL),
     totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
-    lines AS (SELECT DISTINCT source, text, unnest(string_split(text, chr(10))) AS line FROM pages),
+    lines AS (SELECT DISTINCT source, text, page, unnest(string_split(text, chr(10))) AS line FROM pages),
     bad AS (
         SELECT l.source, l.line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
         WHERE NOT ({blank.format("l.line")})

@@ -67,8 +67,8 @@ def op9_media_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_media.media_features(op9_media.store_texts(table(spark, sf_dir, "documents")))
 
 
-#: A line is boilerplate on more than this share of its host's pages, and on so many pages at least.
-LINE_RATIO, LINE_PAGES = 0.1, 4
+#: A line is boilerplate on more than this share of its host's pages; on one page alone it repeats nothing.
+LINE_RATIO, LINE_PAGES = 0.1, 2
 
 
 def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
