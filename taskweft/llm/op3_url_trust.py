@@ -29,11 +29,11 @@ DAMPING = 0.85
 #: Rounds that the DuckDB twin writes out.
 ROUNDS = 12
 #: Propagation ends when the scores of all hosts change by less than this in sum.
-TOLERANCE = 1e-12
+TOLERANCE = 1e-9
 #: A host whose distrust is more than this many times its trust is blocked.
 RATIO = 1.0
-#: Scores are rounded to so many digits before they are compared.
-DIGITS = 12
+#: Distrust counts as more than trust where it is so by more than this share of it: scores are sums of doubles.
+MARGIN = 1e-6
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -111,8 +111,8 @@ def host_trust(judged: DataFrame, edges: DataFrame, scratch: Scratch, damping: f
     trust = _rank(forward, seeds("allowed", sums["a"]), scratch, damping, rounds)
     distrust = _rank(backward, seeds("barred", sums["b"]), scratch, damping, rounds)
     both = trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full")
-    t, d = F.round(F.coalesce("trust", F.lit(0.0)), DIGITS), F.round(F.coalesce("distrust", F.lit(0.0)), DIGITS)
-    return both.select("host", t.alias("trust"), d.alias("distrust"), (d > ratio * t).alias("blocked"))
+    t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    return both.select("host", t.alias("trust"), d.alias("distrust"), (d * (1 - MARGIN) > ratio * t).alias("blocked"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int | None = None, ratio: float = RATIO, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -120,7 +120,8 @@ def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds:
 
     Null urls and urls without ``://`` have an empty host and path; no rule fits an empty host, and such
     pages, like those of hosts that neither trust nor distrust reaches, are allowed.  Null html has no
-    links.  Repeated rows count as pages of their own.  An empty table gives no rows.
+    links, very long html is read whole.  Repeated rows count as pages of their own.  An empty table gives no
+    rows; other columns are not read, whatever their names.
     """
     scratch = Scratch(pages.sparkSession, "hosts")
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
@@ -159,6 +160,6 @@ def oracle(rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, ratio: f
                 f"UNION ALL SELECT host, {1 - damping} * mass FROM {name}s) GROUP BY host)"
             )
     ctes.append(
-        f"hosts AS (SELECT coalesce(t.host, d.host) AS host, round(coalesce(d.score, 0), {DIGITS}) > {ratio} * round(coalesce(t.score, 0), {DIGITS}) AS blocked FROM t{rounds} t FULL JOIN d{rounds} d ON t.host = d.host)"
+        f"hosts AS (SELECT coalesce(t.host, d.host) AS host, coalesce(d.score, 0) * {1 - MARGIN} > {ratio} * coalesce(t.score, 0) AS blocked FROM t{rounds} t FULL JOIN d{rounds} d ON t.host = d.host)"
     )
     return "WITH " + ",\n".join(ctes) + "\nSELECT page_id, j.host, path, rule, coalesce(action, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM judged j LEFT JOIN hosts h ON j.host = h.host"
