@@ -133,7 +133,12 @@ def fit_domains(rows, domain: np.ndarray, k: int, steps: int = 300, decay: float
 
 
 def train_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
-    """Fit on at most ``sample_rows`` labelled rows (``labels``: doc_id, quality, toxic)."""
+    """Fit on at most ``sample_rows`` labelled rows (``labels``: doc_id, quality, toxic).
+
+    Repeated ids count once, by their smallest text and labels, null texts as empty; rows with a null id or
+    label are left out.  Without labelled rows all domains are equally likely everywhere.  Other columns are
+    not read.
+    """
     sample = labelled_sample(docs, labels, ["quality", "toxic"], id_col, text_col, "n_chars", None, sample_rows)
 
     @per_task
@@ -152,7 +157,11 @@ def train_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 
 def posteriors(df: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, p array<double>, draw), one row for each row of ``df``; null texts count as empty."""
+    """(doc_id, n_words, p array<double>, draw), one row for each row of ``df``.
+
+    Null and empty texts have no words and the posterior of an empty text; rows with null or repeated ids are
+    judged each; texts are read whole; an empty table gives no rows; other columns are not read.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @per_task
@@ -205,9 +214,10 @@ class Steps:
 
 
 def fit_rates(groups: DataFrame, weights: dict[str, float] | list[float], total: float | None = None, ridge: float = 1e-2, rounds: int = 80, tolerance: float = 1e-6) -> tuple[Steps, dict]:
-    """Steps of the descent for (p, words); a table without words has none, so all rates stay 1.
+    """Steps of the descent for (p, words), and what came of it; a table without words has none, so all rates stay 1.
 
-    ``total`` is the mix's number of words; without it, the largest wanted domain keeps its own.
+    The second result tells the words, the domains' shares before, the targets, the residuals left and the
+    rounds.  Rows of the same p may repeat; null p or words are not expected here.  ``total`` is the mix's number of words; without it, the largest wanted domain keeps its own.
     """
     w = np.array(list(weights.values()) if isinstance(weights, dict) else weights, dtype=float)
     w = w / w.sum()
@@ -285,7 +295,11 @@ def mixing_rates(df: DataFrame, model: DomainModel, weights: dict[str, float], t
 
 
 def mix(df: DataFrame, model: DomainModel, weights: dict[str, float], total: float | None = None, repeat: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns as they are, each as often as ``mixing_rates`` says in ``copies``; at most once without ``repeat``."""
+    """The rows of ``df``, all columns as they are, each as often as ``mixing_rates`` says in ``copies``; at most once without ``repeat``.
+
+    Null and empty texts have the rate of their posterior; rows with null ids are drawn by their text, repeated
+    rows alike; an empty table gives none; other columns may bear any name.
+    """
     scratch = Scratch(df.sparkSession, "mix")
     groups = scratch.cut(_grouped(posteriors(df.select(F.lit(0).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), model)))
     steps = _fit_mix(groups, weights, total)

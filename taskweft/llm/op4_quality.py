@@ -93,6 +93,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], i
     """(doc_id, text, n_chars, labels...) of at most ``rows`` labelled documents, by the smallest hash of their id.
 
     Labels that disagree about a document count by their smallest value; null labels and ids are left out.
+    Of texts that share an id the smallest is taken; equal hashes go by id.  Without labels there are no rows.
     """
     one = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(*(F.min(F.col(c).cast("int")).alias(c) for c in label_cols))
     for c in ["doc_id", *label_cols]:
@@ -102,11 +103,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], i
     picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # the documented bound makes the broadcast safe
     chars = F.col(chars_col).cast("long") if chars_col in docs.columns else F.lit(None).cast("long")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), chars.alias("n_chars"))
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    met = texts.join(F.broadcast(picked), "doc_id")
+    return met.groupBy("doc_id").agg(F.min(F.struct("text", "n_chars")).alias("one"), *(F.min(c).alias(c) for c in label_cols)).select("doc_id", "one.*", *label_cols)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", training=None, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Fit on the sample; ``training`` maps the id column to the rows that may be learnt from."""
+    """Fit on the sample; ``training`` maps the id column to the rows that may be learnt from.
+
+    The fit depends on the rows, not on their order: repeated ids count once (``labelled_sample``), null texts
+    as empty.  Without labelled rows, or with one class only, every document gets the share of label 1.
+    Other columns are not read.
+    """
     sample = labelled_sample(docs, labels, [label_col], id_col, text_col, chars_col, training, sample_rows)
 
     @per_task
