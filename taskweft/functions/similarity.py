@@ -1,25 +1,45 @@
-"""String similarity as expressions."""
+"""String similarity: length bounds as expressions, ratios in Arrow batches."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import IntegerType
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, by rows of the usual table."""
-    n, m = F.length(a), F.length(b)
+def _common_length(a: str, b: str, masks: dict[str, int]) -> int:
+    """Longest common subsequence; ``masks`` has a bit for each place of each character of ``a``.
+
+    A row of the usual table is one integer whose zero bits are the places where the length grows.
+    """
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & masks.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
-    def row(above: Column, i: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            same = F.substr(a, i, F.lit(1)) == F.substr(b, j, F.lit(1))
-            value = F.when(same, F.element_at(above, j) + 1).otherwise(F.greatest(F.element_at(above, j + 1), F.element_at(acc, -1)))
-            return F.concat(acc, F.array(value))
 
-        return F.aggregate(F.sequence(F.lit(1), m), F.array(F.lit(0)), cell)
+@F.pandas_udf(IntegerType())
+def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    known: dict[str, dict[str, int]] = {}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        if x not in known:
+            masks: dict[str, int] = {}
+            for i, c in enumerate(x):
+                masks[c] = masks.get(c, 0) | 1 << i
+            known[x] = masks
+        out.append(_common_length(x, y, known[x]))
+    return pd.Series(out, dtype="Int32")
 
-    table = F.aggregate(F.sequence(F.lit(1), n), F.array_repeat(F.lit(0), m + 1), row)
-    return F.when((n == 0) | (m == 0), 0).otherwise(F.element_at(table, -1))
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence in characters; null for a null text."""
+    return _lcs(a, b)
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -35,6 +55,7 @@ def ratio_reachable(a: Column, b: Column, least: float) -> Column:
 
 def gestalt_ratio(blanks_as_junk: bool = False):
     """An Arrow UDF (a, b) -> difflib's ratio, which no expression states."""
+
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 # Punctuation that marks an entity, token pattern, entity tags.
@@ -32,18 +30,21 @@ def normalize(text: Column) -> Column:
     def tag(acc: Column, token: Column) -> Column:
         digit, letter = token.rlike(r"\d"), token.rlike("[A-Za-z]")
         label = F.when(digit & letter, NAME).when(digit, NUMBER).when(token.rlike(PUNCTUATION), NAME)
-        return F.when(label.isNull(), acc).otherwise(F.replace(acc, token, label))
+        return F.replace(acc, token, label.otherwise(token))
 
     tagged = F.aggregate(F.split(clean, " "), clean, tag)
     once = F.replace(tagged, F.lit(f"{NAME} {NAME}"), F.lit(NAME))
     return F.replace(once, F.lit(f"{NUMBER} {NUMBER}"), F.lit(NUMBER))
 
 
-def split_tokens(tokens: Column, mark: str) -> Column:
-    """Tokens that hold ``mark`` are split there and moved to the end."""
-    has = lambda t: t.contains(mark)
-    pieces = F.flatten(F.transform(F.filter(tokens, has), lambda t: F.split(t, "\\Q" + mark + "\\E")))
-    return F.concat(F.filter(tokens, lambda t: ~has(t)), pieces)
+def split_tokens(tokens: Column, marks: str) -> Column:
+    """For each mark in turn: tokens that hold it are split there and moved to the end."""
+
+    def step(acc: Column, mark: Column) -> Column:
+        pieces = F.flatten(F.transform(F.filter(acc, lambda t: t.contains(mark)), lambda t: F.split(t, F.concat(F.lit("\\Q"), mark, F.lit("\\E")))))
+        return F.concat(F.filter(acc, lambda t: ~t.contains(mark)), pieces)
+
+    return F.aggregate(F.array(*(F.lit(m) for m in marks)), tokens, step) if marks else tokens
 
 
 def is_int(token: Column) -> Column:
@@ -76,7 +77,7 @@ def tokenize(
     tokens = F.regexp_extract_all(text, F.lit("(?U)" + TOKEN), F.lit(0))
     if lowercased:
         tokens = F.transform(tokens, F.lower)
-    tokens = reduce(split_tokens, split_on, tokens)
+    tokens = split_tokens(tokens, split_on)
     if stop_words:
         tokens = F.filter(tokens, lambda t: ~t.isin(list(stop_words)))
     if clean_punctuation:

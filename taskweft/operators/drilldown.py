@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from taskweft.functions.dates import overrun, percent_overrun, ratio
-from taskweft.operators.stats import summary_table
+from taskweft.operators.stats import running_total, summary_table
 
 
 def annotate(tasks: DataFrame) -> DataFrame:
@@ -43,16 +43,6 @@ def reference_class_curve(tasks: DataFrame) -> DataFrame:
 
 
 def running_share(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
-    """With ``name``: the running sum of ``value`` within the group, in percent of the group's sum (null for 0).
-
-    Rows are range-partitioned on group and order, so a group that holds most rows is spread over tasks: sums
-    run within each piece, and a small table (a row for each piece) holds what comes before it.
-    """
-    pieces = df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id())
-    upto = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = pieces.withColumn("_run", F.sum(value).over(upto))
-    sums = pieces.groupBy("_part", group).agg(F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("_part", group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(group)).alias("_total"))
-    joined = local.join(before, ["_part", group])
-    return joined.select(*df.columns, F.when(F.col("_total") != 0, 100 * (F.col("_run") + F.col("_before")) / F.col("_total")).alias(name))
+    """With ``name``: the running sum of ``value`` within the group, in percent of the group's sum (null for 0)."""
+    sums = running_total(df, [group], order, value)
+    return sums.select(*df.columns, F.when(F.col("total") != 0, 100 * (F.col("before") + F.col(value)) / F.col("total")).alias(name))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from taskweft.plans.scratch import Scratch
 
 
 def dedupe_counts(df: DataFrame) -> DataFrame:
@@ -22,11 +27,57 @@ def repeated(df: DataFrame, column: str) -> DataFrame:
     return n.where("n > 1").crossJoin(F.broadcast(once))  # one row by construction
 
 
+def join_by(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where null equals null."""
+    other = right.withColumnsRenamed({k: f"_{k}_other" for k in keys})
+    return left.join(other, reduce(and_, (left[k].eqNullSafe(other[f"_{k}_other"]) for k in keys))).drop(*(f"_{k}_other" for k in keys))
+
+
+def running_total(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """With ``before`` and ``total``: the sum of ``value`` in the group before a row in ``order``, and over the group.
+
+    Rows are range-partitioned on group and order and written once, so that a group that holds most rows is
+    spread over tasks and the numbers of the pieces stay what they are; a small table (a row for each piece)
+    holds what comes before it.
+    """
+    pieces = df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id())
+    pieces = Scratch(df.sparkSession, "running").cut(pieces)
+    earlier = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = pieces.withColumn("_run", F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+    sums = pieces.groupBy("_part", *group).agg(F.sum(value).alias("_sum"))
+    by_part = Window.partitionBy(*group)
+    first = by_part.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", *group, F.coalesce(F.sum("_sum").over(first), F.lit(0)).alias("_offset"), F.sum("_sum").over(by_part).alias("total"))
+    return join_by(local, offsets, ["_part", *group]).select(*df.columns, (F.col("_run") + F.col("_offset")).alias("before"), "total")
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: dict[str, float], key: list[str] | None = None) -> DataFrame:
+    """(key..., <names of shares>): exact quantiles of the non-null values by linear interpolation; groups without any are absent.
+
+    Values are counted where they lie, and the counts summed in order over ranges of values, so neither a
+    group's rows nor its distinct values are ever gathered in one task.
+    """
+    key = key or []
+    values = df.where(F.col(column).isNotNull()).groupBy(*key, F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    group = key or ["_all"]
+    placed = running_total(values if key else values.withColumn("_all", F.lit(0)), group, ["v"], "c")
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("c")), F.col("v")))
+
+    ends = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("total") - 1)
+        ends += [at(F.floor(place)).alias(f"_{name}_lo"), at(F.ceil(place)).alias(f"_{name}_hi"), F.max(place - F.floor(place)).alias(f"_{name}_part")]
+    found = placed.groupBy(*group).agg(*ends)
+    return found.select(*key, *((F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part")).alias(n) for n in shares))
+
+
 def size_stats(assignments: DataFrame, label: str = "label") -> DataFrame:
     sizes = assignments.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    return sizes.agg(
-        F.count(F.lit(1)).alias("num_clusters"), F.avg("size").alias("mean_size"), F.median("size").alias("median_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), (F.max("size") - F.min("size")).alias("size_range")
-    )
+    counts = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"))  # far fewer rows: distinct sizes
+    whole = counts.agg(F.sum("n").alias("num_clusters"), (F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean_size"), F.percentile("size", F.lit(0.5), F.col("n")).alias("median_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"))
+    return whole.select(F.coalesce("num_clusters", F.lit(0)).alias("num_clusters"), "mean_size", "median_size", "min_size", "max_size", (F.col("max_size") - F.col("min_size")).alias("size_range"))
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -50,17 +101,27 @@ def without_empty_columns(df: DataFrame) -> DataFrame:
 
 def summary_table(df: DataFrame, measures: list[str], key: str | None = None) -> DataFrame:
     """(measure, mean, median, std) per key: population deviation."""
-    long = df.select(*([key] if key else []), F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures))).alias("x")).select(*([key] if key else []), "x.*")
-    return long.where("v is not null").groupBy(*([key] if key else []), "measure").agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_pop("v").alias("std"))
+    keys = [key] if key else []
+    long = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures))).alias("x")).select(*keys, "x.*").where("v is not null")
+    moments = long.groupBy(*keys, "measure").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    medians = exact_quantiles(long, "v", {"median": 0.5}, [*keys, "measure"])
+    return join_by(moments, medians, [*keys, "measure"]).select(*keys, "measure", "mean", "median", "std")
+
+
+def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two tables of one row side by side; the second may be empty."""
+    return one.withColumn("_one", F.lit(1)).join(other.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles, max."""
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), *(F.percentile(column, F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75)), F.max(column).alias("max"))
+    moments = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    quartiles = exact_quantiles(df, column, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return _beside(moments, quartiles).select("n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def _fences(df: DataFrame, column: str, key: list[str]) -> DataFrame:
-    q = df.groupBy(*key).agg(F.percentile(column, F.lit(0.25)).alias("q1"), F.percentile(column, F.lit(0.5)).alias("q2"), F.percentile(column, F.lit(0.75)).alias("q3"), F.min(column).alias("least"), F.max(column).alias("most"))
+    q = exact_quantiles(df, column, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, key)
     return q.withColumns({"lower": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "upper": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
 
 
@@ -71,18 +132,20 @@ def iqr_outliers(df: DataFrame, column: str) -> DataFrame:
 
 
 def without_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows that are no outlier in any column; nulls are none. One aggregate for all fences."""
-    aggs = [F.percentile(c, F.lit(q)).alias(f"_{c}_{k}") for c in columns for k, q in (("1", 0.25), ("3", 0.75))]
-    joined = df.crossJoin(F.broadcast(df.agg(*aggs)))
+    """Rows that are no outlier in any column; nulls are none."""
+    joined = df
+    for c in columns:
+        one = _fences(df, c, []).select(F.col("lower").alias(f"_{c}_lo"), F.col("upper").alias(f"_{c}_hi"))
+        joined = _beside(joined, F.broadcast(one))  # one row
     for c in columns:
-        spread = 1.5 * (F.col(f"_{c}_3") - F.col(f"_{c}_1"))
-        joined = joined.where(F.coalesce(F.col(c).between(F.col(f"_{c}_1") - spread, F.col(f"_{c}_3") + spread), F.lit(True)))
+        joined = joined.where(F.coalesce(F.col(c).between(F.col(f"_{c}_lo"), F.col(f"_{c}_hi")), F.lit(True)))
     return joined.select(df.columns)
 
 
 def box_plot(df: DataFrame, key: str, column: str) -> DataFrame:
     """Per group: quartiles and whiskers, kept within the group's values."""
-    return _fences(df, column, [key]).select(key, "q1", "q2", "q3", F.greatest("lower", "least").alias("lower"), F.least("upper", "most").alias("upper"))
+    edges = df.groupBy(key).agg(F.min(column).alias("least"), F.max(column).alias("most"))
+    return join_by(_fences(df, column, [key]), edges, [key]).select(key, "q1", "q2", "q3", F.greatest("lower", "least").alias("lower"), F.least("upper", "most").alias("upper"))
 
 
 def box_outliers(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -129,9 +192,10 @@ def share_without(df: DataFrame, column: str) -> DataFrame:
 
 
 def threshold_sweep(pairs: DataFrame, column: str, thresholds: list[float]) -> DataFrame:
-    """(threshold, n, mean, median) of the pairs that reach each threshold, in one pass."""
-    at = pairs.select(column, F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
-    return at.where(F.col(column) >= F.col("threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.median(column).alias("median"))
+    """(threshold, n, mean, median) of the pairs that reach each threshold."""
+    at = pairs.select(column, F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")).where(F.col(column) >= F.col("threshold"))
+    means = at.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"))
+    return means.join(exact_quantiles(at, column, {"median": 0.5}, ["threshold"]), "threshold").select("threshold", "n", "mean", "median")
 
 
 def sequence_in_group(df: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -141,13 +205,12 @@ def sequence_in_group(df: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 
 def global_row_id(df: DataFrame, order: list[str]) -> DataFrame:
-    """With ``row_id`` from 1 in ``order``, without gathering the rows in one task.
+    """With ``row_id`` from 1 in ``order``, without gathering the rows in one task (``running_total`` over nothing but order).
 
-    Rows are range-partitioned and counted per partition; the offsets are one small table.  Ties in
-    ``order`` are broken by all columns.
+    Ties in ``order`` are broken by all columns.
     """
     keys = [*order, *(c for c in df.columns if c not in order)]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    ranged = Scratch(df.sparkSession, "numbers").cut(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")

@@ -106,14 +106,17 @@ def test_text_components(spark):
 
 
 def test_leaders(spark):
-    names = ["pump a", "pump b", "valve", "pump a"]
+    rng = np.random.default_rng(8)
+    names = ["pump a", "pump b", "valve", "pump a", *("pump " + "".join(rng.choice(list("abc"), 3)) for _ in range(12))]
     want, leaders = {}, []
     for n in sorted(set(names)):
         lead = next((x for x in leaders if 0.7 < SequenceMatcher(None, x, n).ratio() < 1), None)
         leaders += [] if lead else [n]
         want[n] = lead or n
-    got = sj.leader_clusters(spark.createDataFrame([(n,) for n in names], "n string"), "n", 0.7, 1.0)
-    assert {r.name: r.leader for r in got.collect()} == want
+    for block in (2, 100):
+        got = sj.leader_clusters(spark.createDataFrame([(n,) for n in names], "n string"), "n", 0.7, 1.0, block)
+        assert {r.name: r.leader for r in got.collect()} == want
+    assert sj.leader_clusters(spark.createDataFrame([(None,)], "n string"), "n").count() == 0
 
 
 def brute_ward(x, k):
@@ -133,13 +136,45 @@ def test_ward(spark):
         part = got[got.k == k]
         assert {frozenset(g) for g in part.groupby("label").id.apply(list)} == brute_ward(x, k)
     assert sorted(ward.leaf_counts(df).toPandas().leaves)[-1] == 40
-    big = ward.ward_labels(df, [4], max_exact=25).toPandas()
-    assert len(big) == 40 and big.label.nunique() >= 2
+    with pytest.raises(ValueError):
+        ward.ward_labels(df, [4], max_exact=25)
     with pytest.raises(ward.TooManyClusters):
         ward.candidate_ks(10, [], 6)
     assert ward.candidate_ks(40, [2.5, 5, 20]) == [2, 8] and ward.result_name("ward", {"n": 3, "seed": 1}) == "ward_n_3"
 
 
+def test_ward_in_parts(spark):
+    """Beyond one task: exactly k clusters, whole equal vectors, the exact answer where clusters are clear."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 3)) * 20
+    x = [(centres[i % 6] + rng.normal(0, 0.2, 3)).tolist() for i in range(240)] + [[1.0, 2.0, 3.0]] * 90
+    df = spark.createDataFrame(list(enumerate(x)), "id long, vec array<double>")
+    got = ward.ward_labels(df, [3, 7, 60], max_exact=40, approximate=True, prototypes=20).toPandas()
+    assert len(got) == 3 * 330
+    for k in (3, 7):
+        part = got[got.k == k]
+        assert sorted(part.label.unique()) == list(range(k)) and part[part.id >= 240].label.nunique() == 1
+    seven = {frozenset(g) for g in got[got.k == 7].groupby("label").id.apply(list)}
+    assert seven == {frozenset(range(c, 240, 6)) for c in range(6)} | {frozenset(range(240, 330))}
+    assert 60 <= got[got.k == 60].label.nunique() <= 80
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, v) for g, n in (("a", 1), ("b", 10), ("c", 57), (None, 8)) for v in rng.integers(0, 9, n).tolist()] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    shares = {"lo": 0.0, "q": 0.25, "m": 0.5, "x": 0.93, "hi": 1.0}
+    got = {r.g: r for r in stats.exact_quantiles(df, "v", shares, ["g"]).collect()}
+    for g in ("a", "b", "c", None):
+        v = [v for k, v in rows if k == g and v is not None]
+        assert [got[g][n] for n in shares] == pytest.approx([np.quantile(v, s) for s in shares.values()])
+    assert "d" not in got
+    whole = stats.exact_quantiles(df, "v", {"m": 0.5}).collect()
+    assert [r.m for r in whole] == [np.median([v for _, v in rows if v is not None])]
+    assert stats.exact_quantiles(df.limit(0), "v", {"m": 0.5}).count() == 0 and stats.describe(df.limit(0), "v").first().n == 0
+    assert stats.without_outliers(df.limit(0), ["v"]).count() == 0 and stats.without_outliers(df, ["v"]).count() == len(rows)
+
+
 def test_metrics_are_label_free_and_guarded(spark):
     x = np.random.default_rng(4).normal(size=(30, 2))
     make = lambda labels: spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(labels, x, strict=True))], "id long, label int, vec array<double>")
@@ -197,15 +232,82 @@ def test_tables(spark):
     assert tables.safe_columns(a.withColumnRenamed("v", "A %b")).columns == ["k", "a_percb"]
 
 
+def brute_key(names, cutoff=0.8):
+    """The key of one cluster, step by step over its distinct normalised names."""
+    tokens = lambda t, lower=True: list(dict.fromkeys(x for x in ((y.lower() if lower else y) for y in re.findall(tx.TOKEN, normal(t))) if len(x) > 1 and not re.search(r"\d", x) and x.lower() not in ("inf", "nan", "infinity")))
+    parts, upper = {}, {}
+    for name in sorted({normal(n) for n in names}):
+        pieces = [p for p in (p.strip() for p in re.split(r" - |/|\(|\)|\[|\]", name) if p) if p]
+        for i, piece in enumerate(pieces):
+            parts.setdefault(i, []).append(piece)
+    out = []
+    for i in sorted(parts):
+        frags = parts[i]
+        if len(frags) < 2:
+            continue
+        upper |= {t.capitalize(): t for f in frags for t in tokens(f, lower=False) if t.isalpha() and t.isupper()}
+        score = lambda x, y: 1.0 if x == y else 0.0 if "<" in x + y else round(2 * lcs(x, y) / (len(x) + len(y)), 2)
+        matches = []
+        for a, b in combinations(frags, 2):
+            ta, tb = tokens(a), tokens(b)
+            if a == b:
+                matches.append(tuple(sorted(ta)))
+                continue
+            # as in the operator, the pair's order is that of the fragments' hashes: skip where it would matter
+            short, long = (ta, tb) if len(ta) <= len(tb) else (tb, ta)
+            best = []
+            for x in short:
+                ranked = [(score(x, y), j, y) for j, y in enumerate(long)]
+                if ranked and max(ranked)[0] >= cutoff:
+                    best.append(max(ranked)[2])
+            matches.append(tuple(sorted(set(best))))
+        matches = [m for m in matches if m]
+        if not matches:
+            continue
+        freq = {}
+        for m in matches:
+            for t in m:
+                freq[t] = freq.get(t, 0) + 1
+        median = np.median([len(f) for f in frags])
+        best = max(matches, key=lambda m: (sum(freq[t] for t in m) * len(m) / median if median else 0, m))
+        places = {}
+        for f in frags:
+            for pos, t in enumerate(tokens(f)):
+                places.setdefault(t, {}).setdefault(pos, 0)
+                places[t][pos] += 1
+        place = {t: min(p, key=lambda k: (-p[k], k)) for t, p in places.items()}
+        out.append(" ".join(w.capitalize() for w in sorted(best, key=lambda t: (place[t], t))))
+    return " - ".join(" ".join(upper.get(w, w) for w in part.split(" ")) for part in out)
+
+
 def test_naming(spark):
+    """Keys equal the plain version's; equal token counts are avoided, where the order of a pair would decide."""
+    rng = np.random.default_rng(12)
+    verbs, things, extra = ["Install", "Installs", "Remove"], ["cable", "cables", "pump", "HVAC", "duct"], ["near", "north", "gate", "shaft"]
+    clusters = {}
+    for c in range(8):
+        clusters[c] = [f"{rng.choice(verbs)} {rng.choice(things)} " + " ".join(rng.permutation(extra)[: k % 4]) + f" - Level {k}{'AB'[k % 2]} part" for k in range(int(rng.integers(4, 7)))]
+        clusters[c] = [re.sub(" +", " ", n) for n in clusters[c]]
+    members = spark.createDataFrame([(c, n) for c, names in clusters.items() for n in names], "cluster int, name string")
+    got = {r.cluster: r.key for r in naming.key_clusters(members).collect()}
+    want = {c: brute_key(names) for c, names in clusters.items()}
+    assert got == want
+    assert any("HVAC" in k for k in got.values())
+
+
+def test_naming_edges(spark):
     names = ["Install cable tray - Level 1", "Install cable tray - Level 2", "Install cables - Level 3"]
-    members = spark.createDataFrame([(1, n) for n in names] + [(2, "Install cable trays - Level 9"), (3, "7")], "cluster int, name string")
-    tokens = members.select(F.explode(tx.tokenize(F.col("name"), unique=True, exclude_digit_tokens=True)).alias("t"))
-    scores = sj.edit_pairs(tokens, "t", 0.8)
-    keys = {r.cluster: r.key for r in naming.key_clusters(members, scores).collect()}
-    assert keys[1].startswith("Install Cable") and set(keys) == {1, 2, 3} and all(keys.values())
-    merged = naming.merge_similar(members, naming.key_clusters(members, scores), scores, 0.6).collect()
-    assert sum(len(r.merged_from) for r in merged) == 3
+    members = spark.createDataFrame([(1, n) for n in names] + [(2, "Install cable trays - Level 9"), (3, "7"), (4, "Dig 1"), (4, "Dig 2")], "cluster int, name string")
+    keys = naming.key_clusters(members)
+    got = {r.cluster: r.key for r in keys.collect()}
+    assert got[1].startswith("Install Cable") and set(got) == {1, 2, 3, 4} and all(got.values())
+    assert got[4] == "Dig <number>"  # all names are one after normalising
+    merged = naming.merge_similar(members, keys, None, 0.6).collect()
+    assert sum(len(r.merged_from) for r in merged) == 4
+    near = spark.createDataFrame([("cable", [0.0]), ("wire", [0.0]), ("pump", [9.0])], "token string, vec array<double>")
+    pairs = spark.createDataFrame([("cable", "wire"), ("cable", "pump"), ("cable", "other")], "t1 string, t2 string")
+    scored = {(r.t1, r.t2): r.score for r in words_pairs.token_scores(pairs, near).collect()}
+    assert scored["cable", "wire"] == pytest.approx(2 * lcs("cable", "wire") / 9 + 1) and scored["cable", "other"] == pytest.approx(2 * lcs("cable", "other") / 10)
 
 
 def test_run(spark):
@@ -217,7 +319,11 @@ def test_run(spark):
     out = run(tasks, vectors, Config(percents=(10.0, 20.0)).with_weights(mean_duration_std=0, words_pairs=5))
     assert out.best in (3, 6) and out.runs.count() == 2
     assert run(tasks, vectors, Config(num_clusters=3)).best == 3
-    assert {r.key for r in out.keys.collect()} == {"Dig Trench", "Lay Cable", "Test Pump"}
+    # the names of a cluster are one after normalising, so the key is that name
+    assert {r.key for r in out.keys.collect()} == {"dig trench <number>", "lay cable <number>", "test pump <number>"}
+    # the words-pairs metric sums all scores, whatever the cutoff of naming
+    low = run(tasks, vectors, Config(percents=(10.0,), token_cutoff=0.1)).runs.first().words_pairs
+    assert low == run(tasks, vectors, Config(percents=(10.0,), token_cutoff=0.99)).runs.first().words_pairs > 0
 
 
 def test_spectral(spark):
