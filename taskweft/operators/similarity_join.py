@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from taskweft.functions.similarity import edit_ratio, ratio_reachable
+from taskweft.operators.stats import global_row_id
 from taskweft.plans.components import connected_components
 from taskweft.plans.scratch import Scratch
 
@@ -67,28 +72,49 @@ def component_members(clusters: DataFrame, components: DataFrame) -> DataFrame:
     return clusters.join(components.withColumnRenamed("text", "key"), "key").groupBy("component").agg(F.array_sort(F.collect_set("member")).alias("members"))
 
 
-def leader_clusters(names: DataFrame, column: str, lo: float = 0.8, hi: float = 1.0) -> DataFrame:
+def leader_clusters(names: DataFrame, column: str, lo: float = 0.8, hi: float = 1.0, block: int = 2000) -> DataFrame:
     """(name, leader) of the greedy pass in text order: a name joins the first leader it is strictly within (lo, hi) of.
 
-    Each step depends on all before it, so the distinct names go through one task; it is meant for the
-    names of one project, and raises beyond 20,000.
+    Names are taken in blocks in their order.  A block's names meet the leaders of the blocks before, a table
+    that is spread over tasks; those that find none there go through one sequential pass over the block.
     """
-    from difflib import SequenceMatcher
+    spark = names.sparkSession
+    scratch = Scratch(spark, "leaders")
+    distinct = names.select(F.col(column).alias("name")).where("name is not null").distinct()
+    numbered = scratch.cut(global_row_id(distinct, ["name"]).select("name", F.expr(f"(row_id - 1) div {block}").alias("block")))
 
-    import pandas as pd
+    def within(a: str, b: str) -> bool:
+        top = 2 * min(len(a), len(b)) / max(1, len(a) + len(b))  # by length alone
+        return top > lo and lo < SequenceMatcher(None, a, b).ratio() < hi
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > 20_000:
-            raise ValueError("too many names for the sequential pass; cluster by components instead")
+    def among_themselves(group: pd.DataFrame) -> pd.DataFrame:
         leaders, out = [], []
         for name in sorted(group["name"]):
-            lead = next((x for x in leaders if lo < SequenceMatcher(None, x, name).ratio() < hi), None)
+            lead = next((x for x in leaders if within(x, name)), None)
             if lead is None:
                 leaders.append(name)
             out.append((name, lead or name))
         return pd.DataFrame(out, columns=["name", "leader"])
 
-    return names.select(F.col(column).alias("name")).where("name is not null").distinct().groupBy(F.lit(1).alias("g")).applyInPandas(run, "name string, leader string")
+    out, leaders = [], None
+    for number in range(-(-numbered.count() // block)):
+        mine = numbered.where(F.col("block") == number).select("name")
+        if leaders is not None:
+            asked = spark.sparkContext.broadcast([r.name for r in mine.collect()])  # a block
+
+            def meet(parts, asked=asked):
+                for part in parts:
+                    met = [(name, lead) for lead in part["name"] for name in asked.value if within(lead, name)]
+                    yield pd.DataFrame(met, columns=["name", "leader"])
+
+            joined = scratch.cut(leaders.mapInPandas(meet, "name string, leader string").groupBy("name").agg(F.min("leader").alias("leader")))
+            out.append(joined)
+            mine = mine.join(joined, "name", "left_anti")
+        alone = scratch.cut(mine.groupBy(F.lit(0).alias("g")).applyInPandas(among_themselves, "name string, leader string"))
+        out.append(alone)
+        new = alone.where("name = leader").select("name")
+        leaders = new if leaders is None else leaders.unionByName(new)
+    return reduce(DataFrame.unionByName, out) if out else distinct.select("name", F.col("name").alias("leader"))
 
 
 def similar_to(names: DataFrame, column: str, query: str, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
