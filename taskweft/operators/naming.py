@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from taskweft.functions import text as tx
+from taskweft.operators import words_pairs
 from taskweft.operators.similarity_join import text_components
 from taskweft.operators.stats import typical_positions
-from taskweft.plans.scratch import Scratch
+from taskweft.operators.tables import excluding
 from taskweft.operators.words_pairs import best_token_matches
+from taskweft.plans.scratch import Scratch
 
 
 def _tokens(column):
@@ -16,8 +18,12 @@ def _tokens(column):
 
 
 def fragments(members: DataFrame) -> DataFrame:
-    """(cluster, part, fragment, n, tokens): distinct fragments at each part's place. members: (cluster, name)."""
-    parts = members.select("cluster", F.posexplode(tx.name_parts(tx.normalize(F.col("name")))).alias("part", "fragment"))
+    """(cluster, part, fragment, n, tokens): distinct fragments at each part's place. members: (cluster, name).
+
+    Names that are the same after normalising count once.
+    """
+    names = members.select("cluster", tx.normalize(F.col("name")).alias("normal")).distinct()
+    parts = names.select("cluster", F.posexplode(tx.name_parts(F.col("normal"))).alias("part", "fragment"))
     counted = parts.groupBy("cluster", "part", "fragment").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("tokens", _tokens(F.col("fragment")))
 
@@ -57,19 +63,35 @@ def part_keys(frags: DataFrame, scores: DataFrame, cutoff: float = 0.8) -> DataF
     return ordered.select("cluster", "part", tx.capwords(F.array_join(F.transform("w", lambda x: x["token"]), " ")).alias("words"))
 
 
-def key_clusters(members: DataFrame, scores: DataFrame, cutoff: float = 0.8) -> DataFrame:
-    """(cluster, key): parts joined by `` - ``; without any, the normalised first name, or the name itself."""
+def upper_words(frags: DataFrame) -> DataFrame:
+    """(cluster, upper): capitalised form -> upper-case word, of parts with two fragments or more."""
+    several = frags.groupBy("cluster", "part").agg(F.sum("n").alias("several")).where("several > 1").select("cluster", "part")
+    words = tx.tokenize(F.col("fragment"), unique=True, exclude_numbers=True, exclude_digit_tokens=True, lowercased=False)
+    token = frags.join(several, ["cluster", "part"]).select("cluster", F.explode(words).alias("token")).where(tx.all_upper(F.col("token"))).distinct()
+    return token.groupBy("cluster").agg(tx.upper_map(F.array_sort(F.collect_list("token"))).alias("upper"))
+
+
+def key_clusters(members: DataFrame, scores: DataFrame | None = None, cutoff: float = 0.8, vectors: DataFrame | None = None) -> DataFrame:
+    """(cluster, key): parts joined by `` - ``, upper-case words restored; without parts, the normalised first name, or the name itself.
+
+    Token pairs match when their score (t1, t2, score) reaches the cutoff.  Without ``scores`` the tokens that
+    meet are scored here, with ``vectors`` (token, vec) by the sum of edit and embedding score.
+    """
     scratch = Scratch(members.sparkSession, "naming")
     frags = scratch.cut(fragments(members))
+    if scores is None:
+        scores = scratch.cut(words_pairs.token_scores(words_pairs.meeting_tokens(frags), vectors).withColumn("score", F.round("score", 2)))
     keys = part_keys(frags, scores, cutoff).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("part", "words"))).alias("parts"))
     first = members.groupBy("cluster").agg(F.min("name").alias("name"))
     joined = tx.clean_key(F.array_join(F.filter(F.transform("parts", lambda p: tx.clean_key(p["words"])), lambda t: t != ""), " - "))
+    joined = F.array_join(tx.restore_upper(F.split(joined, " "), F.col("upper")), " ")
     plain = tx.clean_key(tx.normalize(F.col("name")))
     full = lambda c: F.when(F.length(F.trim(c)) > 0, c)
-    return first.join(keys, "cluster", "left").select("cluster", F.coalesce(full(joined), full(plain), F.col("name")).alias("key"))
+    out = first.join(keys, "cluster", "left").join(upper_words(frags), "cluster", "left")
+    return out.select("cluster", F.coalesce(full(joined), full(plain), F.col("name")).alias("key"))
 
 
-def merge_similar(members: DataFrame, keys: DataFrame, scores: DataFrame, least: float = 0.9, cutoff: float = 0.8) -> DataFrame:
+def merge_similar(members: DataFrame, keys: DataFrame, scores: DataFrame | None = None, least: float = 0.9, cutoff: float = 0.8, vectors: DataFrame | None = None) -> DataFrame:
     """(cluster, key, merged_from): clusters whose keys are similar become one, named anew from all members."""
     scratch = Scratch(keys.sparkSession, "merge")
     groups = text_components(keys, "key", least)
@@ -77,10 +99,23 @@ def merge_similar(members: DataFrame, keys: DataFrame, scores: DataFrame, least:
     target = at.groupBy("component").agg(F.min("cluster").alias("target"), F.array_sort(F.collect_list("cluster")).alias("merged_from"))
     to = scratch.cut(at.join(target, "component").select("cluster", "target", "merged_from"))
     again = members.join(to, "cluster").select(F.col("target").alias("cluster"), "name")
-    named = key_clusters(again, scores, cutoff)
+    named = key_clusters(again, scores, cutoff, vectors)
     return named.join(to.select(F.col("target").alias("cluster"), "merged_from").distinct(), "cluster")
 
 
+def unmerged(keys: DataFrame, least: float = 0.9) -> DataFrame:
+    """(cluster, key) whose key is like no other cluster's: those that merging leaves out."""
+    groups = text_components(keys, "key", least)
+    at = Scratch(keys.sparkSession, "groups").cut(keys.join(groups, keys["key"] == groups["text"]).select("cluster", "component"))
+    several = at.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return excluding(keys, at.join(several, "component", "left_semi"), "cluster")
+
+
+def long_keys(keys: DataFrame, least: int, column: str = "key") -> DataFrame:
+    """Rows whose key has more than ``least`` words; `` - `` counts as a blank."""
+    return keys.where(F.size(F.split(F.replace(F.col(column), F.lit(" - "), F.lit(" ")), " ")) > least)
+
+
 def uniform_clusters(members: DataFrame) -> DataFrame:
     """Clusters whose names are all the same."""
     return members.groupBy("cluster").agg(F.countDistinct("name").alias("n"), F.min("name").alias("name")).where("n = 1").select("cluster", "name")

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from taskweft.functions.similarity import edit_ratio
+from taskweft.functions.vectors import squared_distance
+from taskweft.operators.cluster_metrics import scale_distances
+
 
 def name_pairs(names: DataFrame) -> DataFrame:
     """(cluster, id1, id2, tokens1, tokens2) of unordered member pairs. names: (cluster, id, tokens)."""
@@ -25,12 +29,43 @@ def lookup(products: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.withColumn("score", F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))).drop("_lo", "_hi", "t1", "t2")
 
 
-def cluster_scores(names: DataFrame, scores: DataFrame) -> DataFrame:
+def meeting_tokens(names: DataFrame) -> DataFrame:
+    """(t1, t2), t1 < t2: different tokens that stand in names of one cluster; tags are left out. names: (cluster, tokens)."""
+    t = names.select("cluster", F.explode("tokens").alias("t1")).where(~F.col("t1").rlike("^<.*>$")).distinct()
+    return t.join(t.withColumnRenamed("t1", "t2"), "cluster").where("t1 < t2").select("t1", "t2").distinct()
+
+
+def token_scores(pairs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """(t1, t2, score): the edit ratio, and with ``vectors`` (token, vec) the embedding score added to it.
+
+    The embedding score is ``1 - distance / largest distance``, 0 where a token has no vector.
+    """
+    scored = pairs.select("t1", "t2", edit_ratio(F.col("t1"), F.col("t2")).alias("score"))
+    if vectors is None:
+        return scored
+    v = vectors.select("token", "vec")
+    near = embedding_scores(pairs, v).withColumnsRenamed({"t1": "x1", "t2": "x2", "score": "near"})
+    both = scored.join(near, (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2")), "left")
+    return both.select("t1", "t2", (F.col("score") + F.coalesce("near", F.lit(0.0))).alias("score"))
+
+
+def embedding_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(t1, t2, score) of the pairs whose two tokens have vectors (token, vec)."""
+    one = vectors.select(F.col("token").alias("t1"), F.col("vec").alias("v1"))
+    two = vectors.select(F.col("token").alias("t2"), F.col("vec").alias("v2"))
+    apart = pairs.select("t1", "t2").join(one, "t1").join(two, "t2").select("t1", "t2", F.sqrt(squared_distance(F.col("v1"), F.col("v2"))).alias("distance"))
+    return scale_distances(apart).select("t1", "t2", "score")
+
+
+def cluster_scores(names: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """(cluster, score): pair scores over the tokens compared. Clusters without pairs are absent.
 
+    Without ``scores`` the tokens that meet are scored by edit ratio, all of them, whatever their score.
     Names of a cluster that share their tokens are counted once with their number, so the pairs made are
     those of distinct token lists: two products per pair of lists, weighted.
     """
+    if scores is None:
+        scores = token_scores(meeting_tokens(names))
     lists = names.groupBy("cluster", "tokens").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("tokens"))
     a = lists.select("cluster", F.col("id").alias("id1"), F.col("tokens").alias("tokens1"), F.col("n").alias("n1"))
     b = lists.select("cluster", F.col("id").alias("id2"), F.col("tokens").alias("tokens2"), F.col("n").alias("n2"))
@@ -84,14 +119,10 @@ def pair_matrices(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
     The embedding score is ``1 - distance / largest distance``, null where a token has no vector. All
     pairs are wanted here; use ``similarity_join.edit_pairs`` with a threshold where they are not.
     """
-    from taskweft.functions.vectors import squared_distance
-    from taskweft.operators.cluster_metrics import scale_distances
     from taskweft.operators.similarity_join import edit_pairs
 
-    v = tokens.select("token").distinct().join(vectors.select("token", "vec"), "token")
-    a, b = v.select(F.col("token").alias("t1"), F.col("vec").alias("v1")), v.select(F.col("token").alias("t2"), F.col("vec").alias("v2"))
-    near = scale_distances(a.join(b, F.col("t1") < F.col("t2")).select("t1", "t2", F.sqrt(squared_distance(F.col("v1"), F.col("v2"))).alias("distance")))
-    return edit_pairs(tokens, "token").withColumnRenamed("score", "edit_score").join(near.select("t1", "t2", F.col("score").alias("embed_score")), ["t1", "t2"], "left")
+    t = edit_pairs(tokens, "token").withColumnRenamed("score", "edit_score")
+    return t.join(embedding_scores(t, vectors).withColumnRenamed("score", "embed_score"), ["t1", "t2"], "left")
 
 
 def expand_synonyms(tokens: DataFrame, synonyms: DataFrame) -> DataFrame:

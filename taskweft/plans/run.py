@@ -10,7 +10,6 @@ from taskweft.functions.text import tokenize
 from taskweft.operators import cluster_metrics as cm
 from taskweft.operators import durations as du
 from taskweft.operators import naming, stats, ward, words_pairs
-from taskweft.operators.similarity_join import edit_pairs
 from taskweft.plans.scratch import Scratch
 from taskweft.sources.config import Config
 
@@ -38,16 +37,17 @@ def score_run(k: int, labelled: DataFrame, planned: DataFrame, names: DataFrame,
     return out.select(F.lit(k).alias("run_id"), "*")
 
 
-def run(tasks: DataFrame, vectors: DataFrame, config: Config = Config()) -> Result:
-    """tasks: (id, name, planned_days); vectors: (id, vec)."""
+def run(tasks: DataFrame, vectors: DataFrame, config: Config = Config(), token_vectors: DataFrame | None = None) -> Result:
+    """tasks: (id, name, planned_days); vectors: (id, vec); token_vectors: (token, vec), for embedding scores beside edit ratios."""
     scratch = Scratch(tasks.sparkSession, "run")
     vectors = scratch.cut(vectors.join(tasks.select("id"), "id", "left_semi"))
     names = scratch.cut(tasks.select("id", tokenize(F.col("name"), unique=True, exclude_digit_tokens=True).alias("tokens")))
-    vocabulary = names.select(F.explode("tokens").alias("token")).distinct()
-    scores = scratch.cut(edit_pairs(vocabulary, "token", config.token_cutoff))
     n, width = vectors.count(), cm.width_of(vectors)
     ks = ward.candidate_ks(n, list(config.percents), config.num_clusters)
-    labels = scratch.cut(ward.ward_labels(vectors, ks))
+    labels = scratch.cut(ward.ward_labels(vectors, ks, approximate=True))
+    # the scores of all tokens that meet in a cluster; the cutoff is for naming only
+    together = names.join(labels, "id").select(F.struct("k", "label").alias("cluster"), "tokens")
+    scores = scratch.cut(words_pairs.token_scores(words_pairs.meeting_tokens(together), token_vectors))
     planned = tasks.select("id", "planned_days")
     rows = [score_run(k, labels.where(F.col("k") == k).select("id", "label").join(vectors, "id"), planned, names, scores, width) for k in ks]
     runs = rows[0]
@@ -57,7 +57,7 @@ def run(tasks: DataFrame, vectors: DataFrame, config: Config = Config()) -> Resu
     best = cm.vote(cm.large_enough(runs, config.min_cluster_size), config.metrics).first()["run_id"]
     chosen = labels.where(F.col("k") == best).select("id", F.col("label").alias("cluster"))
     members = tasks.join(chosen, "id").select("cluster", "name")
-    keys = naming.key_clusters(members, scores, config.token_cutoff)
+    keys = naming.key_clusters(members, None, config.token_cutoff, token_vectors)
     if config.merge_keys:
-        keys = naming.merge_similar(members, scratch.cut(keys), scores, config.key_similarity, config.token_cutoff)
+        keys = naming.merge_similar(members, scratch.cut(keys), None, config.key_similarity, config.token_cutoff, token_vectors)
     return Result(runs, best, chosen, keys)
