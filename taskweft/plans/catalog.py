@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taskweft.operators import drilldown
-from taskweft.plans import queries_durations, queries_stats, queries_text, queries_vectors  # noqa: F401  they register
+from taskweft.plans import queries_durations, queries_sources, queries_stats, queries_text, queries_vectors  # noqa: F401  they register
 from taskweft.plans.registry import QUERIES, SQL, Tables
 
 

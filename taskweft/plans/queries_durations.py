@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from taskweft.functions import dates
 from taskweft.operators import drilldown, durations as du, stats, tables as tb
 from taskweft.plans.registry import Tables, query
+from taskweft.plans.scratch import Scratch
+
+
+def once(df: DataFrame) -> DataFrame:
+    """A table written once, as the plan reads it more than once."""
+    return Scratch(df.sparkSession, "durations").cut(df)
 
 
 def both(t: Tables) -> DataFrame:
@@ -33,7 +39,7 @@ RATIO = "CASE WHEN planned_days <> 0 THEN CAST(actual_days AS DOUBLE) / planned_
 
 @query(f"WITH {BOTH} SELECT id, planned_days, actual_days, round({RATIO}, 6) + 0.0 AS ratio, actual_days - planned_days AS overrun, round(100 * ({RATIO} - 1), 6) + 0.0 AS percent_overrun FROM both_")
 def durations_overrun(t):
-    b = both(t)
+    b = once(both(t))
     out = du.overruns(b.select("id", "planned_days"), b.select("id", "actual_days"))
     return out.withColumns({"ratio": F.round("ratio", 6) + 0.0, "percent_overrun": F.round("percent_overrun", 6) + 0.0})
 
@@ -67,7 +73,7 @@ def cluster_annotations(t):
 
 @query(f"WITH {TASKS} SELECT cluster, round(stddev_pop(planned_days), 6) AS duration_std FROM tasks GROUP BY cluster")
 def duration_spread(t):
-    x = tasks(t)
+    x = once(tasks(t))
     out = du.duration_spread(x.select("id", F.col("cluster").alias("label")), x.select("id", "planned_days"))
     return out.select(F.col("label").alias("cluster"), F.round("duration_std", 6).alias("duration_std"))
 
@@ -85,9 +91,9 @@ def duration_validation(t):
 def product_table(t):
     res = t.orders.where(F.col("o_orderstatus").isin("P", "F")).select(F.col("o_orderkey").alias("id"), "o_orderstatus")
     meta = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("file"))
-    b = both(t)
+    b = once(both(t))
     out = du.product_table(res, meta, b.select("id", "planned_days"), b.select("id", "actual_days"))
-    full = F.concat_ws("_", F.col("id").cast("string"), "o_orderstatus")
+    full = du.composite_id("id", "o_orderstatus")
     return out.select(full.alias("id"), du.without_last_suffix(full).alias("task"), "file", "planned_days", "actual_days")
 
 
@@ -101,10 +107,10 @@ def date_forms(t):
 @query(f"""WITH {TASKS}, s AS (SELECT cluster, count(*) AS tasks, CAST(trunc(avg(100 * ({RATIO} - 1))) AS INTEGER) AS overrun FROM tasks GROUP BY cluster)
     SELECT cluster, tasks, overrun, CAST(row_number() OVER (ORDER BY overrun DESC, cluster) AS INTEGER) AS place FROM s""")
 def clusters_by_overrun(t):
-    x = tasks(t)
+    x = once(tasks(t))
     c = drilldown.annotate(x).select("cluster", "tasks").join(drilldown.mean_overrun(x), "cluster")
-    place = F.row_number().over(Window.orderBy(F.desc("overrun"), "cluster"))
-    return c.select("cluster", "tasks", "overrun", place.alias("place"))
+    ranked = stats.global_row_id(c.select((-F.col("overrun")).alias("fall"), "cluster", "tasks", "overrun"), ["fall", "cluster"])
+    return ranked.select("cluster", "tasks", "overrun", F.col("row_id").cast("int").alias("place"))
 
 
 @query("""SELECT s.label AS label, CAST(count(*) AS BIGINT) AS size FROM (SELECT o_custkey AS label FROM orders) s GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5""")

@@ -56,10 +56,10 @@ def column_profile(t):
     return _rounded(p.drop("type"), 6, "coverage", "percent_unique")
 
 
-@query("""WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem)
-    SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem, q WHERE l_extendedprice < a - 1.5 * (b - a) OR l_extendedprice > b + 1.5 * (b - a)""")
+@query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)
+    SELECT event_id, value FROM events, q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)""")
 def iqr_outliers(t):
-    return stats.iqr_outliers(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice")
+    return stats.iqr_outliers(t.events.select("event_id", "value"), "value")
 
 
 @query("""WITH s AS (SELECT c_custkey, c_acctbal, sum(o_totalprice) AS spent FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),

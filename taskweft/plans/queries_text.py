@@ -94,17 +94,19 @@ def hyphen_counts(t):
     return t.documents.select("doc_id", tx.hyphens(F.col("text")).alias("hyphens"), (F.length(tx.strip_replacement_char(F.col("text"))) != F.length("text")).alias("broken"))
 
 
-@query("""WITH w AS (SELECT p_partkey, k, CASE k WHEN 0 THEN p_size || 'mm' WHEN 1 THEN p_size || 'm' WHEN 2 THEN p_size || 'kV' WHEN 3 THEN p_type ELSE 'a.' || p_size END AS token FROM part, unnest(range(5)) AS r(k))
-    SELECT p_partkey, token, CASE k WHEN 0 THEN 'metric' WHEN 1 THEN 'meters' WHEN 2 THEN 'volts' WHEN 3 THEN 'letters' ELSE 'dotted' END AS class FROM w""")
+@query("""WITH w AS (SELECT p_partkey, CASE k WHEN 0 THEN p_size || 'mm' WHEN 1 THEN p_size || 'm' WHEN 2 THEN p_size || 'kV' WHEN 3 THEN p_type WHEN 4 THEN 'a.' || p_size ELSE p_brand END AS token FROM part, unnest(range(6)) AS r(k))
+    SELECT p_partkey, token, CASE WHEN regexp_full_match(token, '(?i)[0-9]+(\\.[0-9]+)?(mm|cm|km)') THEN 'metric' WHEN regexp_full_match(token, '(?i)[0-9]+(\\.[0-9]+)?m') THEN 'meters' WHEN regexp_full_match(token, '(?i)[0-9]+(\\.[0-9]+)?k?v') THEN 'volts'
+    WHEN regexp_full_match(token, '[A-Za-z]+') THEN 'letters' WHEN regexp_full_match(token, '[0-9A-Za-z_]+(\\.[0-9A-Za-z_]+)+') THEN 'dotted' ELSE 'other' END AS class FROM w""")
 def token_classes(t):
     s = F.col("p_size").cast("string")
-    w = t.part.select("p_partkey", F.explode(F.array(F.concat(s, F.lit("mm")), F.concat(s, F.lit("m")), F.concat(s, F.lit("kV")), F.col("p_type"), F.concat(F.lit("a."), s))).alias("token"))
+    w = t.part.select("p_partkey", F.explode(F.array(F.concat(s, F.lit("mm")), F.concat(s, F.lit("m")), F.concat(s, F.lit("kV")), F.col("p_type"), F.concat(F.lit("a."), s), F.col("p_brand"))).alias("token"))
     return w.select("p_partkey", "token", tx.token_class(F.col("token")).alias("class"))
 
 
-@query("""SELECT c_custkey, 'mail <email> on <date> for <number>' AS tagged FROM customer""")
+@query("""SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace('mail c' || c_custkey || '@shop.example.com on 2024-01-0' || (c_custkey % 9 + 1) || ' for ' || c_nationkey || ' by www.' || lower(c_mktsegment) || '.org',
+    '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g'), 'https?://[^\\s<>]+|www\\.[^\\s<>]+', '<link>', 'g'), '\\b\\d{1,4}[/-]\\d{1,2}[/-]\\d{1,4}\\b', '<date>', 'g'), '\\b\\d+(\\.\\d+)?\\b', '<number>', 'g') AS tagged FROM customer""")
 def tagged_entities(t):
-    text = F.concat(F.lit("mail c"), F.col("c_custkey").cast("string"), F.lit("@shop.example.com on 2024-01-0"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit(" for "), F.col("c_nationkey").cast("string"))
+    text = F.concat(F.lit("mail c"), F.col("c_custkey").cast("string"), F.lit("@shop.example.com on 2024-01-0"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit(" for "), F.col("c_nationkey").cast("string"), F.lit(" by www."), F.lower("c_mktsegment"), F.lit(".org"))
     return t.customer.select("c_custkey", tx.tag_entities(text).alias("tagged"))
 
 
@@ -193,9 +195,9 @@ def words_pairs_best(t):
     return wp.max_per_token(_pair_names(t), _scores(t)).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT p_brand AS cluster, min(p_type) AS name FROM part WHERE p_size < 3 GROUP BY 1 HAVING count(DISTINCT p_type) = 1")
+@query("SELECT l_orderkey AS cluster, min(l_returnflag) AS name FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1")
 def uniform_clusters(t):
-    return naming.uniform_clusters(t.part.where("p_size < 3").select(F.col("p_brand").alias("cluster"), F.col("p_type").alias("name")))
+    return naming.uniform_clusters(t.lineitem.select(F.col("l_orderkey").alias("cluster"), F.col("l_returnflag").alias("name")))
 
 
 @query("SELECT p_brand AS cluster, arg_min(p_name, (abs(length(p_name) - 9), p_name)) AS name FROM part GROUP BY 1")
@@ -205,15 +207,13 @@ def nearest_length_names(t):
 
 @query()
 def cluster_keys(t):
-    return naming.key_clusters(names(t).select("cluster", "name"), _scores(t))
+    return naming.key_clusters(names(t).select("cluster", "name"))
 
 
 @query()
 def merged_cluster_keys(t):
     members = t.part.select(F.col("p_brand").alias("cluster"), F.col("p_name").alias("name"))
-    scratch = Scratch(t.spark, "keys")
-    scores = scratch.cut(_scores(t))
-    return naming.merge_similar(members, scratch.cut(naming.key_clusters(members, scores)), scores, 0.9)
+    return naming.merge_similar(members, Scratch(t.spark, "keys").cut(naming.key_clusters(members)), None, 0.9)
 
 
 @query()
@@ -252,14 +252,20 @@ def pair_matrices(t):
     return wp.pair_matrices(tokens, v).select("t1", "t2", F.round("edit_score", 6).alias("edit_score"), F.round("embed_score", 6).alias("embed_score"))
 
 
-@query("""WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part) SELECT token, upper(token) AS synonym FROM v WHERE token < 'n'""")
+@query("""WITH s AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS token, string_split(p_name, ' ')[-1] AS synonym FROM part), v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part WHERE p_size < 40)
+    SELECT token, synonym FROM s WHERE token <> synonym AND token IN (SELECT token FROM v)""")
 def synonyms(t):
-    tokens = t.part.select(F.explode(F.split("p_name", " ")).alias("token"))
-    table = tokens.distinct().where("token < 'n'").select("token", F.explode(F.array(F.upper("token"), "token")).alias("synonym"))
-    return wp.expand_synonyms(tokens, table)
+    """A name's last word as a synonym of its first, for the tokens of names of some sizes."""
+    words = F.split("p_name", " ")
+    table = t.part.select(F.element_at(words, 1).alias("token"), F.element_at(words, -1).alias("synonym"))
+    return wp.expand_synonyms(t.part.where("p_size < 40").select(F.explode(words).alias("token")), table)
 
 
-@query("SELECT DISTINCT w AS token FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w LIKE '%ing'")
+_LEMMA = "CASE WHEN length(token) % 2 = 0 THEN token ELSE left(token, length(token) - 3) END"
+
+
+@query(f"SELECT token FROM (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS token FROM documents) WHERE token LIKE '%ing' AND token = {_LEMMA}")
 def unchanged_by_lemma(t):
-    tokens = t.part.select(F.explode(F.split("p_name", " ")).alias("token"))
-    return wp.same_as_lemma(tokens, tokens.distinct().withColumn("lemma", F.col("token")))
+    """Tokens in -ing that a table of lemmas (here: of even length) leaves as they are."""
+    tokens = t.documents.select(F.explode(F.split(F.lower("text"), " ")).alias("token"))
+    return wp.same_as_lemma(tokens, tokens.distinct().where("token LIKE '%ing'").withColumn("lemma", F.expr(_LEMMA)))

@@ -32,7 +32,7 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = No
 
 def write_files(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
-    writer.csv(path, header=True) if kind == "csv" else writer.format(kind).save(path)
+    writer.csv(path, header=True, escape='"') if kind == "csv" else writer.format(kind).save(path)
 
 
 def result_document(clusters: DataFrame, planned: DataFrame, actual: DataFrame, files: DataFrame) -> DataFrame:
