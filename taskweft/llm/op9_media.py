@@ -137,6 +137,10 @@ def _flac(b: bytes, at: int) -> int | None:
         last, kind, n = b[pos] >> 7, b[pos] & 127, int.from_bytes(b[pos + 1 : pos + 4], "big")
         if (first and (kind != 0 or n != 34)) or pos + 4 + n > len(b):
             return None
+        if first:  # block sizes, then 20 bits of sample rate
+            least, most = struct.unpack_from(">HH", b, pos + 4)
+            if not 16 <= least <= most or not int.from_bytes(b[pos + 14 : pos + 17], "big") >> 4:
+                return None
         pos, first = pos + 4 + n, False
         if last:
             return len(b) - at if b[pos : pos + 2] in (b"\xff\xf8", b"\xff\xf9") else None
@@ -144,21 +148,29 @@ def _flac(b: bytes, at: int) -> int | None:
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 and b[at + 5 : at + 6].isdigit() else None
+    """Up to the last end mark before the next header: each update of a document adds a part with a mark of its own."""
+    after = b.find(b"%PDF-", at + 5)
+    end = b.rfind(b"%%EOF", at, after if after >= 0 else len(b))
+    return end + 5 - at if end > 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) > 0 else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
+def zip_lengths(b: bytes) -> dict[int, int]:
+    """Start -> length of each archive, from the end records: they tell where the archive must start.
+
+    One pass over the bytes, however many entries or broken marks they hold.
+    """
+    out: dict[int, int] = {}
+    end = b.find(b"PK\x05\x06")
     while end >= 0 and end + 22 <= len(b):
         size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + offset + size == end and (size == 0 or b[at + offset : at + offset + 4] == b"PK\x01\x02") and end + 22 + note <= len(b):
-            return end + 22 + note - at
+        at = end - offset - size
+        if at >= 0 and (size == 0 or b[at + offset : at + offset + 4] == b"PK\x01\x02") and end + 22 + note <= len(b):
+            out.setdefault(at, end + 22 + note - at)
         end = b.find(b"PK\x05\x06", end + 1)
-    return None
+    return out
 
 
-VALID = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _wav, "audio/flac": _flac, "application/pdf": _pdf, "application/zip": _zip}
+VALID = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _wav, "audio/flac": _flac, "application/pdf": _pdf}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -172,10 +184,17 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(b: bytes, finder: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(type, offset, length) of each valid item, leftmost first, none inside another."""
-    found, free = [], 0
+    found, free, zips = [], 0, None
     for end, (kind, n) in finder.iter(b.decode("latin-1")):
         at = end + 1 - n
-        if at >= free and (length := VALID[kind](b, at)):
+        if at < free:
+            continue
+        if kind == "application/zip":
+            zips = zip_lengths(b) if zips is None else zips
+            length = zips.get(at)
+        else:
+            length = VALID[kind](b, at)
+        if length:
             found.append((kind, at, length))
             free = at + length
     return found
@@ -185,7 +204,9 @@ def sniff_media(df: DataFrame, id_col: str, bytes_col: str, declared_col: str |
     """(id, declared, kind, corrected, n_bytes, items) for each row; ``items`` has kind, offset, length and the carved bytes.
 
     ``kind`` is the valid item at offset 0, or ``application/octet-stream``; ``corrected`` tells that it
-    differs from the declared type.  Null bytes count as empty: no item.  Repeated rows are judged each.
+    differs from the declared type.  Null bytes count as empty: no item; a null id or declared type stays
+    null.  Repeated rows are judged each; very long bytes are searched whole; an empty table gives no rows;
+    other columns are not read, whatever their names.
     """
     source = df.select(F.col(id_col).cast("string").alias("id"), F.col(bytes_col).cast("binary").alias("b"), (F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")).alias("declared"))
 
@@ -233,7 +254,11 @@ def wav_samples(stored: bytes) -> bytes:
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, declared, media): each text as the samples of a WAV file."""
+    """(doc_id, n_bytes, declared, media), one row for each row of ``df``: each text as the samples of a WAV file.
+
+    Null and empty texts are one block of padding; a null id stays null; repeated rows are stored each; very
+    long texts whole (up to the format's 4 GB); an empty table gives no rows; other columns are not read.
+    """
 
     def work(ids, texts):
         raw = [(t or "").encode() for t in texts]

@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -38,6 +39,27 @@ def test_formats():
         assert o.sniff(broken, finder) == [], broken
 
 
+def test_updated_pdf_and_many_marks():
+    finder = o.automaton()
+    updated = PDF + b"\n9 0 obj startxref 7 %%EOF"
+    assert o.sniff(updated + PDF, finder) == [("application/pdf", 0, len(updated)), ("application/pdf", len(updated), len(PDF))]
+    started = time.time()
+    assert o.sniff(b"%PDF-1 x" * 40_000, finder) == [] and o.sniff(b"PK\x03\x04ab" * 40_000, finder) == []
+    assert o.sniff(b"PK\x03\x04ab" * 20_000 + zipped(), finder) == [("application/zip", 120_000, len(zipped()))]
+    assert time.time() - started < 5
+    flac = b"fLaC\x80\0\0\x22" + struct.pack(">HH", 4096, 4096) + b"\0" * 6 + bytes.fromhex("0ac442") + b"\0" * 21 + b"\xff\xf8data"
+    assert o.sniff(flac, finder) == [("audio/flac", 0, len(flac))] and o.sniff(flac.replace(b"\x0a\xc4\x42", b"\0\0\x02"), finder) == []
+
+
+def test_odd_media(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a", PDF, "x"), (None, None, None), ("z", b"z" * 3_000_000 + GIF, None)], "id string, b binary, said string")
+    clash = df.withColumns({c: F.lit("extra") for c in ("kind", "declared", "items", "n_bytes", "corrected", "content")})
+    got = [sorted(map(repr, o.sniff_media(x, "id", "b", "said").collect())) for x in (df, clash)]
+    assert got[0] == got[1] and len(got[0]) == 3 and o.sniff_media(df.limit(0), "id", "b").count() == 0
+
+
 def test_carving(spark):
     rows = [("a", png() + b"xx" + GIF, "image/jpeg"), ("b", None, None), ("c", b"", "image/png"), ("d", b"text " + BMP, None), ("a", png() + b"xx" + GIF, "image/png")]
     got = o.sniff_media(spark.createDataFrame(rows, "id string, b binary, said string"), "id", "b", "said").collect()
