@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 PUNCTUATION = r"[=\-+_.:/*',?]"
 TOKEN = r"<.+?>|\w*\d{1,}\.*\d{1,}\w*|\w+"
 NAME, NUMBER = "<name>", "<number>"
-# Common English function words.
+#: Common English function words.
 STOP_WORDS = (
     "a about above after again against all am an and any are as at be because been before being below between both but by "
     "can did do does doing don down during each few for from further had has have having he her here hers him his how i if in "

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from taskweft.functions.vectors import mean_vector, squared_distance
+from taskweft.plans.scratch import Scratch
 
 
 def width_of(df: DataFrame, column: str = "vec") -> int:
@@ -38,14 +39,29 @@ def ch_index(scores: DataFrame) -> DataFrame:
     return scores.agg(b.alias("bss"), w.alias("wss"), F.when(w == 0, 1.0).when(k > 1, b * (n - k) / (w * (k - 1))).alias("ch_index"))
 
 
-def davies_bouldin(df: DataFrame, width: int) -> DataFrame:
+def davies_bouldin(df: DataFrame, width: int, block: int = 1024) -> DataFrame:
+    """One row. Centroids meet in blocks, one matrix product a pair of blocks, which returns one row a centroid."""
     c = centroids(df, width)
     spread = df.join(c, "label").groupBy("label").agg(F.avg(F.sqrt(squared_distance(F.col("vec"), F.col("centroid")))).alias("spread"))
-    s = c.join(spread, "label").select("label", "centroid", "spread")
-    other = s.select(F.col("label").alias("l2"), F.col("centroid").alias("c2"), F.col("spread").alias("s2"))
-    gap = F.sqrt(squared_distance(F.col("centroid"), F.col("c2")))
-    worst = s.join(other, F.col("label") != F.col("l2")).groupBy("label").agg(F.max(F.when(gap > 0, (F.col("spread") + F.col("s2")) / gap).otherwise(0.0)).alias("worst"))
-    return worst.agg(F.avg("worst").alias("davies_bouldin"))
+    s = Scratch(df.sparkSession, "centroids").cut(c.join(spread, "label").select("label", "centroid", "spread"))
+    count = max(1, -(-s.count() // block))
+    packed = s.groupBy(F.pmod(F.xxhash64("label"), F.lit(count)).alias("b")).agg(F.collect_list(F.struct("label", "centroid", "spread")).alias("rows"))
+    pairs = packed.select(F.col("rows").alias("r1")).crossJoin(packed.select(F.col("rows").alias("r2")))  # of blocks
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = batch.column(0)[i].values, batch.column(1)[i].values
+                x, y = (p.field("centroid").flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1) for p in (a, b))
+                gap = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T))
+                sums = a.field("spread").to_numpy()[:, None] + b.field("spread").to_numpy()[None, :]
+                ratio = np.divide(sums, gap, out=np.zeros_like(gap), where=gap > 1e-12)
+                same = a.field("label").to_numpy(zero_copy_only=False)[:, None] == b.field("label").to_numpy(zero_copy_only=False)[None, :]
+                ratio[same] = -1.0
+                yield pa.RecordBatch.from_arrays([a.field("label"), pa.array(ratio.max(axis=1))], names=["label", "worst"])
+
+    worst = pairs.mapInArrow(run, f"label {dict(s.dtypes)['label']}, worst double").groupBy("label").agg(F.max("worst").alias("worst"))
+    return worst.where("worst >= 0").agg(F.avg("worst").alias("davies_bouldin"))
 
 
 def silhouettes(df: DataFrame, block: int = 1024) -> DataFrame:

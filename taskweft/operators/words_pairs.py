@@ -9,16 +9,27 @@ from taskweft.functions.vectors import squared_distance
 from taskweft.operators.cluster_metrics import scale_distances
 
 
+def name_lists(names: DataFrame) -> DataFrame:
+    """(cluster, tokens, n, list): distinct token lists of a cluster with their number. names: (cluster, id, tokens)."""
+    return names.groupBy("cluster", "tokens").agg(F.count(F.lit(1)).alias("n")).withColumn("list", F.xxhash64("tokens"))
+
+
 def name_pairs(names: DataFrame) -> DataFrame:
-    """(cluster, id1, id2, tokens1, tokens2) of unordered member pairs. names: (cluster, id, tokens)."""
-    a = names.select("cluster", F.col("id").alias("id1"), F.col("tokens").alias("tokens1"))
-    b = names.select("cluster", F.col("id").alias("id2"), F.col("tokens").alias("tokens2"))
-    return a.join(b, "cluster").where("id1 < id2")
+    """(cluster, list1, list2, tokens1, tokens2, w): pairs of a cluster's token lists, ``w`` pairs of members each.
+
+    Members that share their tokens are counted, not paired, so a cluster of many equal names stays small.
+    """
+    lists = name_lists(names)
+    a = lists.select("cluster", F.col("list").alias("list1"), F.col("tokens").alias("tokens1"), F.col("n").alias("n1"))
+    b = lists.select("cluster", F.col("list").alias("list2"), F.col("tokens").alias("tokens2"), F.col("n").alias("n2"))
+    w = F.when(F.col("list1") == F.col("list2"), F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2"))
+    return a.join(b, "cluster").where("list1 <= list2").withColumn("w", w).where("w > 0").select("cluster", "list1", "list2", "tokens1", "tokens2", "w")
 
 
 def token_products(pairs: DataFrame) -> DataFrame:
-    """(cluster, id1, id2, x, y): each token of one name with each of the other."""
-    return pairs.select("cluster", "id1", "id2", F.explode("tokens1").alias("x"), "tokens2").select("cluster", "id1", "id2", "x", F.explode("tokens2").alias("y"))
+    """(cluster, x, y, w): each token of one list with each of the other, summed over the cluster's pairs."""
+    products = pairs.select("cluster", "w", F.explode("tokens1").alias("x"), "tokens2").select("cluster", "w", "x", F.explode("tokens2").alias("y"))
+    return products.groupBy("cluster", "x", "y").agg(F.sum("w").alias("w"))
 
 
 def lookup(products: DataFrame, scores: DataFrame) -> DataFrame:
@@ -61,19 +72,12 @@ def cluster_scores(names: DataFrame, scores: DataFrame | None = None) -> DataFra
     """(cluster, score): pair scores over the tokens compared. Clusters without pairs are absent.
 
     Without ``scores`` the tokens that meet are scored by edit ratio, all of them, whatever their score.
-    Names of a cluster that share their tokens are counted once with their number, so the pairs made are
-    those of distinct token lists: two products per pair of lists, weighted.
     """
     if scores is None:
         scores = token_scores(meeting_tokens(names))
-    lists = names.groupBy("cluster", "tokens").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("tokens"))
-    a = lists.select("cluster", F.col("id").alias("id1"), F.col("tokens").alias("tokens1"), F.col("n").alias("n1"))
-    b = lists.select("cluster", F.col("id").alias("id2"), F.col("tokens").alias("tokens2"), F.col("n").alias("n2"))
-    pairs = a.join(b, "cluster").where("id1 <= id2").withColumn("w", F.when(F.col("id1") == F.col("id2"), F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2"))).where("w > 0")
+    pairs = name_pairs(names)
     sizes = pairs.groupBy("cluster").agg(F.sum(F.col("w") * (F.size("tokens1") + F.size("tokens2"))).alias("tokens"))
-    products = pairs.select("cluster", "id1", "id2", "w", F.explode("tokens1").alias("x"), "tokens2").select("cluster", "w", "x", F.explode("tokens2").alias("y"))
-    folded = products.groupBy("cluster", "x", "y").agg(F.sum("w").alias("w"))
-    total = lookup(folded, scores).groupBy("cluster").agg(F.sum(F.col("w") * F.col("score")).alias("score"))
+    total = lookup(token_products(pairs), scores).groupBy("cluster").agg(F.sum(F.col("w") * F.col("score")).alias("score"))
     return sizes.join(total, "cluster", "left").select("cluster", F.when(F.col("tokens") > 0, F.coalesce("score", F.lit(0.0)) / F.col("tokens")).otherwise(0.0).alias("score"))
 
 
@@ -93,16 +97,19 @@ def best_token_matches(pairs: DataFrame, scores: DataFrame, least: float) -> Dat
 
 def max_per_token(names: DataFrame, scores: DataFrame) -> DataFrame:
     """(cluster, score), older form: best partner score of each token over ordered pairs, by the tokens compared."""
-    a = names.select("cluster", F.col("id").alias("id1"), F.col("tokens").alias("tokens1"))
-    b = names.select("cluster", F.col("id").alias("id2"), F.col("tokens").alias("tokens2"))
-    products = token_products(a.join(b, "cluster").where("id1 <> id2"))
-    best = lookup(products, scores).groupBy("cluster", "id1", "id2", "x").agg(F.max("score").alias("best"))
-    return best.groupBy("cluster").agg((F.sum("best") / F.count(F.lit(1))).alias("score"))
+    lists = name_lists(names)
+    a = lists.select("cluster", F.col("list").alias("list1"), F.col("tokens").alias("tokens1"), F.col("n").alias("n1"))
+    b = lists.select("cluster", F.col("list").alias("list2"), F.col("tokens").alias("tokens2"), F.col("n").alias("n2"))
+    w = F.when(F.col("list1") == F.col("list2"), F.col("n1") * (F.col("n1") - 1)).otherwise(F.col("n1") * F.col("n2"))
+    pairs = a.join(b, "cluster").withColumn("w", w).where("w > 0")
+    products = pairs.select("cluster", "list1", "list2", "w", F.explode(F.array_distinct("tokens1")).alias("x"), "tokens2").select("cluster", "list1", "list2", "w", "x", F.explode("tokens2").alias("y"))
+    best = lookup(products, scores).groupBy("cluster", "list1", "list2", "x").agg(F.max("score").alias("best"), F.first("w").alias("w"))
+    return best.groupBy("cluster").agg((F.sum(F.col("w") * F.col("best")) / F.sum("w")).alias("score"))
 
 
 def mean_cluster_score(names: DataFrame, scores: DataFrame) -> DataFrame:
     """Older form: a cluster's pair scores by its members' tokens, averaged over clusters."""
-    total = lookup(token_products(name_pairs(names)), scores).groupBy("cluster").agg(F.sum("score").alias("s"))
+    total = lookup(token_products(name_pairs(names)), scores).groupBy("cluster").agg(F.sum(F.col("w") * F.col("score")).alias("s"))
     tokens = names.groupBy("cluster").agg(F.sum(F.size("tokens")).alias("n"))
     return total.join(tokens, "cluster").agg(F.avg(F.col("s") / F.col("n")).alias("mean_score"))
 
