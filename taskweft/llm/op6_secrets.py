@@ -36,6 +36,18 @@ IDENTIFIERS, SECRETS, ENDPOINTS = ("access", "ident"), ("assign", "hex", "weak",
 SCOPE = 300
 
 
+def _running(lengths: Column) -> Column:
+    """Running sums of an array, by parts of the square root of its size: appending copies an array each time."""
+    append = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+    sums = lambda part, start: F.aggregate(part, F.array(start), append)
+    zero = F.lit(0).cast("long")
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths))).cast("int"))
+    starts = F.when(F.size(lengths) > 0, F.sequence(F.lit(1), F.size(lengths), step)).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(starts, lambda at: F.slice(lengths, at, step))
+    before = sums(F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, n: a + n)), zero)
+    return F.flatten(F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda p, start: F.slice(sums(p, start), F.lit(2), F.size(p))))
+
+
 def _spans(text: Column, kind: str) -> Column:
     """array<struct<kind, start, end>> of one kind's matches, leftmost and not overlapping, in code points.
 
@@ -44,8 +56,7 @@ def _spans(text: Column, kind: str) -> Column:
     pattern, least = PATTERNS[kind]
     with_gap = F.lit(rf"\G(?s:(.*?))({pattern})")  # \G: each starts where the last ended, so the rest after the last match is read once
     lengths = F.transform(F.regexp_extract_all(text, with_gap, F.lit(0)), lambda s: F.length(s).cast("long"))
-    ends = F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    found = F.arrays_zip(F.slice(ends, F.lit(2), F.size(ends)).alias("end"), F.regexp_extract_all(text, with_gap, F.lit(2)).alias("match"), F.regexp_extract_all(text, with_gap, F.lit(3)).alias("value"))
+    found = F.arrays_zip(_running(lengths).alias("end"), F.regexp_extract_all(text, with_gap, F.lit(2)).alias("match"), F.regexp_extract_all(text, with_gap, F.lit(3)).alias("value"))
     long_enough = F.filter(found, lambda x: F.length(x["value"]) >= least)
     spans = F.transform(long_enough, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), (x["end"] - F.length(x["match"])).alias("start"), x["end"].alias("end")))
     there = text.rlike(pattern)

@@ -55,6 +55,7 @@ def test_cases(spark):
             "apikey=" + "a" * 20_000,
             "word " * 30_000 + "api_key: 'abcdefghij'",
             "\n".join(f"token_{i}: secret=abcdefgh{i}" for i in range(500)),
+            "\n".join(f"{i} secret=abcdefgh{i}" for i in range(3_000)),
         ],
     )
 
