@@ -112,3 +112,42 @@ def test_realised_mix_follows_the_targets(spark):
     share = (words * copies) @ p / (words * copies).sum()
     assert abs(share[1] - MIX["low"]) < 0.01 and share[2] < 0.01, share
     assert abs((words * copies).sum() / (words * rates).sum() - 1) < 0.02
+
+
+def test_held_out_rank_on_documents(spark):
+    """Area under the curve and accuracy on the held-out third of the labelled documents."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    machine = q.train(docs, labels, training=lambda c: ~held_out(c))
+    got = q.score_documents(docs, machine).join(labels, "doc_id").where(held_out(F.col("doc_id"))).toPandas()
+    good, bad = got.score[got.quality == 1].to_numpy(), got.score[got.quality == 0].to_numpy()
+    assert len(good) > 50 and len(bad) > 5
+    assert (good[:, None] > bad[None, :]).mean() > 0.98 and (got.predicted == got.quality).mean() > 0.95
+
+
+def test_long_texts_of_distinct_words(spark, data):
+    docs, labels = data
+    model = mx.train_domains(docs, labels)
+    rows = [(1, " ".join(f"d{i}" for i in range(200_000)), "en", "s", 5), (2, None, None, None, None)]
+    long = spark.createDataFrame(rows, docs.schema)
+    got = {r.doc_id: r for r in mx.mixing_rates(long, model, MIX).collect()}
+    assert got[1].n_words == 200_000 and got[2].n_words == 0
+    assert 0 <= q.score_documents(long, q.train(docs, labels)).first().score <= 1
+
+
+def test_fit_does_not_depend_on_the_order_of_rows(spark, data):
+    docs, labels = data
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" again"))))
+    a, b = (q.train(x, labels) for x in (twice.orderBy("text"), twice.orderBy(F.desc("text"))))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.factors, b.factors)
+    assert np.array_equal(*(mx.train_domains(x, labels).weights for x in (twice.orderBy("text"), twice.orderBy(F.desc("text")))))
+
+
+def test_realised_shares_on_documents(spark):
+    """Copies drawn from the rates follow the targets on the tables given."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = mx.mixing_rates(docs, mx.train_domains(docs, labels), MIX)
+    share = got.agg(*(F.sum(F.col("n_words") * F.col("copies") * F.col(f"p_{d}")).alias(d) for d in MIX), F.sum(F.col("n_words") * F.col("copies")).alias("n")).first()
+    for domain, target in MIX.items():
+        assert abs(share[domain] / share["n"] - target) < 0.01, (domain, share)

@@ -58,3 +58,27 @@ def test_random(spark, block):
 def test_ties(spark, vectors):
     rows = list(enumerate(vectors))
     assert run(spark, rows, 0.8, 3, "double") == brute(rows, 0.8)
+
+
+def test_clashing_columns_and_long_vectors(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(5, 3000))
+    rows = [(i, (base[i % 5] * (1 + i) + rng.normal(0, 0.05, 3000)).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clash = df.withColumns({c: F.lit("extra") for c in ("vec", "rep", "copies", "n", "component", "part", "number", "size", "node", "kept", "n_links")})
+    want = brute(rows, 0.95)
+    for frame in (df, clash):
+        assert sorted((tuple(r) for r in linked_vectors(frame, 0.95, block=8).collect()), key=repr) == want
+
+
+def test_held_blocks_meet_all_partners(spark, monkeypatch):
+    """Many groups and chunks: every pair of blocks within reach is compared once."""
+    from taskweft.llm import op1_grid_join as o
+
+    monkeypatch.setattr(o, "HOLD", 2)
+    monkeypatch.setattr(o, "CHUNK", 3)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), (np.ones(6) + rng.normal(0, 0.3, 6)).tolist()) for i in range(200)]
+    assert run(spark, rows, 0.97, 8, "double") == brute(rows, 0.97)
