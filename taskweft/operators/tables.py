@@ -60,6 +60,11 @@ def merge_last_wins(frames: list[DataFrame], key: str) -> DataFrame:
     return last.select(key, "_v.*")
 
 
+def updated(df: DataFrame, where, values: dict) -> DataFrame:
+    """Columns set to new values in the rows where the predicate is true; other rows as they are."""
+    return df.withColumns({c: F.when(where, v).otherwise(F.col(f"`{c}`")).cast(df.schema[c].dataType) for c, v in values.items()})
+
+
 def frame_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one frame only, as often as it has more of them: side ``left`` or ``right``."""
     b = b.select(a.columns)

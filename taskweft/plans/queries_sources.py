@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from taskweft.operators import drilldown, durations as du, naming, tables as tb, vector_search, ward, words_pairs as wp
+from taskweft.operators import drilldown, durations as du, encoding, naming, tables as tb, vector_search, ward, words_pairs as wp
 from taskweft.functions import text as tx
 from taskweft.plans.queries_durations import TASKS, tasks
 from taskweft.plans.queries_text import _lcs
@@ -155,3 +155,29 @@ def result_documents(t):
 def meeting_token_scores(t):
     n = t.part.select((F.col("p_partkey") % 97).alias("cluster"), F.split("p_name", " ").alias("tokens"))
     return wp.token_scores(wp.meeting_tokens(n)).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 300000 THEN 0 ELSE o_totalprice END AS o_totalprice FROM orders")
+def updated_rows(t):
+    return tb.updated(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), F.col("o_totalprice") > 300000, {"o_orderstatus": F.lit("X"), "o_totalprice": F.lit(0.0)})
+
+
+def _letter_counts():
+    return lambda texts: [[x.count(c) for c in "abcde"] for x in texts]
+
+
+@query("SELECT DISTINCT p_name, " + ", ".join(f"CAST(length(p_name) - length(replace(p_name, '{c}', '')) AS DOUBLE) AS {c}" for c in "abcde") + " FROM part")
+def encoded_names(t):
+    """An encoder of the caller's choice (here: letter counts) over distinct names."""
+    found = encoding.encode_texts(t.part, "p_name", _letter_counts)
+    return found.select("p_name", *(F.col("vec")[i].alias(c) for i, c in enumerate("abcde")))
+
+
+def _plural_off():
+    return lambda tokens: [x[:-1] if x.endswith("s") else x for x in tokens]
+
+
+@query("SELECT DISTINCT token, CASE WHEN token LIKE '%s' THEN left(token, length(token) - 1) ELSE token END AS lemma FROM (SELECT unnest(string_split(lower(text), ' ')) AS token FROM documents)")
+def lemmatised_tokens(t):
+    """A lemmatiser of the caller's choice (here: without a last s) over distinct tokens."""
+    return encoding.lemmas_of(t.documents.select(F.explode(F.split(F.lower("text"), " ")).alias("token")), "token", _plural_off)
