@@ -94,3 +94,38 @@ def test_stream(spark, folder):
     for _ in range(2):  # the second run finds nothing new
         run_intake(spark, str(folder / "*.graphml"), str(folder / "out"), str(folder / "state"), told.append).awaitTermination()
     assert spark.read.parquet(str(folder / "out")).count() == 4 and told == [0]
+
+
+def test_database_table(spark):
+    """Written to and read from an in-memory database; the filter reaches it."""
+    url, how = "jdbc:derby:memory:taskweft;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(1, "it's; DROP TABLE x"), (2, "b"), (3, None)]
+    df = spark.createDataFrame(rows, "id int, name string")
+    sinks.write_jdbc(df, url, "results", how, "overwrite")
+    sinks.write_jdbc(df.where("id = 2"), url, "results", how)
+    assert sorted(tuple(r) for r in schedules.read_jdbc(spark, url, "results", properties=how).collect()) == sorted([*rows, (2, "b")], key=lambda r: r[0])
+    found = schedules.read_jdbc(spark, url, "results", "id = 2", how)
+    assert found.count() == 2 and "EqualTo(id,2)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b", c'), (2, None)], "id int, name string")
+    for kind in ("parquet", "csv", "json"):
+        sinks.write_files(df, str(tmp_path / kind), kind)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "parquet")).collect()), key=repr) == [(1, 'a "b", c'), (2, None)]
+    assert sorted(map(tuple, schedules.read_csv(spark, str(tmp_path / "csv")).collect()), key=repr) == [("1", 'a "b", c'), ("2", None)]
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+
+def test_wide_table_needs_a_shared_folder(spark, monkeypatch):
+    from taskweft.plans import scratch
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default="": default)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "x"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.checkpoint_root(Cluster)
