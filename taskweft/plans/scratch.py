@@ -12,10 +12,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_ASKED: dict[int, tuple[int, str]] = {}
+_LOCK = Lock()
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch while a table is written.
 BATCH_ROWS = 1000
@@ -35,6 +39,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Small Arrow batches until the last of the threads that ask for them is done; then the session's own size."""
+    with _LOCK:
+        count, own = _ASKED.get(id(spark), (0, spark.conf.get(_BATCH)))
+        _ASKED[id(spark)] = count + 1, own
+        spark.conf.set(_BATCH, str(min(int(own), BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        with _LOCK:
+            count, own = _ASKED.pop(id(spark))
+            if count > 1:
+                _ASKED[id(spark)] = count - 1, own
+            else:
+                spark.conf.set(_BATCH, own)
+
+
 class Scratch:
     """Tables of one operator run. ``cut`` writes and re-reads, ``drop`` removes what is no longer read.
 
@@ -64,12 +86,8 @@ class Scratch:
             df = df.coalesce(max(1, -(-rows // per_file)))
         path = f"{self.root}/{self._n:04d}"
         writer = df.write.option("compression", "zstd")
-        conf, batch = self.spark.conf, self.spark.conf.get(_BATCH)
-        conf.set(_BATCH, str(min(int(batch), BATCH_ROWS)))
-        try:
+        with small_batches(self.spark):
             (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        finally:
-            conf.set(_BATCH, batch)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

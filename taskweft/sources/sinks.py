@@ -36,7 +36,7 @@ def write_files(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def result_document(clusters: DataFrame, planned: DataFrame, actual: DataFrame, files: DataFrame) -> DataFrame:
-    """One JSON document (result) a cluster: key, members, durations and files. Each stays a row of bounded size.
+    """One JSON document (result) a cluster: key, members, durations and files. By its form a document gathers its cluster in one row.
 
     clusters: (cluster, key, id, name); planned, actual: (id, days); files: (id, file).
     """

@@ -339,3 +339,18 @@ def test_all_clusters_get_a_place(spark, monkeypatch):
     tasks = spark.createDataFrame(rows, "id long, cluster long, name string, file string, planned_days int, actual_days int")
     monkeypatch.setattr(queries_durations, "tasks", lambda t: tasks)
     assert sorted(r.place for r in queries_durations.clusters_by_overrun(None).collect()) == list(range(1, 1201))
+
+
+def test_batch_size_comes_back(spark):
+    """Two writers at once leave the session's own batch size behind, whoever ends first."""
+    from taskweft.plans.scratch import small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    first, second = small_batches(spark), small_batches(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(key) == "1000"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(key) == own
