@@ -83,10 +83,14 @@ def upper_tests(t):
     return t.part.select("p_partkey", tx.all_upper(F.col("p_type")).alias("upper"), tx.any_upper(F.col("p_brand")).alias("any_upper"))
 
 
-@query("""SELECT p_partkey, upper(p_type[1]) || lower(p_type[2:]) AS lowered, p_type AS restored FROM part""")
+@query("""WITH w AS (SELECT p_partkey, p_type, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b FROM part), c AS (SELECT *, upper(p_type[1]) || lower(p_type[2:]) AS t, upper(a[1]) || a[2:] AS x, upper(b[1]) || b[2:] AS y FROM w)
+    SELECT p_partkey, t || ' ' || x || ' ' || y AS lowered, p_type || ' ' || upper(a) || ' ' || CASE WHEN a = b THEN upper(b) ELSE y END AS restored FROM c""")
 def restored_upper(t):
-    low = t.part.select("p_partkey", F.initcap("p_type").alias("lowered"), tx.upper_map(F.array("p_type")).alias("m"))
-    return low.select("p_partkey", "lowered", F.array_join(tx.restore_upper(F.array("lowered"), F.col("m")), " ").alias("restored"))
+    """Capitalised words, and those of them restored that occur in upper case."""
+    words = F.split("p_name", " ")
+    a, b = F.element_at(words, 1), F.element_at(words, -1)
+    low = t.part.select("p_partkey", F.array(F.initcap("p_type"), F.initcap(a), F.initcap(b)).alias("lowered"), tx.upper_map(F.array(F.col("p_type"), F.upper(a), b)).alias("m"))
+    return low.select("p_partkey", F.array_join("lowered", " ").alias("lowered"), F.array_join(tx.restore_upper(F.col("lowered"), F.col("m")), " ").alias("restored"))
 
 
 @query("""SELECT doc_id, CAST(len(string_split(text, ' - ')) - 1 AS INTEGER) AS hyphens, contains(text, chr(65533)) AS broken FROM documents""")

@@ -49,11 +49,13 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInArrow(run, "file string, content binary").select("file", decode(F.col("content")).alias("text"))
 
 
-def parse_nodes(files: DataFrame) -> DataFrame:
+def parse_nodes(files: DataFrame, columns: dict[str, str] | None = None, file_column: str = "file") -> DataFrame:
     """Task rows of node texts (file, text): one a ``</node>`` piece with an id, values by key, missing keys null.
 
-    Quotes and U+FFFD are removed first; keys that are no task column are dropped.
+    Quotes and U+FFFD are removed first.  ``columns`` maps column names to node keys (older exports have other
+    ones) and other keys are dropped; ``file_column`` names the column of the file.
     """
+    columns = columns or TASK_COLUMNS
     clean = F.replace(F.replace(F.col("text"), F.lit('"'), F.lit("")), F.lit("�"), F.lit(""))
     nodes = files.select("file", F.explode(F.split(clean, "</node>")).alias("node")).where(F.col("node").contains("node id"))
     keys = F.regexp_extract_all("node", F.lit(r"key=([^>\s/]+)[^>]*>([^<]*)<"), F.lit(1))
@@ -61,8 +63,8 @@ def parse_nodes(files: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     value = lambda key: F.element_at(F.filter(pairs, lambda p: p["k"] == key), -1)["v"]
     found = F.regexp_extract("node", r"node id=([^>\s]+)", 1)
-    cols = [(found if key == "ID" else F.when(F.exists(pairs, lambda p: p["k"] == key), value(key))).alias(name) for name, key in TASK_COLUMNS.items()]  # noqa: B023
-    return nodes.select(*cols, "file")
+    cols = [(found if key == "ID" else F.when(F.exists(pairs, lambda p: p["k"] == key), value(key))).alias(name) for name, key in columns.items()]  # noqa: B023
+    return nodes.select(*cols, F.col("file").alias(file_column))
 
 
 def read_csv(spark: SparkSession, path: str, headers: list[str] | None = None) -> DataFrame:

@@ -330,6 +330,7 @@ def test_spectral(spark):
     edges = [(i, j, 1.0) for g in (range(5), range(5, 10)) for i in g for j in g if i < j] + [(0, 5, 0.01)]
     got = {r.id: r.label for r in ward.spectral_labels(spark.createDataFrame(edges, "src long, dst long, weight double"), 2).collect()}
     assert len(got) == 10 and set(got.values()) <= {0, 1}
+    assert len({got[i] for i in range(5)}) == len({got[i] for i in range(5, 10)}) == 1 and got[0] != got[9]
 
 
 def test_all_clusters_get_a_place(spark, monkeypatch):

@@ -27,6 +27,8 @@ def test_nodes(spark, folder):
     assert tasks.count() == 6 and tasks.columns == [*schedules.TASK_COLUMNS, "file"]
     assert got["A3", "a.graphml"].label == "Bücher" and got["A3", "a.graphml"].planned_start is None
     assert got["B2", "b.graphml"].label == "Bücher"
+    older = schedules.parse_nodes(schedules.text_files(spark, str(folder / "a.graphml")), {"task_id": "ID", "name": "Label", "limit": "Constraint"}, "source_file")
+    assert older.columns == ["task_id", "name", "limit", "source_file"] and older.where("task_id = 'A3'").first().limit == "x"
     clean = schedules.clean_tasks(tasks)
     assert sorted((r.id, r.file) for r in clean.collect()) == [("A1", "a.graphml"), ("A1", "b.graphml"), ("A3", "a.graphml"), ("B2", "b.graphml")]
     assert clean.where("id = 'A1'").first().label == "Lay cable  test"
