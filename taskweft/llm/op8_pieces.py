@@ -20,7 +20,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +45,11 @@ def stretches(joined: str = "") -> re.Pattern:
     return re.compile(rf"{MARK}*(?:[^\W\d_{extra}]+|(?:[\d_{extra}]|[^\w{MARK}])+)|{MARK}+")
 
 
+def parts_of(text: str) -> Iterator[str]:
+    """A text as a stream, with a look at the paths after each part."""
+    return (text[at : at + LOOK_EVERY] for at in range(0, len(text), LOOK_EVERY))
+
+
 class PieceModel:
     """Pieces, merge scores and byte ids of a SentencePiece merge model (identity normaliser, byte fallback)."""
 
@@ -71,6 +75,13 @@ class PieceModel:
         #: The number of a boundary's last piece where it is none: the text's start, or a character without one.
         self.open, self.bare, self.base = len(self.piece), len(self.piece) + 1, len(self.piece) + 2
         self.raw = [bytes((self.id_byte[i],)) if i in self.id_byte else self.piece[i].encode() for i in ids]
+        #: The pieces as a tree from their last characters on; "" holds a piece's id.
+        self._ends: dict = {}
+        for piece, i in self.id.items():
+            node = self._ends
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = i
         self._tree: dict[str, tuple[str, str] | None] = {}
         self._fits: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
@@ -135,12 +146,20 @@ class PieceModel:
     # -- streaming Viterbi --------------------------------------------------------------------------------
 
     def _extend(self, text: str, last: list, back: list, start: int) -> None:
-        """Boundaries after ``start``: the piece into each (-1 if no path ends there) and where it begins."""
-        known, fits, longest, base = self.id.get, self._fits.get, self.longest, self.base
+        """Boundaries after ``start``: the piece into each (-1 if no path ends there) and where it begins.
+
+        Arcs are tried from the shortest on, down the tree of the pieces read from their ends.
+        """
+        fits, base = self._fits.get, self.base
         for end in range(start + 1, len(text) + 1):
             piece = at = -1
-            for begin in range(end - 1, end - longest - 1 if end > longest else -1, -1):
-                part = known(text[begin:end])
+            node, begin = self._ends, end
+            while begin:
+                begin -= 1
+                node = node.get(text[begin])
+                if node is None:
+                    break
+                part = node.get("")
                 if part is not None and (before := last[begin]) >= 0:
                     fit = fits(before * base + part)
                     if self.fits(before, part) if fit is None else fit:
@@ -151,36 +170,38 @@ class PieceModel:
             last.append(piece)
             back.append(at)
 
-    def commits(self, chars: Iterator[str]) -> Iterator[tuple[list[int], int, bool]]:
-        """Ids of a stream of characters (marks in place of spaces) as soon as they are final.
+    def commits(self, parts: Iterator[str]) -> Iterator[tuple[list[int], int, bool]]:
+        """Ids of a stream of characters (marks in place of spaces), some at a time, as soon as they are final.
 
         Yields (ids, characters of the window before the commit, whether the surviving paths met; if not, the
         stream ended).
         """
         text, last, back = "", [self.open], [0]  # the window
         while True:
-            more = "".join(islice(chars, LOOK_EVERY))
-            start = len(text)
-            text += more
-            self._extend(text, last, back, start)
-            final = len(text)
-            if more:  # where all paths that can still be extended meet
-                alive = {p for p in range(max(0, len(text) - self.longest + 1), len(text) + 1) if last[p] >= 0}
-                while len(alive) > 1:
-                    top = max(alive)
-                    alive.discard(top)
-                    alive.add(back[top])
+            more = next(parts, None)
+            start, final = len(text), len(text)
+            if more is not None:
+                text, final = text + more, 0
+                self._extend(text, last, back, start)
+            if more is not None and len(text) >= self.longest:  # a shorter window may still be extended from its start
+                alive = {p for p in range(len(text) - self.longest + 1, len(text) + 1) if last[p] >= 0}
+                top = len(text)
+                while len(alive) > 1:  # back along the paths that can still be extended, to where they meet
+                    if top in alive:
+                        alive.discard(top)
+                        alive.add(back[top])
+                    top -= 1
                 final = alive.pop()
             if final:
-                yield self._path(text, last, back, final), len(text), bool(more)
+                yield self._path(text, last, back, final), len(text), more is not None
                 # the piece before the window stays, as the next border needs it
                 text, last, back = text[final:], last[final:], [0, *(b - final if b >= 0 else -1 for b in back[final + 1 :])]
-            if not more:
+            if more is None:
                 return
 
-    def stream(self, chars: Iterator[str]) -> Iterator[int]:
+    def stream(self, parts: Iterator[str]) -> Iterator[int]:
         """The ids of ``commits``, one by one."""
-        for ids, _, _ in self.commits(chars):
+        for ids, _, _ in self.commits(parts):
             yield from ids
 
     def _path(self, text: str, last: list, back: list, at: int) -> list[int]:
@@ -197,7 +218,10 @@ class PieceModel:
 
     def _stretch(self, chunk: str) -> bytes:
         """All that the stream commits for a stretch; all paths meet at its end, so it can be remembered."""
-        ids = array("i", self.stream(iter(chunk))).tobytes()
+        found = array("i")
+        for ids, _, _ in self.commits(parts_of(chunk)):
+            found.extend(ids)
+        ids = found.tobytes()
         if len(chunk) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
@@ -210,7 +234,7 @@ class PieceModel:
             return np.empty(0, np.int32)
         marked = MARK + text.replace(" ", MARK)
         if not self.by_stretch:
-            return np.fromiter(self.stream(iter(marked)), dtype=np.int32)
+            return np.fromiter(self.stream(parts_of(marked)), dtype=np.int32)
         memo, out = self.memo.get, []
         for chunk in self.cuts(marked):
             ids = memo(chunk)

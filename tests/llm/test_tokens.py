@@ -57,7 +57,7 @@ def test_pieces_equal_the_library(texts):
     for t in texts:
         want = sp.encode(t)
         assert m.encode(t).tolist() == want, t
-        assert not t or list(m.stream(iter("▁" + t.replace(" ", "▁")))) == want
+        assert not t or list(m.stream(iter("▁" + t.replace(" ", "▁")))) == list(m.stream(pieces.parts_of("▁" + t.replace(" ", "▁")))) == want
         assert m.decode(want) == t.replace("▁", " ")
 
 
@@ -85,7 +85,7 @@ def test_most_ids_are_committed_where_paths_meet(spark, sf):
     met = ended = widest = 0
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect():
         ids = []
-        for part, window, early in m.commits(iter(pieces.MARK + r.text.replace(" ", pieces.MARK))):
+        for part, window, early in m.commits(pieces.parts_of(pieces.MARK + r.text.replace(" ", pieces.MARK))):
             ids += part
             met, ended, widest = met + early * len(part), ended + (not early) * len(part), max(widest, window)
         assert ids == sp.encode(r.text)
