@@ -76,7 +76,8 @@ def read_csv(spark: SparkSession, path: str, headers: list[str] | None = None) -
 
 def parse_xer(files: DataFrame) -> DataFrame:
     """(file, table, row map<column, value>) of tab-separated XER texts: ``%T`` names a table, ``%F`` its columns, ``%R`` a row."""
-    tables = files.select("file", F.explode(F.slice(F.split(F.concat(F.lit("\n"), "text"), r"\n%T\t"), 2, 1_000_000)).alias("t"))
+    pieces = files.select("file", F.split(F.concat(F.lit("\n"), "text"), r"\n%T\t").alias("pieces"))
+    tables = pieces.select("file", F.explode(F.slice("pieces", F.lit(2), F.size("pieces"))).alias("t"))
     lines = F.split("t", r"\r?\n")
     header = F.split(F.element_at(F.filter(lines, lambda x: x.startswith("%F\t")), 1), "\t")
     rows = F.filter(lines, lambda x: x.startswith("%R\t"))
