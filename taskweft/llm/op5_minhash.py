@@ -15,7 +15,8 @@
    pairs are open, pair by pair where few are.  No pair becomes a row: a pair of tiles returns one row for
    each member with a link.
 
-So no two documents that share a bucket and lie in different components stay uncompared.  No bucket is capped and no member dropped; sets, links and labels stay in distributed tables.
+So no two documents that share a bucket and lie in different components stay uncompared.  No bucket is capped
+and no member dropped; sets, links and labels stay in distributed tables.
 """
 
 from __future__ import annotations
@@ -292,7 +293,8 @@ def rest_links(members: DataFrame, centres: DataFrame, labels: DataFrame, sets:
     component, are neighbours, and cut into tiles with their sets.  Two tiles meet if they share a bucket and
     do not both hold one and the same component.  A pair of tiles returns a row for each linked member.
     """
-    left = members.select("bucket", "key").join(centres, ["bucket", "key"], "left_anti")
+    # of a bucket of two one is the centre, and the other has met it
+    left = members.select("bucket", "key").join(centres.where("size > 2").select("bucket", F.col("c.key").alias("centre")), "bucket").where("key <> centre")
     named = scratch.cut(left.join(labels, left["key"] == labels["id"], "left").select("bucket", "key", F.coalesce("component", "key").alias("label")), rows=rows)
     mixed = named.groupBy("bucket").agg(F.min("label").alias("family"), F.max("label").alias("hi")).where("family < hi").select("bucket", "family")
     rest = scratch.cut(named.join(mixed, "bucket").groupBy("key").agg(F.min("family").alias("family"), F.min("label").alias("label"), F.collect_list("bucket").alias("buckets")), rows=rows)
@@ -354,14 +356,14 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int
     scratch.drop(shared, weight)
 
     close = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    centres = scratch.cut(members.groupBy("bucket").agg(F.min("turn").alias("c"), F.min_by("n", "turn").alias("m")), rows=n_slots)
+    centres = scratch.cut(members.groupBy("bucket").agg(F.min("turn").alias("c"), F.min_by("n", "turn").alias("m"), F.count(F.lit(1)).alias("size")), rows=n_slots)
     pairs = members.join(centres, "bucket").where((F.col("key") != F.col("c.key")) & close).select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
     pairs = scratch.cut(pairs, rows=n_slots)
     n_pairs = pairs.count()
     links = links.unionByName(scratch.cut(_confirm(pairs, sets, percent), rows=n_pairs, per_file=10_000))
     labels = connected_components(links, scratch, "a", "b", rows=n_pairs + total)
 
-    more = rest_links(members, centres.select("bucket", F.col("c.key").alias("key")), labels, sets, scratch, percent, n_slots, tile)
+    more = rest_links(members, centres, labels, sets, scratch, percent, n_slots, tile)
     scratch.drop(members, sets, centres, pairs)
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more), scratch, "a", "b", rows=n_pairs + 2 * total)
