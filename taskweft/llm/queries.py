@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taskweft.llm import op1_grid_join, op2_mixing, op3_url_trust, op4_quality, op5_minhash, op6_secrets, op7_token_counts, op8_pieces, op9_media, op10_line_dedup
+from taskweft.llm import op1_grid_join, op2_mixing, op3_url_trust, op4_quality, op5_minhash, op6_secrets, op7_token_counts, op8_pieces, op9_media, op10_line_dedup, op13_collocations
 from taskweft.sources import table
 
 #: Names of the vocabulary files; their folder is found at run time.
@@ -76,6 +76,10 @@ def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_dropped", "text")
 
 
+def op13_collocations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_grid_join": op1_grid_join_query,
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces_query,
         "op9_media_columns": op9_media_query,
         "op10_line_dedup": op10_line_dedup_query,
+        "op13_collocations": op13_collocations_query,
     }
 
 
@@ -97,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_trust": op3_url_trust.oracle(),
         "op5_minhash": op5_minhash.oracle(3, 85),
         "op10_line_dedup": op10_line_dedup.oracle(LINE_RATIO, LINE_PAGES),
+        "op13_collocations": op13_collocations.oracle(),
     }
