@@ -25,20 +25,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from taskweft.llm.words import STOP, Words
 from taskweft.plans.scratch import Scratch
 
 #: Bits of the filter of frequent parts at most (16 MB), and bits for a key below that.
 FILTER_BITS, BITS_A_KEY = 1 << 27, 16
 #: Bytes of text for each segment.
 SEGMENT_BYTES = 6_000_000
-#: Word places that a mapper holds before it counts, words that it numbers, and bytes that it cuts at once.
-SLICE_WORDS, MEMO_WORDS, CUT_BYTES = 2_000_000, 600_000, 4_000_000
+#: Word places that a mapper holds before it counts, and bytes that it cuts at once.
+SLICE_WORDS, CUT_BYTES = 1_500_000, 4_000_000
 #: Longest phrase.
 WORDS = 3
 
-_STOP = b"!"
 _FROM = bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t"
-_BYTES = bytes.maketrans(_FROM, bytes(range(97, 123)) + _STOP * 10 + b" ")
+_BYTES = bytes.maketrans(_FROM, bytes(range(97, 123)) + STOP * 10 + b" ")
 _U = np.uint64
 
 
@@ -120,25 +120,6 @@ def frequent_keys(chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least
     return slots.a[kept], slots.b[kept], total[kept]
 
 
-class Words(dict):
-    """Words and their numbers from 1, with two hash lanes; number 0 is the end of a piece."""
-
-    def __init__(self):
-        super().__init__({_STOP: 0})
-        self.raw: list[bytes] = []
-        self._lanes = lanes([])
-
-    def __missing__(self, word: bytes) -> int:
-        self.raw.append(word)
-        self[word] = number = len(self.raw)
-        return number
-
-    def lanes(self) -> tuple[np.ndarray, np.ndarray]:
-        new = lanes(self.raw[len(self._lanes[0]) - 1 :])
-        self._lanes = tuple(np.concatenate([old, x[1:]]) for old, x in zip(self._lanes, new, strict=True))
-        return self._lanes
-
-
 def lanes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Two hash lanes of each word, with a zero in front."""
     import xxhash
@@ -189,46 +170,54 @@ def windows(ids: np.ndarray, level: int, lang: str, both, bits: np.ndarray | Non
     return [first >> 32, first & 0xFFFFFFFF, both_ & 0xFFFFFFFF], n
 
 
-def _cut(raw: bytes) -> Iterator[list[bytes]]:
-    """The words of a text with a stop at each end of a piece, in portions."""
-    text, at = raw.translate(_BYTES), 0
+def _cut(text: bytes) -> Iterator[bytes]:
+    """A text in portions that end between words."""
+    at = 0
     while at < len(text):
         end = at + CUT_BYTES
         if end < len(text):
-            end = min((i for i in (text.find(b" ", end), text.find(_STOP, end)) if i >= 0), default=len(text))
-        yield text[at:end].replace(_STOP, b" ! ").split()
+            end = min((i for i in (text.find(b" ", end), text.find(STOP, end)) if i >= 0), default=len(text))
+        yield text[at:end]
         at = end
-    yield [_STOP]
 
 
-def slices(batches: Iterator[pa.RecordBatch], levels: int):
-    """(lang, ids, words): numbered words of slices; consecutive slices of a language overlap by ``levels - 1`` words."""
-    words, held, size = Words(), {}, 0
+def slices(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[tuple[str, np.ndarray, Words, tuple[np.ndarray, np.ndarray]]]:
+    """(lang, ids, words, lanes): numbered words of slices; a language's next slice begins with the last ``levels - 1`` words of the one before."""
+    words, held, waiting, size, here = Words(), {}, {}, 0, 0
+
+    def number():
+        nonlocal size, here
+        for lang, parts in waiting.items():
+            ids = words.number(b"".join(parts))
+            held.setdefault(lang, []).append(ids)
+            size += len(ids)
+        waiting.clear()
+        here = 0
 
-    def flush(last: bool):
+    def flush():
         nonlocal words, size
-        both = words.lanes()
-        for lang in [*held]:
-            yield lang, np.concatenate(held[lang]), words, both
-        tails = {} if last else {lang: [words.raw[i - 1] if i else _STOP for i in np.concatenate(held[lang])[-(levels - 1) :]] if levels > 1 else [] for lang in held}
-        if len(words) > MEMO_WORDS:
-            words = Words()
+        both = lanes(words.raw)
+        tails = {}
+        for lang, arrays in held.items():
+            ids = np.concatenate(arrays)
+            yield lang, ids, words, both
+            tails[lang] = [words.raw[i - 1] if i else STOP for i in ids[max(0, len(ids) - levels + 1) :]]
+        words, size = Words(), 0
         held.clear()
-        for lang, tail in tails.items():
-            if tail and any(w != _STOP for w in tail):
-                held[lang] = [np.array([words[w] for w in tail], np.int64)]
-        size = 0
+        held.update({lang: [np.array([words[w] for w in tail], np.int64)] for lang, tail in tails.items() if any(w != STOP for w in tail)})
 
     for batch in batches:
         for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            mine = held.setdefault(lang, [])
-            for part in _cut(raw.as_py()):
-                mine.append(np.fromiter(map(words.__getitem__, part), np.int64, len(part)))
-                size += len(part)
-                if size >= SLICE_WORDS:
-                    yield from flush(False)
-                    mine = held.setdefault(lang, [])
-    yield from flush(True)
+            for part in _cut(raw.as_py().translate(_BYTES)):
+                waiting.setdefault(lang, []).append(part)
+                here += len(part)
+                if here >= CUT_BYTES:
+                    number()
+                    if size >= SLICE_WORDS:
+                        yield from flush()
+            waiting.setdefault(lang, []).append(STOP)
+    number()
+    yield from flush()
 
 
 def _entries(texts: DataFrame, level: int, segments: int, bits) -> DataFrame:
@@ -292,7 +281,7 @@ def _named(texts: DataFrame, bits) -> DataFrame:
     def run(batches):
         field = np.frombuffer(bits.value, np.uint8)
         for lang, ids, words, both in slices(batches, WORDS):
-            raw = [_STOP, *words.raw]
+            raw = [STOP, *words.raw]
             live = [np.zeros(len(ids), bool) for _ in range(WORDS + 1)]
             for level in range(2, WORDS + 1):
                 if len(ids) < level:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taskweft.llm import op1_grid_join, op2_mixing, op3_url_trust, op4_quality, op5_minhash, op6_secrets, op7_token_counts, op8_pieces, op9_media, op10_line_dedup, op13_collocations
+from taskweft.llm import op1_grid_join, op2_mixing, op3_url_trust, op4_quality, op5_minhash, op6_secrets, op7_token_counts, op8_pieces, op9_media, op10_line_dedup, op11_licenses, op12_divergence, op13_collocations
 from taskweft.sources import table
 
 #: Names of the vocabulary files; their folder is found at run time.
@@ -76,6 +76,14 @@ def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_dropped", "text")
 
 
+def op11_licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -92,6 +100,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces_query,
         "op9_media_columns": op9_media_query,
         "op10_line_dedup": op10_line_dedup_query,
+        "op11_licenses": op11_licenses_query,
+        "op12_divergence": op12_divergence_query,
         "op13_collocations": op13_collocations_query,
     }
 
@@ -102,5 +112,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_trust": op3_url_trust.oracle(),
         "op5_minhash": op5_minhash.oracle(3, 85),
         "op10_line_dedup": op10_line_dedup.oracle(LINE_RATIO, LINE_PAGES),
+        "op12_divergence": op12_divergence.oracle(),
         "op13_collocations": op13_collocations.oracle(),
     }
