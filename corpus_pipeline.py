@@ -14,10 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taskweft.llm import op2_mixing, op4_quality, op5_minhash, op8_pieces, op10_line_dedup
-from taskweft.llm.queries import LINE_PAGES, LINE_RATIO, MIX, PIECE_MODEL, tokenizer_path
+from taskweft.llm.queries import LINE_RATIO, MIX, PIECE_MODEL, tokenizer_path
 from taskweft.plans.scratch import Scratch
 from taskweft.sources import table
 
+#: A line on one page alone repeats nothing, however few pages its host has: its document is a clean one.
+LINE_PAGES = 2
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores 0.5 or more."""
@@ -36,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near copies (five words, similarity 0.8)."""
     judged = op5_minhash.near_duplicates(docs, words=5, percent=80, rows=6)
     gone = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
