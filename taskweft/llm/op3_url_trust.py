@@ -35,6 +35,7 @@ RATIO = 1.0
 #: Distrust counts as more than trust where it is so by more than this share of it: scores are sums of doubles.
 MARGIN = 1e-6
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
+_LINK_HOST = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,12 +62,18 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, action
 
 
+def host_of_link(reference: Column) -> Column:
+    """The host that a link names itself: after ``scheme://`` or ``//`` at its beginning, A-Z lower-cased; else empty.
+
+    A ``://`` further on belongs to the link's path, query or fragment.
+    """
+    return F.translate(F.regexp_extract(reference, _LINK_HOST, 1), UPPER, LOWER)
+
+
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, weight): pages of src that link to another host dst. Relative links stay on their host."""
-    links = pages.select(
-        host_of(F.col(url_col)).alias("src"),
-        F.explode(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(F.col(html_col), F.lit(_HREF), F.lit(1)), lambda u: host_of(F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u))), lambda h: h != ""))).alias("dst"),
-    )
+    found = F.transform(F.regexp_extract_all(F.col(html_col), F.lit(_HREF), F.lit(1)), host_of_link)
+    links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.array_distinct(F.filter(found, lambda h: h != ""))).alias("dst"))
     return links.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
@@ -142,9 +149,9 @@ def oracle(rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, ratio: f
     ctes = [
         f"urls AS (SELECT page_id, html, {host.format('url')} AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM {table})",
         f"judged AS (SELECT page_id, html, host, path, {rule} AS rule, {action} AS action FROM urls)",
-        """links AS (SELECT DISTINCT page_id, host AS src, CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END AS u FROM (
-            SELECT page_id, host, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS u FROM judged))""",
-        f"edges AS (SELECT src, dst, count(*) AS weight FROM (SELECT DISTINCT page_id, src, {host.format('u')} AS dst FROM links) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)",
+        """links AS (SELECT page_id, host, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS u FROM judged)""",
+        f"named AS (SELECT DISTINCT page_id, host AS src, translate(regexp_extract(u, '{_LINK_HOST}', 1), '{UPPER}', '{LOWER}') AS dst FROM links)",
+        "edges AS (SELECT src, dst, count(*) AS weight FROM named WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)",
     ]
     for name, act, a, b in (("t", "allow", "src", "dst"), ("d", "block", "dst", "src")):
         ctes += [

@@ -67,12 +67,12 @@ def op9_media_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_media.media_features(op9_media.store_texts(table(spark, sf_dir, "documents")))
 
 
-#: A line is boilerplate on more than this share of its host's pages; on one page alone it repeats nothing.
-LINE_RATIO, LINE_PAGES = 0.1, 2
+#: A line is boilerplate on more than this share of its host's pages.
+LINE_RATIO = 0.1
 
 
 def op10_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = op10_line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), LINE_RATIO, LINE_PAGES, count_col="n_dropped")
+    out = op10_line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), LINE_RATIO, count_col="n_dropped")
     return out.select("doc_id", "n_dropped", "text")
 
 
@@ -111,7 +111,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_grid_join": op1_grid_join.oracle(0.95),
         "op3_url_trust": op3_url_trust.oracle(),
         "op5_minhash": op5_minhash.oracle(3, 85),
-        "op10_line_dedup": op10_line_dedup.oracle(LINE_RATIO, LINE_PAGES),
+        "op10_line_dedup": op10_line_dedup.oracle(LINE_RATIO),
         "op12_divergence": op12_divergence.oracle(),
         "op13_collocations": op13_collocations.oracle(),
     }

@@ -27,7 +27,7 @@ def clash(odd):
     """The same with extra columns under names that the operators use inside or return."""
     from pyspark.sql import functions as F
 
-    return odd.withColumns({c: F.lit("extra") for c in ("key", "rep", "bucket", "label", "score", "ids", "piece_ids", "n_pieces", "_host", "_boilerplate", "host", "lines", "n_dropped", "bands", "id", "component", "spans", "start", "copies", "p", "hashes", "kept")})
+    return odd.withColumns({c: F.lit("extra") for c in ("key", "rep", "bucket", "label", "score", "ids", "piece_ids", "n_pieces", "_host", "_boilerplate", "host", "lines", "n_dropped", "bands", "id", "component", "spans", "start", "copies", "p", "hashes", "kept", "a.b", "part", "segment", "phrase", "words", "term", "n", "labels")})
 
 
 @pytest.fixture(scope="session")

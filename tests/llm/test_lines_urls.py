@@ -46,13 +46,15 @@ def brute_trust(rows, rules, damping, rounds, ratio):
     host = lambda url: url.split("://", 1)[1].split("/")[0].split("?")[0].split("#")[0].lower() if url and "://" in url else ""
     import re
 
+    named = lambda x: host("x:" + x) if x.startswith("//") else host(x) if re.match("[A-Za-z][A-Za-z0-9+.-]*://", x) else ""
+
     edges, seeds = Counter(), {"allow": Counter(), "block": Counter()}
     for _, url, html in rows:
         h = host(url)
         for act, rh, _ in rules:
             if h == rh or h.endswith("." + rh):
                 seeds[act][h] += 1
-        out = {host("http:" + x if x.startswith("//") else x) for x in re.findall(r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)""", html or "")}
+        out = {named(x) for x in re.findall(r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)""", html or "")}
         for x in out - {"", h}:
             if h:
                 edges[h, x] += 1
@@ -124,6 +126,34 @@ def test_no_pages(spark):
     assert u.judge_urls(spark.createDataFrame([], "page_id long, url string, html string, host string, trust int")).count() == 0
 
 
+LINKS = [
+    ("/go?to=https://bad.com/y", None),
+    ("/s#https://bad.com/", None),
+    ("?u=//bad.com", None),
+    ("page//bad.com", None),
+    ("1http://bad.com/", None),
+    ("mailto:x@bad.com", None),
+    ("//Bad.com/x", "bad.com"),
+    ("HtTp://BAD.com?x", "bad.com"),
+    ("svn+ssh://bad.com#x", "bad.com"),
+    ("https://ok.com/?to=http://bad.com", "ok.com"),
+]
+
+
+@pytest.mark.parametrize(("href", "host"), LINKS)
+def test_links_name_their_own_host(spark, href, host):
+    """Hosts in a link's path, query or fragment make no edge, in the operator and in its twin."""
+    rows = [(1, "http://a.test/x", f'<a href="{href}">x</a>'), (2, "http://bad.com/es/1", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r.dst for r in u.host_edges(df).collect()] == ([host] if host else [])
+    got = {r.page_id: r.verdict for r in u.judge_urls(df, RULES).collect()}
+    assert got[1] == ("block" if host == "bad.com" else "allow")
+    pages = df.toPandas()  # noqa: F841
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages_ AS SELECT * FROM pages")
+    assert {r[0]: r[4] for r in c.sql(u.oracle(RULES, table="pages_")).fetchall()} == got
+
+
 def test_odd_pages(spark):
     """Clashing names and very long html do not change verdicts."""
     from pyspark.sql import functions as F

@@ -31,7 +31,7 @@ def test_run(spark, sf):
 
 def test_names():
     names = list(queries())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and set(oracle_sql()) <= set(names)
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and set(oracle_sql()) <= set(names)
 
 
 def test_each_stage_against_brute_force(spark, tmp_path):
@@ -42,7 +42,8 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     from pyspark.sql import functions as F
 
     from taskweft.llm import op2_mixing, op4_quality
-    from taskweft.llm.queries import LINE_PAGES, LINE_RATIO, MIX, PIECE_MODEL, tokenizer_path
+    from corpus_pipeline import LINE_PAGES
+    from taskweft.llm.queries import LINE_RATIO, MIX, PIECE_MODEL, tokenizer_path
     from tests.llm.test_lines_urls import brute_lines
     from tests.llm.test_near_duplicates import brute
 
