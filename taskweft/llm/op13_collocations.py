@@ -33,7 +33,7 @@ FILTER_BITS, BITS_A_KEY = 1 << 27, 16
 #: Bytes of text for each segment.
 SEGMENT_BYTES = 6_000_000
 #: Word places that a mapper holds before it counts, and bytes that it cuts at once.
-SLICE_WORDS, CUT_BYTES = 1_500_000, 4_000_000
+SLICE_WORDS, CUT_BYTES = 1_000_000, 3_000_000
 #: Longest phrase.
 WORDS = 3
 
@@ -97,24 +97,36 @@ def tree_sum(arrays: list[np.ndarray]) -> np.ndarray:
     return arrays[0]
 
 
+def _grouped(chunks: list[tuple], entries: int) -> list[tuple]:
+    """Chunks joined until each has ``entries`` or more, so that arrays of slots are not longer than what they count."""
+    out, held, size = [], [], 0
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk[0])
+        if size >= entries:
+            out.append(held)
+            held, size = [], 0
+    return [tuple(map(np.concatenate, zip(*x, strict=True))) for x in [*out, held] if x]
+
+
 def frequent_keys(chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, count) of the keys with ``least`` or more in sum. chunks: arrays of (a, b, count)."""
-    buckets = _U((1 << max(10, int(sum(len(a) for a, _, _ in chunks)).bit_length() + 1)) - 1)
-    counted = lambda at, n, size: np.bincount(at.astype(np.int64), weights=n, minlength=int(size)).astype(np.int64)
-    sums = tree_sum([counted(mix(a) & buckets, n, buckets + _U(1)) for a, _, n in chunks])
-    full = [sums[(mix(a) & buckets).astype(np.int64)] >= least for a, _, _ in chunks]
-    ka, kb = (np.concatenate([c[i][f] for c, f in zip(chunks, full, strict=True)]) for i in (0, 1))
+    size = 1 << max(10, sum(len(a) for a, _, _ in chunks).bit_length())
+    chunks = _grouped(chunks, size // 2)
+    counted = lambda at, n, size: np.bincount(at, weights=n, minlength=size).astype(np.int64)
+    buckets = [((a >> _U(20)) & _U(size - 1)).view(np.int64) for a, _, _ in chunks]
+    sums = tree_sum([counted(at, n, size) for at, (_, _, n) in zip(buckets, chunks, strict=True)] or [np.zeros(size, np.int64)])
+    full = [tuple(x[f] for x in c) for c, f in zip(chunks, (sums[at] >= least for at in buckets), strict=True)]
+    ka, kb = (np.concatenate([np.zeros(0, t), *(c[i] for c in full)]) for i, t in ((0, np.uint64), (1, np.uint32)))
     order = np.lexsort((kb, ka))
     ka, kb = ka[order], kb[order]
     first = np.ones(len(ka), bool)
     first[1:] = (ka[1:] != ka[:-1]) | (kb[1:] != kb[:-1])
     slots = Slots(ka[first], kb[first])
-    if not len(slots.a):
-        return slots.a, slots.b, np.zeros(0, np.int64)
-    parts = []
-    for (a, b, n), f in zip(chunks, full, strict=True):
-        at = slots.find(a[f], b[f])
-        parts.append(counted(at[at >= 0], n[f][at >= 0], len(slots.a)))
+    parts = [np.zeros(len(slots.a), np.int64)]
+    for a, b, n in full:
+        at = slots.find(a, b)
+        parts.append(counted(at[at >= 0], n[at >= 0], len(slots.a)))
     total = tree_sum(parts)
     kept = total >= least
     return slots.a[kept], slots.b[kept], total[kept]
@@ -236,9 +248,9 @@ def _entries(texts: DataFrame, level: int, segments: int, bits) -> DataFrame:
             a, b, n, to = a[order], b[order], n[order].astype(np.uint32), to[order]
             starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
             ends = [*starts[1:], len(to)]
-            for at in range(0, len(starts), 64):
-                rows = [slice(s, e) for s, e in zip(starts[at : at + 64], ends[at : at + 64], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(to[starts[at : at + 64]], pa.int32()), *(pa.array([v[r].tobytes() for r in rows], pa.binary()) for v in (a, b, n))], names=["segment", "a", "b", "n"])
+            for at in range(0, len(starts), 16):
+                rows = [slice(s, e) for s, e in zip(starts[at : at + 16], ends[at : at + 16], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(to[starts[at : at + 16]], pa.int32()), *(pa.array([v[r].tobytes() for r in rows], pa.binary()) for v in (a, b, n))], names=["segment", "a", "b", "n"])
 
     return texts.mapInArrow(run, "segment int, a binary, b binary, n binary")
 
