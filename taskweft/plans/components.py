@@ -55,7 +55,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", d
     out, _ = rounds.pop()
     while rounds:
         earlier, n = rounds.pop()
-        nxt = scratch.cut(_follow(earlier, out).unionByName(out), rows=n)
+        # a node of a long path can be half-way up in several rounds: the last one knows its component
+        once = earlier.join(out.select("node"), "node", "left_anti")
+        nxt = scratch.cut(_follow(once, out).unionByName(out), rows=n)
         scratch.drop(earlier, out)
         out = nxt
     return out.select(F.col("node").alias("id"), F.col("parent").alias("component"))
