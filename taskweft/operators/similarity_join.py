@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from taskweft.functions.similarity import edit_ratio, ratio_reachable
 from taskweft.operators.stats import global_row_id
@@ -14,24 +14,60 @@ from taskweft.plans.components import connected_components
 from taskweft.plans.scratch import Scratch
 
 
-def _length_bands(texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Two sides keyed so that any pair whose lengths allow the ratio meets in exactly one band.
+def _farthest(length: Column, least: float) -> Column:
+    """Most letters that a text and a longer partner can have apart: insertions and deletions at the ratio's bound."""
+    longest = F.floor(length * (2 - least) / least + 1e-9)
+    return F.floor((1 - least) * (length + longest) + 1e-9).cast("int")
 
-    Bands are powers of the largest length quotient; the shorter text is put into its own band and the
-    next, so an equal join replaces the comparison of all with all.
+
+def _cut_key(length: Column, number: Column, segment: Column) -> Column:
+    return F.xxhash64(length, number, segment)
+
+
+def segment_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """(t1, t2), t1 < t2: pairs of distinct texts that can reach the ratio, by shared segments. texts: (t), distinct.
+
+    At the bound a pair is ``d`` insertions and deletions apart.  The shorter text is cut into ``d + 1``
+    segments; one of them stands unchanged in the longer, with ``i`` changes before segment ``i`` at most and
+    the rest after it, which leaves few places where to look.  So pairs meet on (length, segment number,
+    segment), an equal join.  Texts with fewer letters than segments meet all that their length allows.
     """
-    top = (2 - least) / least * 1.0001  # longest partner of a text of length 1, with room for rounding
-    band = F.floor(F.log(F.greatest(F.length("t"), F.lit(1))) / F.log(F.lit(top)) ).cast("int")
-    own = texts.select("t", band.alias("band"))
-    short = own.select(F.col("t").alias("t1"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    return short, own.withColumnRenamed("t", "t2")
+    t = texts.select("t", F.length("t").alias("n"))
+    d = _farthest(F.col("n"), least)
+    cuttable = d < F.col("n")
+    place = lambda k, n, d: F.floor(k * n / (d + 1)).cast("int")
+
+    # the shorter text: one row for each segment
+    own = t.select(F.col("t").alias("s"), F.col("n").alias("ns"), d.alias("d"), F.explode(F.when(cuttable, F.sequence(F.lit(0), d)).otherwise(F.array(F.lit(-1)))).alias("i"))
+    at, end = place(F.col("i"), F.col("ns"), F.col("d")), place(F.col("i") + 1, F.col("ns"), F.col("d"))
+    index = own.select("s", "ns", _cut_key(F.col("ns"), F.col("i"), F.when(F.col("i") >= 0, F.substring("s", at + 1, end - at)).otherwise("")).alias("key"))
+
+    # the longer text: one row for each place where a segment of a shorter one can stand
+    shortest = F.greatest(F.ceil(F.col("n") * least / (2 - least) - 1e-9).cast("int"), F.lit(0))
+    lengths = t.select(F.col("t").alias("l"), F.col("n").alias("nl"), F.explode(F.sequence(shortest, F.col("n"))).alias("ns"))
+    near = lengths.withColumn("d", _farthest(F.col("ns"), least))
+    numbered = near.select("*", F.explode(F.when(F.col("d") < F.col("ns"), F.sequence(F.lit(0), F.col("d"))).otherwise(F.array(F.lit(-1)))).alias("i"))
+    more = F.col("nl") - F.col("ns")
+    apart = F.floor((1 - least) * (F.col("ns") + F.col("nl")) + 1e-9).cast("int")
+    gone, come = F.floor((apart - more) / 2).cast("int"), F.floor((apart + more) / 2).cast("int")
+    left, after = F.col("i"), F.col("d") - F.col("i")
+    low, high = F.greatest(-left, more - after, -gone), F.least(left, more + after, come)
+    shifted = numbered.select("*", F.explode(F.when(F.col("i") < 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))).alias("shift"))
+    at, end = place(F.col("i"), F.col("ns"), F.col("d")), place(F.col("i") + 1, F.col("ns"), F.col("d"))
+    begin = at + F.col("shift")
+    inside = (F.col("i") < 0) | ((begin >= 0) & (begin + end - at <= F.col("nl")))
+    probes = shifted.where(inside).select("l", "nl", "ns", _cut_key(F.col("ns"), F.col("i"), F.when(F.col("i") >= 0, F.substring("l", begin + 1, end - at)).otherwise("")).alias("key")).distinct()
+
+    before = (F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))
+    met = index.join(probes, ["key", "ns"]).where(before)
+    return met.select(F.least("s", "l").alias("t1"), F.greatest("s", "l").alias("t2")).distinct()
 
 
 def edit_pairs(texts: DataFrame, column: str, least: float = 0.0, skip_tags: bool = True) -> DataFrame:
     """(t1, t2, score) for unordered pairs of distinct texts, t1 < t2, with edit ratio >= ``least``.
 
-    Tags (``<...>``) are left out.  With a threshold, pairs meet by length bands and the exact length bound
-    comes before the table of the ratio; without one every pair is wanted and made.
+    Tags (``<...>``) are left out.  With a threshold, pairs meet by shared segments before the ratio is
+    computed; without one every pair is wanted and made.
     """
     t = texts.select(F.col(column).alias("t")).where("t is not null").distinct()
     if skip_tags:
@@ -39,9 +75,7 @@ def edit_pairs(texts: DataFrame, column: str, least: float = 0.0, skip_tags: boo
     if least <= 0:
         pairs = t.select(F.col("t").alias("t1")).join(t.select(F.col("t").alias("t2")), F.col("t1") < F.col("t2"))
     else:
-        short, other = _length_bands(t, least)
-        before = (F.length("t1") < F.length("t2")) | ((F.length("t1") == F.length("t2")) & (F.col("t1") < F.col("t2")))
-        pairs = short.join(other, "band").where(before & ratio_reachable(F.col("t1"), F.col("t2"), least)).select(F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2"))
+        pairs = segment_pairs(t, least).where(ratio_reachable(F.col("t1"), F.col("t2"), least))
     scored = pairs.withColumn("score", edit_ratio(F.col("t1"), F.col("t2")))
     return scored.where(F.col("score") >= least) if least > 0 else scored
 
@@ -56,15 +90,15 @@ def symmetric(pairs: DataFrame, value: str = "score", diagonal: float | None = N
 
 
 def text_components(texts: DataFrame, column: str, least: float = 0.9) -> DataFrame:
-    """(text, component): the smallest text that similar pairs lead to. Texts are numbered by hash for the loop."""
+    """(text, component): the smallest text that similar pairs lead to. Texts are numbered in their order for the loop."""
     scratch = Scratch(texts.sparkSession, "texts")
-    t = scratch.cut(texts.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("id", F.xxhash64("text")))
+    distinct = texts.select(F.col(column).alias("text")).where("text is not null").distinct()
+    t = scratch.cut(global_row_id(distinct, ["text"]).withColumnRenamed("row_id", "id"))
     pairs = edit_pairs(t, "text", least, skip_tags=False)
-    links = pairs.select(F.xxhash64("t1").alias("src"), F.xxhash64("t2").alias("dst"))
+    links = pairs.join(t.select(F.col("text").alias("t1"), F.col("id").alias("src")), "t1").join(t.select(F.col("text").alias("t2"), F.col("id").alias("dst")), "t2").select("src", "dst")
     labels = connected_components(links, scratch).withColumnRenamed("component", "root")
     rooted = t.join(labels, "id", "left").select("text", F.coalesce("root", "id").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("text").alias("component"))
-    return rooted.join(named, "root").select("text", "component")
+    return rooted.join(t.select(F.col("id").alias("root"), F.col("text").alias("component")), "root").select("text", "component")
 
 
 def component_members(clusters: DataFrame, components: DataFrame) -> DataFrame:
