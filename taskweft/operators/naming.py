@@ -9,7 +9,6 @@ from taskweft.operators import words_pairs
 from taskweft.operators.similarity_join import text_components
 from taskweft.operators.stats import typical_positions
 from taskweft.operators.tables import excluding
-from taskweft.operators.words_pairs import best_token_matches
 from taskweft.plans.scratch import Scratch
 
 
@@ -32,24 +31,28 @@ def part_matches(frags: DataFrame, scores: DataFrame, cutoff: float) -> DataFram
     """(cluster, part, match, w): matched tokens of each pair of fragments, with the number of such pairs.
 
     Equal fragments match with all their tokens; of different ones each token of the shorter takes its best
-    partner in the longer.
+    partner in the longer, in its own order, the same partner again where two tokens have it.  Of equal token
+    counts the fragment that is smaller as text is the shorter.
     """
     same = frags.where("n > 1 and size(tokens) > 0").select("cluster", "part", F.col("tokens").alias("match"), (F.col("n") * (F.col("n") - 1) / 2).alias("w"))
-    f = frags.withColumns({"id": F.xxhash64("fragment"), "place": F.struct("cluster", "part")})
-    a = f.select(F.col("place").alias("cluster"), F.col("id").alias("id1"), F.col("tokens").alias("tokens1"), F.col("n").alias("n1"))
-    b = f.select(F.col("place").alias("cluster"), F.col("id").alias("id2"), F.col("tokens").alias("tokens2"), F.col("n").alias("n2"))
-    pairs = a.join(b, "cluster").where("id1 < id2")
-    matched = best_token_matches(pairs, scores, cutoff).groupBy("cluster", "id1", "id2").agg(F.array_sort(F.collect_set("match")).alias("match"))
-    other = matched.join(pairs.select("cluster", "id1", "id2", (F.col("n1") * F.col("n2")).alias("w")), ["cluster", "id1", "id2"])
-    both = same.unionByName(other.select("cluster.cluster", "cluster.part", "match", F.col("w").cast("double")))
+    f = frags.select(F.struct("cluster", "part").alias("place"), "fragment", "tokens", "n")
+    maps = words_pairs.best_maps(f.select(F.col("place").alias("cluster"), F.col("fragment").alias("list"), "tokens"), scores, cutoff)
+    f = Scratch(frags.sparkSession, "partners").cut(f.join(maps, (f["place"] == maps["cluster"]) & (f["fragment"] == maps["list"]), "left").select("place", "fragment", "tokens", "n", "best"))
+    side = lambda k: f.select("place", *(F.col(c).alias(f"{c}{k}") for c in ("fragment", "tokens", "n", "best")))
+    pairs = side(1).join(side(2), "place").where("fragment1 < fragment2")
+    first = F.size("tokens1") <= F.size("tokens2")
+    short, best = F.when(first, F.col("tokens1")).otherwise(F.col("tokens2")), F.when(first, F.col("best2")).otherwise(F.col("best1"))
+    found = pairs.select("place", (F.col("n1") * F.col("n2")).cast("double").alias("w"), short.alias("short"), best.alias("best")).where("best is not null")
+    matched = found.select("place", "w", F.filter(F.transform("short", lambda x: F.try_element_at("best", x)), lambda x: x.isNotNull()).alias("match")).where("size(match) > 0")
+    both = same.unionByName(matched.select("place.cluster", "place.part", "match", "w"))
     return both.groupBy("cluster", "part", "match").agg(F.sum("w").alias("w"))
 
 
 def part_keys(frags: DataFrame, scores: DataFrame, cutoff: float = 0.8) -> DataFrame:
     """(cluster, part, words): the best match of each part with two fragments or more.
 
-    A match scores the frequency of its tokens over all matches times its length over the median fragment
-    length; ties go to the larger match in array order.
+    A match scores the frequency of its tokens over all matches, repeats counted, times its length over the
+    median fragment length; ties go to the larger match in array order.
     """
     matches = Scratch(frags.sparkSession, "matches").cut(part_matches(frags, scores, cutoff))
     freq = matches.select("cluster", "part", "w", F.explode("match").alias("token")).groupBy("cluster", "part", "token").agg(F.sum("w").alias("f"))
@@ -58,7 +61,7 @@ def part_keys(frags: DataFrame, scores: DataFrame, cutoff: float = 0.8) -> DataF
     score = F.when(F.col("median") > 0, F.col("s") * F.size("match") / F.col("median")).otherwise(0.0)
     best = scored.join(lengths, ["cluster", "part"]).groupBy("cluster", "part").agg(F.max_by("match", F.struct(score, "match")).alias("match"))
     place = typical_positions(frags.select("cluster", "part", "tokens"), key=["cluster", "part"])
-    words = best.select("cluster", "part", F.explode("match").alias("token")).join(place, ["cluster", "part", "token"])
+    words = best.select("cluster", "part", F.explode(F.array_distinct("match")).alias("token")).join(place, ["cluster", "part", "token"])
     ordered = words.groupBy("cluster", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("w"))
     return ordered.select("cluster", "part", tx.capwords(F.array_join(F.transform("w", lambda x: x["token"]), " ")).alias("words"))
 

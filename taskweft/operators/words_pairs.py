@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from taskweft.functions.similarity import edit_ratio
 from taskweft.functions.vectors import squared_distance
 from taskweft.operators.cluster_metrics import scale_distances
+from taskweft.plans.scratch import Scratch
 
 
 def name_lists(names: DataFrame) -> DataFrame:
@@ -14,22 +15,33 @@ def name_lists(names: DataFrame) -> DataFrame:
     return names.groupBy("cluster", "tokens").agg(F.count(F.lit(1)).alias("n")).withColumn("list", F.xxhash64("tokens"))
 
 
-def name_pairs(names: DataFrame) -> DataFrame:
-    """(cluster, list1, list2, tokens1, tokens2, w): pairs of a cluster's token lists, ``w`` pairs of members each.
+def _both_ways(scores: DataFrame) -> DataFrame:
+    """(x, y, score) of different tokens, in both orders. scores: (t1, t2, score), t1 < t2."""
+    s = scores.select(F.col("t1").alias("x"), F.col("t2").alias("y"), "score")
+    return s.unionByName(s.select(F.col("y").alias("x"), F.col("x").alias("y"), "score"))
 
-    Members that share their tokens are counted, not paired, so a cluster of many equal names stays small.
-    """
-    lists = name_lists(names)
-    a = lists.select("cluster", F.col("list").alias("list1"), F.col("tokens").alias("tokens1"), F.col("n").alias("n1"))
-    b = lists.select("cluster", F.col("list").alias("list2"), F.col("tokens").alias("tokens2"), F.col("n").alias("n2"))
-    w = F.when(F.col("list1") == F.col("list2"), F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2"))
-    return a.join(b, "cluster").where("list1 <= list2").withColumn("w", w).where("w > 0").select("cluster", "list1", "list2", "tokens1", "tokens2", "w")
 
+def pair_totals(names: DataFrame, scores: DataFrame) -> DataFrame:
+    """(cluster, total, tokens, members): over all pairs of a cluster's names, the scores of their token pairs and the tokens compared.
 
-def token_products(pairs: DataFrame) -> DataFrame:
-    """(cluster, x, y, w): each token of one list with each of the other, summed over the cluster's pairs."""
-    products = pairs.select("cluster", "w", F.explode("tokens1").alias("x"), "tokens2").select("cluster", "w", "x", F.explode("tokens2").alias("y"))
-    return products.groupBy("cluster", "x", "y").agg(F.sum("w").alias("w"))
+    No pair of names is formed.  With T(x) the count of a token in the cluster and c(x) in a name, the pairs
+    of names hold half of what T(x) T(y) s(x, y) sums to, less what each name holds with itself; every name
+    is compared with all others, so the tokens are those of all names times the members less one.  Equal
+    tokens score 1, pairs without a score 0.
+    """
+    lists = Scratch(names.sparkSession, "lists").cut(name_lists(names))
+    one = lists.select("cluster", "n", F.explode("tokens").alias("x"))
+    count = one.groupBy("cluster", "x").agg(F.sum("n").cast("double").alias("t"))
+    same = count.select("cluster", (F.col("t") * F.col("t")).alias("part"))
+    s = scores.select("t1", "t2", "score").where("score <> 0")
+    first, second = count.select("cluster", F.col("x").alias("t1"), F.col("t").alias("a")), count.select(F.col("cluster").alias("c2"), F.col("x").alias("y"), F.col("t").alias("b"))
+    met = first.join(s, "t1").join(second, (F.col("cluster") == F.col("c2")) & (F.col("t2") == F.col("y")))
+    different = met.select("cluster", (2 * F.col("a") * F.col("b") * F.col("score")).alias("part"))
+    own = lists.select("cluster", "n", F.explode("tokens").alias("x"), "tokens").select("cluster", "n", "x", F.explode("tokens").alias("y")).groupBy("cluster", "x", "y").agg(F.sum("n").cast("double").alias("w"))
+    inside = lookup(own, scores).select("cluster", (-F.col("w") * F.col("score")).alias("part"))
+    total = same.unionByName(different).unionByName(inside).groupBy("cluster").agg((F.sum("part") / 2).alias("total"))
+    sizes = lists.groupBy("cluster").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.size("tokens")).alias("all"))
+    return sizes.join(total, "cluster", "left").select("cluster", F.coalesce("total", F.lit(0.0)).alias("total"), ((F.col("members") - 1) * F.col("all")).alias("tokens"), "members")
 
 
 def lookup(products: DataFrame, scores: DataFrame) -> DataFrame:
@@ -75,43 +87,56 @@ def cluster_scores(names: DataFrame, scores: DataFrame | None = None) -> DataFra
     """
     if scores is None:
         scores = token_scores(meeting_tokens(names))
-    pairs = name_pairs(names)
-    sizes = pairs.groupBy("cluster").agg(F.sum(F.col("w") * (F.size("tokens1") + F.size("tokens2"))).alias("tokens"))
-    total = lookup(token_products(pairs), scores).groupBy("cluster").agg(F.sum(F.col("w") * F.col("score")).alias("score"))
-    return sizes.join(total, "cluster", "left").select("cluster", F.when(F.col("tokens") > 0, F.coalesce("score", F.lit(0.0)) / F.col("tokens")).otherwise(0.0).alias("score"))
+    compared = F.col("tokens")
+    return pair_totals(names, scores).where("members > 1").select("cluster", F.when(compared > 0, F.col("total") / compared).otherwise(0.0).alias("score"))
 
 
 def run_score(scores: DataFrame) -> DataFrame:
     return scores.agg(F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 2).alias("words_pairs"))
 
 
-def best_token_matches(pairs: DataFrame, scores: DataFrame, least: float) -> DataFrame:
-    """(cluster, id1, id2, token, match): for each token of the shorter name its best partner, the last one among equals."""
-    swap = F.size("tokens1") <= F.size("tokens2")
-    p = pairs.select("cluster", "id1", "id2", F.when(swap, F.col("tokens1")).otherwise(F.col("tokens2")).alias("short"), F.when(swap, F.col("tokens2")).otherwise(F.col("tokens1")).alias("long"))
-    products = p.select("cluster", "id1", "id2", F.posexplode("short").alias("i", "x"), "long").select("cluster", "id1", "id2", "i", "x", F.posexplode("long").alias("j", "y"))
-    scored = lookup(products, scores).where(F.col("score") >= least)
-    best = scored.groupBy("cluster", "id1", "id2", "i", "x").agg(F.max_by("y", F.struct("score", "j")).alias("match"))
-    return best.select("cluster", "id1", "id2", F.col("x").alias("token"), "match")
+def best_partners(lists: DataFrame, scores: DataFrame, least: float) -> DataFrame:
+    """(cluster, list, token, match, score): for each token of a cluster its best partner in a list, the last one among equals.
+
+    lists: (cluster, list, tokens).  Partners below ``least`` do not count.  A token meets the lists that hold
+    one of its partners, by the scores; lists are not multiplied with lists.
+    """
+    held = lists.select("cluster", "list", F.posexplode("tokens").alias("j", "y"))
+    known = held.select("cluster", F.col("y").alias("x")).distinct()
+    ways = known.join(_both_ways(scores.where(F.col("score") >= least)), "x").select("cluster", "x", "y", "score")
+    if least <= 1:
+        ways = ways.unionByName(known.select("cluster", "x", F.col("x").alias("y"), F.lit(1.0).alias("score")))
+    met = ways.join(held, ["cluster", "y"])
+    best = met.groupBy("cluster", "list", "x").agg(F.max(F.struct("score", "j", "y")).alias("best"))
+    return best.select("cluster", "list", F.col("x").alias("token"), F.col("best.y").alias("match"), F.col("best.score").alias("score"))
+
+
+def best_maps(lists: DataFrame, scores: DataFrame, least: float) -> DataFrame:
+    """(cluster, list, best): ``best_partners`` as a map token -> match for each list."""
+    return best_partners(lists, scores, least).groupBy("cluster", "list").agg(F.map_from_entries(F.collect_list(F.struct("token", "match"))).alias("best"))
 
 
 def max_per_token(names: DataFrame, scores: DataFrame) -> DataFrame:
-    """(cluster, score), older form: best partner score of each token over ordered pairs, by the tokens compared."""
-    lists = name_lists(names)
-    a = lists.select("cluster", F.col("list").alias("list1"), F.col("tokens").alias("tokens1"), F.col("n").alias("n1"))
-    b = lists.select("cluster", F.col("list").alias("list2"), F.col("tokens").alias("tokens2"), F.col("n").alias("n2"))
-    w = F.when(F.col("list1") == F.col("list2"), F.col("n1") * (F.col("n1") - 1)).otherwise(F.col("n1") * F.col("n2"))
-    pairs = a.join(b, "cluster").withColumn("w", w).where("w > 0")
-    products = pairs.select("cluster", "list1", "list2", "w", F.explode(F.array_distinct("tokens1")).alias("x"), "tokens2").select("cluster", "list1", "list2", "w", "x", F.explode("tokens2").alias("y"))
-    best = lookup(products, scores).groupBy("cluster", "list1", "list2", "x").agg(F.max("score").alias("best"), F.first("w").alias("w"))
-    return best.groupBy("cluster").agg((F.sum(F.col("w") * F.col("best")) / F.sum("w")).alias("score"))
+    """(cluster, score), older form: best partner score of each token over ordered pairs, by the tokens compared.
+
+    A token's best partner in a list is looked up once, for all names with that token; no pair of names is formed.
+    """
+    lists = Scratch(names.sparkSession, "lists").cut(name_lists(names))
+    tokens = lists.select("cluster", "list", "n", F.explode(F.array_distinct("tokens")).alias("token"))
+    holders = tokens.groupBy("cluster", "token").agg(F.sum("n").alias("f"))
+    filled = lists.where(F.size("tokens") > 0).groupBy("cluster").agg(F.sum("n").alias("names"))
+    best = best_partners(lists.select("cluster", "list", "tokens"), scores, 0.0).where("score > 0").join(lists.select("cluster", "list", "n"), ["cluster", "list"])
+    own = tokens.select("cluster", "list", "token", F.lit(1).alias("own"))
+    weight = F.col("n") * (F.col("f") - F.coalesce("own", F.lit(0)))  # a name is not compared with itself
+    top = best.join(holders, ["cluster", "token"]).join(own, ["cluster", "list", "token"], "left").groupBy("cluster").agg(F.sum(weight * F.col("score")).alias("s"))
+    compared = holders.join(filled, "cluster").groupBy("cluster").agg(F.sum(F.col("f") * (F.col("names") - 1)).alias("w")).where("w > 0")
+    return compared.join(top, "cluster", "left").select("cluster", (F.coalesce("s", F.lit(0.0)) / F.col("w")).alias("score"))
 
 
 def mean_cluster_score(names: DataFrame, scores: DataFrame) -> DataFrame:
     """Older form: a cluster's pair scores by its members' tokens, averaged over clusters."""
-    total = lookup(token_products(name_pairs(names)), scores).groupBy("cluster").agg(F.sum(F.col("w") * F.col("score")).alias("s"))
-    tokens = names.groupBy("cluster").agg(F.sum(F.size("tokens")).alias("n"))
-    return total.join(tokens, "cluster").agg(F.avg(F.col("s") / F.col("n")).alias("mean_score"))
+    tokens = F.col("tokens") / (F.col("members") - 1)
+    return pair_totals(names, scores).where("members > 1 and tokens > 0").agg(F.avg(F.col("total") / tokens).alias("mean_score"))
 
 
 def restrict(scores: DataFrame, tokens: DataFrame) -> DataFrame:
