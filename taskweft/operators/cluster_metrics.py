@@ -65,38 +65,66 @@ def davies_bouldin(df: DataFrame, width: int, block: int = 1024) -> DataFrame:
 
 
 def silhouettes(df: DataFrame, block: int = 1024) -> DataFrame:
-    """(id, label, silhouette): Euclidean, exact, 0 in clusters of one.
+    """(id, label, silhouette): Euclidean, exact, 0 in clusters of one. df: (id, label, vec)."""
+    one = df.select(F.lit(0).alias("k"), "id", "label")
+    return run_silhouettes(df.select("id", "vec"), one, block).drop("k")
 
-    There is no closed form, so all pairs of blocks are compared (matrix products); a pair of blocks
-    returns one row for each vector and label.  Work grows with the square of the rows.
+
+def run_silhouettes(vectors: DataFrame, labels: DataFrame, block: int = 1024) -> DataFrame:
+    """(k, id, label, silhouette) of several clusterings of the same vectors. vectors: (id, vec); labels: (k, id, label).
+
+    There is no closed form, so all pairs of blocks are compared (matrix products), each pair once for all
+    clusterings: its distances are summed by the labels of every k.  A pair of blocks returns one row for
+    each vector, k and label.  Work grows with the square of the rows.
     """
-    packed = (
-        df.select("id", "label", "vec", (F.pmod(F.xxhash64("id"), F.lit(max(1, -(-df.count() // block))))).alias("b"))
-        .groupBy("b")
-        .agg(F.collect_list(F.struct("id", "label", "vec")).alias("rows"))
-    )
-    pairs = packed.select(F.col("b").alias("b1"), F.col("rows").alias("r1")).crossJoin(packed.select(F.col("rows").alias("r2")))
+    kinds = dict(labels.dtypes)
+    packed = labels.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "label"))).alias("runs"))
+    rows = Scratch(vectors.sparkSession, "silhouettes").cut(vectors.join(packed, "id").select("id", "vec", "runs"))
+    count = max(1, -(-rows.count() // block))
+    blocks = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).alias("b")).agg(F.collect_list(F.struct("id", "vec", "runs")).alias("rows"))
+    pairs = blocks.select(F.col("rows").alias("r1")).crossJoin(blocks.select(F.col("rows").alias("r2")))  # of blocks
+
+    def matrix(side):
+        return side.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(side), -1)
+
+    def by_run(side):
+        """k -> (rows of the block that the run labels, their labels)."""
+        lists = side.field("runs")
+        row = np.repeat(np.arange(len(side)), np.diff(lists.offsets.to_numpy()))
+        flat = lists.flatten()
+        k, label = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("k", "label"))
+        return {x: (row[k == x], label[k == x]) for x in np.unique(k)}
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 a, b = batch.column(0)[i].values, batch.column(1)[i].values
-                m = lambda s: s.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1)
-                x, y = m(a), m(b)
+                x, y = matrix(a), matrix(b)
                 d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T))
-                ids_a, ids_b = a.field("id").to_numpy(zero_copy_only=False), b.field("id").to_numpy(zero_copy_only=False)
-                d[ids_a[:, None] == ids_b[None, :]] = 0
-                labels = b.field("label").to_numpy(zero_copy_only=False)
-                for label in np.unique(labels):
-                    of = labels == label
-                    yield pa.RecordBatch.from_arrays([pa.array(ids_a), a.field("label"), pa.array(np.full(len(x), label)), pa.array(d[:, of].sum(1)), pa.array(np.full(len(x), of.sum()))], names=["id", "label", "other", "total", "n"])
-
-    types = dict(df.dtypes)
-    sums = pairs.select("r1", "r2").mapInArrow(run, f"id {types['id']}, label {types['label']}, other {types['label']}, total double, n long").groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+                ids = a.field("id").to_numpy(zero_copy_only=False)
+                d[ids[:, None] == b.field("id").to_numpy(zero_copy_only=False)[None, :]] = 0
+                mine = by_run(a)
+                for k, (at, label) in by_run(b).items():
+                    if k not in mine:
+                        continue
+                    order = np.argsort(label, kind="stable")
+                    other, start = np.unique(label[order], return_index=True)
+                    total = np.add.reduceat(d[:, at[order]], start, axis=1)
+                    size = np.diff([*start, len(order)])
+                    here, own = mine[k]
+                    n, m = len(here), len(other)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n * m, k), ktype), pa.array(np.repeat(ids[here], m)), pa.array(np.repeat(own, m)), pa.array(np.tile(other, n)), pa.array(total[here].ravel()), pa.array(np.tile(size, n).astype(np.int64))],
+                        names=["k", "id", "label", "other", "total", "n"],
+                    )
+
+    ktype = pa.int64() if kinds["k"] == "bigint" else pa.int32()
+    met = pairs.mapInArrow(run, f"k {kinds['k']}, id {kinds['id']}, label {kinds['label']}, other {kinds['label']}, total double, n long")
+    sums = met.groupBy("k", "id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     own, other = F.col("other") == F.col("label"), F.col("other") != F.col("label")
-    per = sums.groupBy("id", "label").agg(F.max(F.when(own, F.col("n"))).alias("size"), F.max(F.when(own, F.col("total"))).alias("within"), F.min(F.when(other, F.col("total") / F.col("n"))).alias("b"))
+    per = sums.groupBy("k", "id", "label").agg(F.max(F.when(own, F.col("n"))).alias("size"), F.max(F.when(own, F.col("total"))).alias("within"), F.min(F.when(other, F.col("total") / F.col("n"))).alias("b"))
     a = F.col("within") / (F.col("size") - 1)
-    return per.select("id", "label", F.when((F.col("size") == 1) | F.col("b").isNull(), 0.0).otherwise((F.col("b") - a) / F.greatest(a, "b")).alias("silhouette"))
+    return per.select("k", "id", "label", F.when((F.col("size") == 1) | F.col("b").isNull(), 0.0).otherwise((F.col("b") - a) / F.greatest(a, "b")).alias("silhouette"))
 
 
 def wcss_by_pairs(df: DataFrame, width: int) -> DataFrame:

@@ -22,13 +22,12 @@ class Result:
     keys: DataFrame
 
 
-def score_run(k: int, labelled: DataFrame, planned: DataFrame, names: DataFrame, scores: DataFrame, width: int) -> DataFrame:
-    """One row of the runs table for one clustering. labelled: (id, label, vec)."""
+def score_run(k: int, labelled: DataFrame, planned: DataFrame, names: DataFrame, scores: DataFrame, width: int, sil: DataFrame) -> DataFrame:
+    """One row of the runs table for one clustering. labelled: (id, label, vec); sil: its mean silhouette, one row."""
     sizes = stats.size_stats(labelled).select("num_clusters", F.col("mean_size").alias("tasks_per_cluster_mean"), F.col("median_size").alias("tasks_per_cluster_median"), F.col("min_size").alias("min_tasks_per_cluster"), F.col("max_size").alias("max_tasks_per_cluster"), F.col("size_range").alias("min_max_tpc"))
     spread = du.duration_spread(labelled.select("id", "label"), planned).agg(F.avg("duration_std").alias("mean_duration_std"))
     ch = cm.ch_index(cm.sums_of_squares(labelled, width)).select(F.col("wss").alias("wcss"), F.col("bss").alias("bcss"), "ch_index")
     db = cm.davies_bouldin(labelled, width).select(F.col("davies_bouldin").alias("db_index"))
-    sil = cm.silhouettes(labelled).agg(F.avg("silhouette").alias("silhouette"))
     tokens = names.join(labelled.select("id", F.col("label").alias("cluster")), "id").select("cluster", "id", "tokens")
     words = words_pairs.run_score(words_pairs.cluster_scores(tokens, scores))
     out = sizes
@@ -44,12 +43,13 @@ def run(tasks: DataFrame, vectors: DataFrame, config: Config = Config(), token_v
     names = scratch.cut(tasks.select("id", tokenize(F.col("name"), unique=True, exclude_digit_tokens=True).alias("tokens")))
     n, width = vectors.count(), cm.width_of(vectors)
     ks = ward.candidate_ks(n, list(config.percents), config.num_clusters)
-    labels = scratch.cut(ward.ward_labels(vectors, ks, approximate=True))
+    labels = scratch.cut(ward.ward_labels(vectors, ks))
     # the scores of all tokens that meet in a cluster; the cutoff is for naming only
     together = names.join(labels, "id").select(F.struct("k", "label").alias("cluster"), "tokens")
     scores = scratch.cut(words_pairs.token_scores(words_pairs.meeting_tokens(together), token_vectors))
     planned = tasks.select("id", "planned_days")
-    rows = [score_run(k, labels.where(F.col("k") == k).select("id", "label").join(vectors, "id"), planned, names, scores, width) for k in ks]
+    widths = scratch.cut(cm.run_silhouettes(vectors, labels).groupBy("k").agg(F.avg("silhouette").alias("silhouette")))
+    rows = [score_run(k, labels.where(F.col("k") == k).select("id", "label").join(vectors, "id"), planned, names, scores, width, widths.where(F.col("k") == k).select("silhouette")) for k in ks]
     runs = rows[0]
     for r in rows[1:]:
         runs = runs.unionByName(r)

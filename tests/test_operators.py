@@ -95,11 +95,44 @@ def test_pairs_meet_by_length(spark):
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 11), (5, 6), (6, 7), (7, 7), (9, 8), (None, 4), *((i, i + 1) for i in range(100, 160)), *((500, i) for i in range(501, 540))]
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark, "t")).collect()}
+    rows = connected_components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark, "t")).collect()
+    got = {r.id: r.component for r in rows}
+    assert len(rows) == len(got)
     assert got == {2: 1, 3: 1, 11: 1, 6: 5, 7: 5, 9: 8} | {i: 100 for i in range(101, 161)} | {i: 500 for i in range(501, 540)}
     assert connected_components(spark.createDataFrame([], "src long, dst long"), Scratch(spark, "t")).count() == 0
 
 
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(*[st.text(st.sampled_from("abcé漢😀 "), max_size=150)] * 2), min_size=1, max_size=12))
+def test_common_length(spark, pairs):
+    """The expression equals the usual table, within one limb and beyond."""
+    df = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string")
+    for r in df.select("a", "b", similarity.lcs_length(F.col("a"), F.col("b")).alias("x")).collect():
+        assert r.x == (None if r.a is None or r.b is None else lcs(r.a, r.b))
+
+
+@pytest.mark.parametrize("limbs", [61, 62, 63, 124, 125, 300])
+def test_common_length_at_limbs(spark, limbs):
+    rng = np.random.default_rng(limbs)
+    rows = [("".join(rng.choice(list("ab漢"), limbs)), "".join(rng.choice(list("ab漢"), 90))) for _ in range(4)] + [("a" * limbs, "a" * limbs)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("a", "b", similarity.lcs_length(F.col("a"), F.col("b")).alias("x"), similarity.lcs_length(F.col("b"), F.col("a")).alias("y")).collect():
+        assert r.x == r.y == lcs(r.a, r.b)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.8, 0.9, 0.97])
+def test_segment_join(spark, least):
+    """All pairs at the ratio, texts too short to cut included, from few that meet."""
+    rng = np.random.default_rng(21)
+    texts = sorted({"".join(rng.choice(list("abc"), rng.integers(0, 13))) for _ in range(150)} | {f"install pump number {i}{'x' * (i % 3)}" for i in range(0, 300, 9)})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = {(a, b): 2 * lcs(a, b) / (len(a) + len(b)) for a, b in combinations(texts, 2)}
+    got = {(r.t1, r.t2): r.score for r in sj.edit_pairs(df, "t", least).collect()}
+    assert got == pytest.approx({p: x for p, x in want.items() if x >= least})
+    met = sj.segment_pairs(df, least).count()
+    assert len(got) <= met <= len(want) and (least < 0.9 or met < len(want) / 8)
+
+
 def test_text_components(spark):
     df = spark.createDataFrame([("eeaa",), ("aaaa",), ("aaab",), ("aaac",), (None,)], "t string")
     assert {r.text: r.component for r in sj.text_components(df, "t", 0.75).collect()} == {"eeaa": "eeaa", "aaaa": "aaaa", "aaab": "aaaa", "aaac": "aaaa"}
@@ -136,27 +169,29 @@ def test_ward(spark):
         part = got[got.k == k]
         assert {frozenset(g) for g in part.groupby("label").id.apply(list)} == brute_ward(x, k)
     assert sorted(ward.leaf_counts(df).toPandas().leaves)[-1] == 40
-    with pytest.raises(ValueError):
-        ward.ward_labels(df, [4], max_exact=25)
     with pytest.raises(ward.TooManyClusters):
         ward.candidate_ks(10, [], 6)
     assert ward.candidate_ks(40, [2.5, 5, 20]) == [2, 8] and ward.result_name("ward", {"n": 3, "seed": 1}) == "ward_n_3"
 
 
-def test_ward_in_parts(spark):
-    """Beyond one task: exactly k clusters, whole equal vectors, the exact answer where clusters are clear."""
+def test_ward_in_rounds(spark):
+    """Rounds of mutual nearest clusters give the merges, labels and heights of one task; equal vectors and ties included."""
     rng = np.random.default_rng(5)
-    centres = rng.normal(size=(6, 3)) * 20
-    x = [(centres[i % 6] + rng.normal(0, 0.2, 3)).tolist() for i in range(240)] + [[1.0, 2.0, 3.0]] * 90
-    df = spark.createDataFrame(list(enumerate(x)), "id long, vec array<double>")
-    got = ward.ward_labels(df, [3, 7, 60], max_exact=40, approximate=True, prototypes=20).toPandas()
-    assert len(got) == 3 * 330
-    for k in (3, 7):
-        part = got[got.k == k]
-        assert sorted(part.label.unique()) == list(range(k)) and part[part.id >= 240].label.nunique() == 1
-    seven = {frozenset(g) for g in got[got.k == 7].groupby("label").id.apply(list)}
-    assert seven == {frozenset(range(c, 240, 6)) for c in range(6)} | {frozenset(range(240, 330))}
-    assert 60 <= got[got.k == 60].label.nunique() <= 80
+    centres = rng.normal(size=(6, 3)) * 3
+    x = [(centres[i % 6] + rng.normal(0, 0.4, 3)).tolist() for i in range(150)] + [[1.0, 2.0, 3.0]] * 30
+    df = spark.createDataFrame([(3 * i + 1, v) for i, v in enumerate(x)], "id int, vec array<double>")
+    rounds = []
+    merges = ward.ward_merges(df, in_one_task=10, block=64, rounds=rounds).toPandas()
+    assert len(merges) == len(x) - 1 and merges.b.is_unique and (merges.a < merges.b).all()
+    assert rounds[0] == 151 and all(p > q for p, q in zip(rounds, rounds[1:], strict=False)) and len(rounds) < 40
+    one = ward.merge_list(np.array(x))
+    assert sorted(merges.height) == pytest.approx(sorted(h for _, _, h, _ in one), abs=1e-9) and merges["size"].max() == len(x)
+    got = ward.ward_labels(df, [4, 30], in_one_task=60, block=64).toPandas()
+    for k in (4, 30):
+        part = got[got.k == k].sort_values("id")
+        assert part.id.tolist() == [3 * i + 1 for i in range(len(x))] and part.label.tolist() == ward.cut(len(x), one, k).tolist()
+    leaves = ward.leaf_counts(df, in_one_task=90, block=64).toPandas().sort_values("step")
+    assert leaves.step.tolist() == list(range(len(x) - 1)) and leaves.height.is_monotonic_increasing and leaves.leaves.iloc[-1] == len(x)
 
 
 def test_exact_quantiles(spark):
@@ -232,6 +267,29 @@ def test_tables(spark):
     assert tables.safe_columns(a.withColumnRenamed("v", "A %b")).columns == ["k", "a_percb"]
 
 
+def test_words_pairs_without_pairs(spark):
+    """Totals by moments and best partners equal the sums over all pairs of names, repeats and empty names included."""
+    rng = np.random.default_rng(9)
+    voc = list("abcdefg")
+    names = [(c, i, [str(x) for x in rng.choice(voc, rng.integers(0, 5))]) for c in range(3) for i in range(8)] + [(7, 0, ["a"]), (8, 0, []), (8, 1, [])] + [(9, i, ["a", "b"]) for i in range(5)]
+    score = {(a, b): round(float(rng.random()) * 1.3, 2) for a, b in combinations(voc, 2) if rng.random() < 0.7}
+    s = lambda x, y: 1.0 if x == y else score.get((min(x, y), max(x, y)), 0.0)
+    df, sc = spark.createDataFrame(names, "cluster int, id int, tokens array<string>"), spark.createDataFrame([(a, b, v) for (a, b), v in score.items()], "t1 string, t2 string, score double")
+    by, total, best = {}, {}, {}
+    for c, _, t in names:
+        by.setdefault(c, []).append(t)
+    for c, of in by.items():
+        pairs = list(combinations(of, 2))
+        if pairs:
+            total[c] = (sum(s(x, y) for a, b in pairs for x in a for y in b), sum(len(a) + len(b) for a, b in pairs), sum(map(len, of)))
+            tops = [max(s(x, y) for y in b) for p in pairs for a, b in (p, p[::-1]) if b for x in dict.fromkeys(a)]
+            if tops:
+                best[c] = sum(tops) / len(tops)
+    assert {r.cluster: r.score for r in words_pairs.cluster_scores(df, sc).collect()} == pytest.approx({c: v / n if n else 0.0 for c, (v, n, _) in total.items()})
+    assert words_pairs.mean_cluster_score(df, sc).first()[0] == pytest.approx(np.mean([v / n for v, _, n in total.values() if n]))
+    assert {r.cluster: r.score for r in words_pairs.max_per_token(df, sc).collect()} == pytest.approx(best)
+
+
 def brute_key(names, cutoff=0.8):
     """The key of one cluster, step by step over its distinct normalised names."""
     tokens = lambda t, lower=True: list(dict.fromkeys(x for x in ((y.lower() if lower else y) for y in re.findall(tx.TOKEN, normal(t))) if len(x) > 1 and not re.search(r"\d", x) and x.lower() not in ("inf", "nan", "infinity")))
@@ -249,18 +307,17 @@ def brute_key(names, cutoff=0.8):
         score = lambda x, y: 1.0 if x == y else 0.0 if "<" in x + y else round(2 * lcs(x, y) / (len(x) + len(y)), 2)
         matches = []
         for a, b in combinations(frags, 2):
-            ta, tb = tokens(a), tokens(b)
+            ta, tb = tokens(min(a, b)), tokens(max(a, b))
             if a == b:
-                matches.append(tuple(sorted(ta)))
+                matches.append(tuple(ta))
                 continue
-            # as in the operator, the pair's order is that of the fragments' hashes: skip where it would matter
             short, long = (ta, tb) if len(ta) <= len(tb) else (tb, ta)
             best = []
             for x in short:
                 ranked = [(score(x, y), j, y) for j, y in enumerate(long)]
                 if ranked and max(ranked)[0] >= cutoff:
                     best.append(max(ranked)[2])
-            matches.append(tuple(sorted(set(best))))
+            matches.append(tuple(best))
         matches = [m for m in matches if m]
         if not matches:
             continue
@@ -276,17 +333,17 @@ def brute_key(names, cutoff=0.8):
                 places.setdefault(t, {}).setdefault(pos, 0)
                 places[t][pos] += 1
         place = {t: min(p, key=lambda k: (-p[k], k)) for t, p in places.items()}
-        out.append(" ".join(w.capitalize() for w in sorted(best, key=lambda t: (place[t], t))))
+        out.append(" ".join(w.capitalize() for w in sorted(set(best), key=lambda t: (place[t], t))))
     return " - ".join(" ".join(upper.get(w, w) for w in part.split(" ")) for part in out)
 
 
 def test_naming(spark):
-    """Keys equal the plain version's; equal token counts are avoided, where the order of a pair would decide."""
+    """Keys equal the plain version's, with fragments of equal token counts and tokens that share a partner."""
     rng = np.random.default_rng(12)
-    verbs, things, extra = ["Install", "Installs", "Remove"], ["cable", "cables", "pump", "HVAC", "duct"], ["near", "north", "gate", "shaft"]
+    verbs, things, extra = ["Install", "Installs", "Remove"], ["cable", "cables cable", "cables", "pump", "HVAC", "duct"], ["near", "north", "gate", "shaft"]
     clusters = {}
     for c in range(8):
-        clusters[c] = [f"{rng.choice(verbs)} {rng.choice(things)} " + " ".join(rng.permutation(extra)[: k % 4]) + f" - Level {k}{'AB'[k % 2]} part" for k in range(int(rng.integers(4, 7)))]
+        clusters[c] = [f"{rng.choice(verbs)} {rng.choice(things)} " + " ".join(rng.permutation(extra)[: k // 2 % 3]) + f" - Level {k}{'AB'[k % 2]} part" for k in range(int(rng.integers(4, 7)))]
         clusters[c] = [re.sub(" +", " ", n) for n in clusters[c]]
     members = spark.createDataFrame([(c, n) for c, names in clusters.items() for n in names], "cluster int, name string")
     got = {r.cluster: r.key for r in naming.key_clusters(members).collect()}
@@ -310,6 +367,31 @@ def test_naming_edges(spark):
     assert scored["cable", "wire"] == pytest.approx(2 * lcs("cable", "wire") / 9 + 1) and scored["cable", "other"] == pytest.approx(2 * lcs("cable", "other") / 10)
 
 
+def plain_silhouettes(x, labels):
+    d, out = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(-1)), []
+    for i, own in enumerate(labels):
+        mine = (labels == own) & (np.arange(len(x)) != i)
+        others = [d[i][labels == o].mean() for o in set(labels) - {own}]
+        out.append(0.0 if not mine.any() or not others else (min(others) - d[i][mine].mean()) / max(min(others), d[i][mine].mean()))
+    return out
+
+
+def test_silhouettes_of_runs(spark):
+    """All runs from one pass over pairs of blocks; each is what it is alone."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(50, 3))
+    labels = {k: rng.integers(0, k, 50) for k in (1, 2, 5, 40)}
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    runs = spark.createDataFrame([(k, i, int(v)) for k, of in labels.items() for i, v in enumerate(of)], "k int, id long, label int")
+    got = cm.run_silhouettes(vectors, runs, block=16).toPandas()
+    assert len(got) == 200
+    for k, of in labels.items():
+        mine = got[got.k == k].sort_values("id")
+        assert mine.label.tolist() == of.tolist() and mine.silhouette.tolist() == pytest.approx(plain_silhouettes(x, of))
+    alone = cm.silhouettes(vectors.join(runs.where("k = 5"), "id").select("id", "label", "vec"), block=20).toPandas().sort_values("id")
+    assert alone.silhouette.tolist() == pytest.approx(plain_silhouettes(x, labels[5]))
+
+
 def test_run(spark):
     rng = np.random.default_rng(5)
     kinds = ["dig trench", "lay cable", "test pump"]
