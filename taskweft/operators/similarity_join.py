@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taskweft.functions.similarity import edit_ratio, ratio_reachable
@@ -106,49 +104,37 @@ def component_members(clusters: DataFrame, components: DataFrame) -> DataFrame:
     return clusters.join(components.withColumnRenamed("text", "key"), "key").groupBy("component").agg(F.array_sort(F.collect_set("member")).alias("members"))
 
 
-def leader_clusters(names: DataFrame, column: str, lo: float = 0.8, hi: float = 1.0, block: int = 2000) -> DataFrame:
+def leader_clusters(names: DataFrame, column: str, lo: float = 0.8, hi: float = 1.0, rounds: list[int] | None = None) -> DataFrame:
     """(name, leader) of the greedy pass in text order: a name joins the first leader it is strictly within (lo, hi) of.
 
-    Names are taken in blocks in their order.  A block's names meet the leaders of the blocks before, a table
-    that is spread over tasks; those that find none there go through one sequential pass over the block.
+    The pass is run by priority rounds.  A name leads as soon as no earlier name like it can still lead, and
+    follows as soon as one of them leads; all such names are decided at once, and the result is that of the
+    one-by-one pass.  Names meet by the edit join first: the matched blocks of the gestalt ratio are a common
+    subsequence, so it is never above the edit ratio.  ``rounds`` receives the undecided names before each
+    round.  Null names are left out.
     """
-    spark = names.sparkSession
-    scratch = Scratch(spark, "leaders")
-    distinct = names.select(F.col(column).alias("name")).where("name is not null").distinct()
-    numbered = scratch.cut(global_row_id(distinct, ["name"]).select("name", F.expr(f"(row_id - 1) div {block}").alias("block")))
-
-    def within(a: str, b: str) -> bool:
-        top = 2 * min(len(a), len(b)) / max(1, len(a) + len(b))  # by length alone
-        return top > lo and lo < SequenceMatcher(None, a, b).ratio() < hi
-
-    def among_themselves(group: pd.DataFrame) -> pd.DataFrame:
-        leaders, out = [], []
-        for name in sorted(group["name"]):
-            lead = next((x for x in leaders if within(x, name)), None)
-            if lead is None:
-                leaders.append(name)
-            out.append((name, lead or name))
-        return pd.DataFrame(out, columns=["name", "leader"])
-
-    out, leaders = [], None
-    for number in range(-(-numbered.count() // block)):
-        mine = numbered.where(F.col("block") == number).select("name")
-        if leaders is not None:
-            asked = spark.sparkContext.broadcast([r.name for r in mine.collect()])  # a block
-
-            def meet(parts, asked=asked):
-                for part in parts:
-                    met = [(name, lead) for lead in part["name"] for name in asked.value if within(lead, name)]
-                    yield pd.DataFrame(met, columns=["name", "leader"])
-
-            joined = scratch.cut(leaders.mapInPandas(meet, "name string, leader string").groupBy("name").agg(F.min("leader").alias("leader")))
-            out.append(joined)
-            mine = mine.join(joined, "name", "left_anti")
-        alone = scratch.cut(mine.groupBy(F.lit(0).alias("g")).applyInPandas(among_themselves, "name string, leader string"))
-        out.append(alone)
-        new = alone.where("name = leader").select("name")
-        leaders = new if leaders is None else leaders.unionByName(new)
-    return reduce(DataFrame.unionByName, out) if out else distinct.select("name", F.col("name").alias("leader"))
+    from taskweft.functions.similarity import gestalt_ratio
+
+    scratch = Scratch(names.sparkSession, "leaders")
+    distinct = scratch.cut(names.select(F.col(column).alias("name")).where("name is not null").distinct())
+    near = edit_pairs(distinct, "name", lo, skip_tags=False).select(F.col("t1").alias("a"), F.col("t2").alias("b"))
+    ratio = gestalt_ratio()(F.col("a"), F.col("b"))
+    alike = scratch.cut(near.withColumn("ratio", ratio).where((F.col("ratio") > lo) & (F.col("ratio") < hi)).select("a", "b"))
+    open_, edges, leaders = distinct, alike, []
+    while n := open_.count():
+        if rounds is not None:
+            rounds.append(n)
+        new = scratch.cut(open_.join(edges.select(F.col("b").alias("name")).distinct(), "name", "left_anti"))
+        follow = edges.join(new.withColumnRenamed("name", "a"), "a").select(F.col("b").alias("name")).distinct()
+        left = scratch.cut(open_.join(new, "name", "left_anti").join(follow, "name", "left_anti"), rows=n)
+        edges = scratch.cut(edges.join(left.withColumnRenamed("name", "a"), "a", "left_semi").join(left.withColumnRenamed("name", "b"), "b", "left_semi"))
+        leaders.append(new)
+        open_ = left
+    if not leaders:
+        return distinct.select("name", F.col("name").alias("leader"))
+    lead = reduce(DataFrame.unionByName, leaders)
+    joined = alike.join(lead.withColumnRenamed("name", "a"), "a").groupBy(F.col("b").alias("name")).agg(F.min("a").alias("leader"))
+    return distinct.join(joined, "name", "left").select("name", F.coalesce("leader", "name").alias("leader"))
 
 
 def similar_to(names: DataFrame, column: str, query: str, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
