@@ -2,8 +2,11 @@ import zipfile
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from taskweft.operators.durations import durations
-from taskweft.sources import config, schedules, sinks
+from taskweft.sources import config, schedules, sinks, stored
+from taskweft.streaming import messages
 from taskweft.streaming.intake import run_intake
 
 
@@ -36,6 +39,48 @@ def test_nodes(spark, folder):
     assert {(r.id, r.d) for r in durations(clean, "actual_start", "actual_end", "d").collect()} == {("A1", 2)}
 
 
+@pytest.fixture
+def small_parts(spark):
+    """Files are read in parts of a few hundred bytes."""
+    keys = {"spark.sql.files.maxPartitionBytes": "400", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_nodes_by_records(spark, folder, small_parts):
+    """Reading by records gives what reading whole files gives; one file is read by several tasks."""
+    (folder / "large.graphml").write_text("﻿<graphml>\n" + "".join(node(f"L{i}", **TASK | {"Label": f"é {i} </ node>"}) for i in range(60)) + "</graphml>", encoding="utf-8")
+    (folder / "latin.graphml").write_bytes(("<graphml>\n" + "".join(node(f"Q{i}", TaskType="TT_Task", Label="é" if i % 7 == 0 else "Ã\x83Â©"[:1] + "x") for i in range(20))).encode("latin-1"))
+    path = str(folder / "*.graphml")
+    whole, records = schedules.parse_nodes(schedules.text_files(spark, path)), schedules.read_nodes(spark, path)
+    assert sorted(map(repr, records.collect())) == sorted(map(repr, whole.collect())) and records.count() == 86
+    assert spark.read.text(str(folder / "large.graphml"), lineSep="</node>").rdd.getNumPartitions() > 5
+    older = {"task_id": "ID", "limit": "Constraint"}
+    assert schedules.read_nodes(spark, path, older, "source_file").columns == ["task_id", "limit", "source_file"]
+
+
+def test_xer_by_lines(spark, tmp_path, small_parts):
+    """Tables that cross the borders of parts keep their headers, in files of several tables and encodings."""
+    import random
+
+    rng = random.Random(2)
+    for f in range(4):
+        text = "ERMHDR\t19\r\n"
+        for t in range(6):
+            cols = [f"c{t}_{i}" for i in range(rng.randint(1, 4))]
+            text += f"%T\tTABLE{t}\r\n" + "%F\t" + "\t".join(cols) + "\r\n" + "".join("%R\t" + "\t".join(f"é{f}{t}{r}{c}" for c in cols) + "\t" * (r % 3 == 0) + "\r\n" for r in range(rng.choice([0, 1, 30])))
+        (tmp_path / f"p{f}.xer").write_bytes((text + "%T\tLAST\n%E\n").encode("latin-1" if f % 2 else "utf-8"))
+    path = str(tmp_path / "*.xer")
+    assert spark.read.text(path).rdd.getNumPartitions() > 8
+    whole, lines = schedules.parse_xer(schedules.text_files(spark, path)), schedules.read_xer(spark, path)
+    got, want = (sorted((r.file, r.table, sorted(r.row.items())) for r in x.collect()) for x in (lines, whole))
+    assert got == want and len(got) > 50
+
+
 def test_zip(spark, folder):
     with zipfile.ZipFile(folder / "up.zip", "w") as z:
         z.writestr("dir/", "")
@@ -131,3 +176,64 @@ def test_wide_table_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         scratch.checkpoint_root(Cluster)
+
+
+def test_messages(spark, tmp_path, monkeypatch):
+    """A restart after a failed batch neither loses nor repeats a message."""
+    log, out, state = (str(tmp_path / n) for n in ("log", "out", "state"))
+    results = spark.createDataFrame([("e1", "r1"), ("e2", "r2"), ("e3", "r3")], "experiment_id string, result string")
+    read = lambda: sorted((r.number, r.experiment_id, r.result) for r in spark.read.parquet(out).collect())
+    assert [messages.publish(log, e) for e in ("e1", "e2")] == [1, 2]
+    (tmp_path / "log" / "half.tmp").write_text("{")
+    run = lambda of: messages.run_results(spark, log, of, out, state).awaitTermination()
+    with pytest.raises(Exception, match="lost"):
+        run(results.withColumn("result", F.raise_error(F.lit("lost"))))
+    assert messages.publish(log, "e3") == 3
+    run(results)  # the failed batch again, as the same range
+    run(results)
+    assert read() == [(1, "e1", "r1"), (2, "e2", "r2"), (3, "e3", "r3")]
+    run(results)  # nothing new
+    messages.publish(log, "unknown")
+    run(results)
+    assert read()[3:] == [(4, "unknown", None)] and len(read()) == 4
+    messages.run_results(spark, log, results, out, state, drop=True).awaitTermination()
+    assert messages.numbers(log)[-1] == 4
+
+
+def test_message_ranges(tmp_path):
+    reader = messages._Reader(str(tmp_path), False)
+    assert reader.latestOffset() == reader.initialOffset() and reader.partitions({"number": 2}, {"number": 2}) == []
+    assert [(p.first, p.last) for p in reader.partitions({"number": 5}, {"number": 2006})] == [(6, 1005), (1006, 2005), (2006, 2006)]
+    messages.publish(str(tmp_path), "a")
+    messages.publish(str(tmp_path), "b")
+    (tmp_path / "000000000001.json").unlink()
+    assert [x[:2] for p in reader.partitions({"number": 0}, reader.latestOffset()) for x in reader.read(p)] == [(2, "b")]
+
+
+def test_stored_updates(spark, tmp_path, monkeypatch):
+    """Other partitions keep their files; an interrupted update leaves the old rows, or is carried on."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, f"v{i}", "abc"[i % 3]) for i in range(12)] + [(99, "n", None)], "id int, v string, p string").write.partitionBy("p").parquet(path)
+    rows = lambda: {r.id: r.v for r in stored.read(spark, path).collect()}
+    files = lambda p: sorted(f.name for f in (tmp_path / "t" / p).iterdir())
+    before = {p: files(f"p={p}") for p in "abc"}
+    assert stored.update(spark, path, "p", (F.col("id") % 3 == 1) & (F.col("id") > 3), {"v": F.lit("new")}) == 1
+    want = {i: "new" if i % 3 == 1 and i > 3 else f"v{i}" for i in range(12)} | {99: "n"}
+    assert rows() == want and files("p=a") == before["a"] and files("p=c") == before["c"] and files("p=b") != before["b"]
+    assert stored.update(spark, path, "p", F.col("id") == 99, {"v": F.concat("v", F.lit("!"))}) == 1
+    want[99] = "n!"
+    with pytest.raises(Exception, match="broken"):
+        stored.update(spark, path, "p", F.col("id") == 0, {"v": F.raise_error(F.lit("broken"))})
+    assert rows() == want and not [n for n in (tmp_path / "t").iterdir() if n.name.startswith("_update")]
+
+    def stop(*_):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(stored._Folder, "rename", stop)
+        with pytest.raises(OSError):
+            stored.update(spark, path, "p", F.col("id") < 2, {"v": F.lit("later")})
+    assert rows() == want | {0: "later", 1: "later"}  # it was complete: the next reader carries it on
+    assert stored.update(spark, path, "p", F.col("v") == "none such", {"v": F.lit("x")}) == 0
+    with pytest.raises(ValueError):
+        stored.update(spark, path, "p", F.lit(True), {"p": F.lit("x")})
