@@ -199,9 +199,9 @@ def threshold_sweep(pairs: DataFrame, column: str, thresholds: list[float]) -> D
 
 
 def sequence_in_group(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """With ``code``: S<group>_<n>, counted from 0."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn("code", F.concat(F.lit("S"), F.col(group).cast("string"), F.lit("_"), n.cast("string")))
+    """With ``code``: S<group>_<n>, counted from 0; a group that holds most rows is spread over tasks."""
+    numbered = running_total(df.withColumn("_one", F.lit(1)), [group], order, "_one")
+    return numbered.select(*df.columns, F.concat(F.lit("S"), F.col(group).cast("string"), F.lit("_"), F.col("before").cast("string")).alias("code"))
 
 
 def global_row_id(df: DataFrame, order: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from taskweft.plans.queries_text import _lcs
 from taskweft.plans.queries_vectors import _E, labelled
 from taskweft.plans.registry import Tables, query
 from taskweft.plans.scratch import Scratch
-from taskweft.sources import schedules as so, sinks
+from taskweft.sources import schedules as so, sinks, stored
 
 
 def _exports(t: Tables) -> DataFrame:
@@ -45,8 +45,11 @@ def _node_texts(t: Tables) -> DataFrame:
 
 @query(f"WITH {_EXPORTS} SELECT id, task_type, label, planned_start, planned_end, status, file FROM exports WHERE task_type IN ('TT_Task', 'TT_TASK')")
 def node_tasks(t):
-    files = _node_texts(t).select("file", so.decode(F.col("content")).alias("text"))
-    return so.clean_tasks(so.parse_nodes(files)).select("id", "task_type", "label", "planned_start", "planned_end", "status", "file")
+    """Written as files of mixed encodings, one folder a file name, and read back by records."""
+    path = Scratch(t.spark, "nodes").root
+    written = _node_texts(t).select(F.col("content").cast("string").alias("value"), "file", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+    written.write.partitionBy("file", "utf8").text(path)
+    return so.clean_tasks(so.read_nodes(t.spark, path)).select("id", "task_type", "label", "planned_start", "planned_end", "status", "file")
 
 
 @query(f"WITH {_EXPORTS} SELECT CAST(id AS BIGINT) AS id, 10 AS planned_days FROM exports WHERE planned_end <> ''")
@@ -70,7 +73,9 @@ def xer_text_tasks(t):
     kind = F.when(F.col("task_type") == "TT_Task", "TASK_DEPENDENT").otherwise(F.col("task_type"))
     row = line(F.lit("%R"), "id", kind, "label", "planned_start", "planned_end", F.lit(""), F.lit(""), F.lit("0"), "status")
     text = F.concat_ws("\r\n", F.lit("ERMHDR\t8.0"), F.lit("%T\tPROJECT"), F.lit("%F\tproj_id"), F.lit("%R\t1"), F.lit("%T\tTASK"), F.lit("\t".join(["%F", *names])), row, F.lit("%E"))
-    return so.xer_tasks(so.parse_xer(e.select("file", text.alias("text")))).select("id", "task_type", "label", "planned_start", "planned_end", "status", "file")
+    path = Scratch(t.spark, "xer").root
+    e.select(text.alias("value"), "file").write.partitionBy("file").text(path)
+    return so.xer_tasks(so.read_xer(t.spark, path)).select("id", "task_type", "label", "planned_start", "planned_end", "status", "file")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, 'a \"quoted\", ' || p_name AS p_name, CAST(p_size AS VARCHAR) AS p_size FROM part")
@@ -159,7 +164,11 @@ def meeting_token_scores(t):
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 300000 THEN 0 ELSE o_totalprice END AS o_totalprice FROM orders")
 def updated_rows(t):
-    return tb.updated(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), F.col("o_totalprice") > 300000, {"o_orderstatus": F.lit("X"), "o_totalprice": F.lit(0.0)})
+    """A stored copy of the table, updated in place."""
+    path = Scratch(t.spark, "updated").root
+    t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority").write.partitionBy("o_orderpriority").parquet(path)
+    stored.update(t.spark, path, "o_orderpriority", F.col("o_totalprice") > 300000, {"o_orderstatus": F.lit("X"), "o_totalprice": F.lit(0.0)})
+    return stored.read(t.spark, path).drop("o_orderpriority")
 
 
 def _letter_counts():
