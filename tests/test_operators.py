@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from taskweft.functions import dates, similarity, text as tx
 from taskweft.operators import cluster_metrics as cm
-from taskweft.operators import features, naming, similarity_join as sj, stats, tables, ward, words_pairs
+from taskweft.operators import features, naming, similarity_join as sj, spectral, stats, tables, ward, words_pairs
 from taskweft.plans.components import connected_components
 from taskweft.plans.run import run
 from taskweft.plans.scratch import Scratch
@@ -410,11 +410,35 @@ def test_run(spark):
 
 def test_spectral(spark):
     edges = [(i, j, 1.0) for g in (range(5), range(5, 10)) for i in g for j in g if i < j] + [(0, 5, 0.01)]
-    got = {r.id: r.label for r in ward.spectral_labels(spark.createDataFrame(edges, "src long, dst long, weight double"), 2).collect()}
+    got = {r.id: r.label for r in spectral.spectral_labels(spark.createDataFrame(edges, "src long, dst long, weight double"), 2).collect()}
     assert len(got) == 10 and set(got.values()) <= {0, 1}
     assert len({got[i] for i in range(5)}) == len({got[i] for i in range(5, 10)}) == 1 and got[0] != got[9]
 
 
+def test_spectral_against_dense(spark):
+    """Values, vectors and parts as a dense solver gives them, with repeated and reversed edges and loops."""
+    rng = np.random.default_rng(13)
+    n, parts = 60, 4
+    w = np.zeros((n, n))
+    edges = []
+    for i, j in combinations(range(n), 2):
+        if (near := i % parts == j % parts) and rng.random() < 0.6 or rng.random() < 0.02:
+            weight = float(rng.random() + 0.5) * (1 if near else 0.2)
+            edges += [(i, j, weight / 2), (j, i, weight / 2)] if rng.random() < 0.3 else [(j, i, weight)]
+            w[i, j] = w[j, i] = weight
+    edges += [(3, 3, 9.0), (1, 2, 0.0)]
+    root = np.sqrt(w.sum(1))
+    values, vectors = np.linalg.eigh(w / np.outer(root, root))
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    rows, got = spectral.leading_vectors(df, parts)
+    assert got == pytest.approx(values[::-1][:parts], abs=1e-5)
+    v = np.array([r.v for r in sorted(rows.collect(), key=lambda r: r.id)])
+    want = vectors[:, ::-1][:, :parts]
+    assert np.abs(want @ want.T - v @ v.T).max() < 1e-2  # the same space
+    label = {r.id: r.label for r in spectral.spectral_labels(df, parts).collect()}
+    assert len(set(label.values())) == parts and all(label[i] == label[i % parts] for i in range(n))
+
+
 def test_all_clusters_get_a_place(spark, monkeypatch):
     from taskweft.plans import queries_durations
 

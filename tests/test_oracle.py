@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 from difflib import SequenceMatcher
 
 import duckdb
@@ -101,6 +102,40 @@ def test_ward_queries(spark, sf, duck):
     assert [r.height for r in leaves] == pytest.approx(sorted(h for _, h in steps)) and leaves[-1].leaves == len(ids)
 
 
+def similar_groups(keys, least):
+    """Clusters joined by keys whose edit ratio reaches ``least``, by the definition."""
+    from tests.test_operators import lcs
+
+    groups = [{c} for c in keys]
+    for a in keys:
+        for b in keys:
+            if a < b and (keys[a] == keys[b] or 2 * lcs(keys[a], keys[b]) / (len(keys[a]) + len(keys[b])) >= least):
+                x, y = (next(g for g in groups if c in g) for c in (a, b))
+                if x is not y:
+                    groups.remove(y)
+                    x |= y
+    return groups
+
+
+def test_keys_against_plain_naming(spark, sf, duck):
+    """Every key of the two queries from the step-by-step naming; a part with one name or no match gives the name."""
+    from tests.test_operators import brute_key
+
+    names = {}
+    for c, n in duck.sql("SELECT p_type, p_name || ' - ' || p_type || ' ' || p_brand || '/' || p_size FROM part").fetchall():
+        names.setdefault(c, []).append(n)
+    got = {r.cluster: r.key for r in answer(spark, sf, "cluster_keys")}
+    several = {c: brute_key(of) for c, of in names.items() if len({re.sub(r"\S*\d\S*", "<>", n) for n in of}) > 1}
+    assert len(several) > 3 and {c: got[c] for c in several} == several
+    names = {}
+    for c, n in duck.sql("SELECT p_brand, p_name FROM part").fetchall():
+        names.setdefault(c, []).append(n)
+    first = {c: brute_key(of) for c, of in names.items()}
+    assert all(first.values())
+    want = {min(g): brute_key([n for c in g for n in names[c]]) for g in similar_groups(first, 0.9)}
+    assert {r.cluster: r.key for r in answer(spark, sf, "merged_cluster_keys")} == want
+
+
 def test_keys_cover_all_clusters(spark, sf, duck):
     kinds, brands = ({r[0] for r in duck.sql(f"SELECT DISTINCT {c} FROM part").fetchall()} for c in ("p_type", "p_brand"))
     keys = answer(spark, sf, "cluster_keys")
