@@ -167,7 +167,11 @@ def score_documents(df: DataFrame, machine: Machine, id_col: str = "doc_id", tex
 
 
 def keep_good(df: DataFrame, machine: Machine, floor: float = 0.5, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The rows of ``df``, all columns as they are, whose score is at least ``floor``."""
+    """The rows of ``df``, all columns as they are, whose score is at least ``floor``.
+
+    A null text is scored as an empty one, a long one whole; repeated rows stay or go each, null ids are not
+    looked at; an empty table gives no rows; other columns pass through, whatever their names.
+    """
     weights, names = df.sparkSession.sparkContext.broadcast(machine), df.columns
 
     def run(batches):

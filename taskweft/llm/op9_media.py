@@ -274,7 +274,8 @@ def media_features(stored: DataFrame) -> DataFrame:
     Each row's bytes are sniffed; the payload is the samples of the WAV carved at offset 0.  The feature
     names the sniffed type, whether it corrects the declared one, the carved length, and each further
     item found inside the payload (a text may quote another file).  Bytes that are no WAV have a null
-    payload.
+    payload.  Null ids stay null and repeated rows are digested each; an empty table gives no rows; other
+    columns are not read.
     """
 
     @per_task
