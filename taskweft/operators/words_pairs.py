@@ -86,7 +86,7 @@ def cluster_scores(names: DataFrame, scores: DataFrame | None = None) -> DataFra
     Without ``scores`` the tokens that meet are scored by edit ratio, all of them, whatever their score.
     """
     if scores is None:
-        scores = token_scores(meeting_tokens(names))
+        scores = Scratch(names.sparkSession, "scores").cut(token_scores(meeting_tokens(names)))
     compared = F.col("tokens")
     return pair_totals(names, scores).where("members > 1").select("cluster", F.when(compared > 0, F.col("total") / compared).otherwise(0.0).alias("score"))
 

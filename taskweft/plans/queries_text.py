@@ -178,25 +178,30 @@ def _scores(t: Tables) -> DataFrame:
     return sj.edit_pairs(t.part.select(F.explode(F.split("p_name", " ")).alias("token")), "token")
 
 
+def _met_scores(t: Tables) -> DataFrame:
+    """Scores of the tokens that meet in a cluster; no other pair is asked for."""
+    return Scratch(t.spark, "scores").cut(wp.token_scores(wp.meeting_tokens(_pair_names(t))))
+
+
 @query(f"WITH {_PAIRS} SELECT cluster, round(score, 6) AS score FROM cs")
 def words_pairs_score(t):
-    return wp.cluster_scores(_pair_names(t), _scores(t)).withColumn("score", F.round("score", 6))
+    return wp.cluster_scores(_pair_names(t)).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_PAIRS} SELECT round(sum(score), 2) AS words_pairs FROM cs")
 def words_pairs_total(t):
-    return wp.run_score(wp.cluster_scores(_pair_names(t), _scores(t)))
+    return wp.run_score(wp.cluster_scores(_pair_names(t)))
 
 
 @query(f"WITH {_PAIRS} SELECT round(avg(s / n), 6) AS mean_score FROM (SELECT cluster, sum(score) AS s FROM sc GROUP BY 1) JOIN (SELECT cluster, sum(len(tokens)) AS n FROM n GROUP BY 1) USING (cluster)")
 def words_pairs_mean(t):
-    return wp.mean_cluster_score(_pair_names(t), _scores(t)).withColumn("mean_score", F.round("mean_score", 6))
+    return wp.mean_cluster_score(_pair_names(t), _met_scores(t)).withColumn("mean_score", F.round("mean_score", 6))
 
 
 @query(f"""WITH {_PAIRS}, o AS (SELECT cluster, id1, id2, x, score FROM sc UNION ALL SELECT cluster, id2, id1, y, score FROM sc), b AS (SELECT cluster, id1, id2, x, max(score) AS best FROM o GROUP BY ALL)
     SELECT cluster, round(sum(best) / count(*), 6) AS score FROM b GROUP BY 1""")
 def words_pairs_best(t):
-    return wp.max_per_token(_pair_names(t), _scores(t)).withColumn("score", F.round("score", 6))
+    return wp.max_per_token(_pair_names(t), _met_scores(t)).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT l_orderkey AS cluster, min(l_returnflag) AS name FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1")

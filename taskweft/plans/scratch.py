@@ -18,6 +18,8 @@ from threading import Lock
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Folders by application, for ``release``.
+_ROOTS: dict[str, list[str]] = {}
 _ASKED: dict[int, tuple[int, str]] = {}
 _LOCK = Lock()
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -39,6 +41,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def release(spark: SparkSession) -> int:
+    """Delete all scratch tables of this session; how many folders went.
+
+    For long sessions: call it once the frames that queries returned have been read, as they read those tables.
+    """
+    paths = _ROOTS.pop(spark.sparkContext.applicationId, [])
+    for root in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 @contextmanager
 def small_batches(spark: SparkSession):
     """Small Arrow batches until the last of the threads that ask for them is done; then the session's own size."""
@@ -60,7 +74,7 @@ def small_batches(spark: SparkSession):
 class Scratch:
     """Tables of one operator run. ``cut`` writes and re-reads, ``drop`` removes what is no longer read.
 
-    Tables that still feed the returned (lazy) DataFrame are removed when the driver's JVM ends.
+    Tables that still feed the returned (lazy) DataFrame are removed by ``release`` or when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -69,6 +83,7 @@ class Scratch:
         #: Each written table's frame, held so that its identity stays its own, and its folder.
         self.paths: dict[int, tuple[DataFrame, str]] = {}
         self._n = 0
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
         path = self._path(self.root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 

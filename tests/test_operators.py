@@ -461,3 +461,15 @@ def test_batch_size_comes_back(spark):
     assert spark.conf.get(key) == "1000"
     second.__exit__(None, None, None)
     assert spark.conf.get(key) == own
+
+
+def test_release(spark):
+    """Tables of the session go when the caller says so; later ones are made as before."""
+    from taskweft.plans import scratch
+
+    one = Scratch(spark, "gone")
+    kept = one.cut(spark.range(5))
+    assert kept.count() == 5 and scratch.release(spark) >= 1 and scratch.release(spark) == 0
+    path = spark._jvm.org.apache.hadoop.fs.Path(one.root)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert Scratch(spark, "next").cut(spark.range(3)).count() == 3
