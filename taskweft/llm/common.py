@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def map_rows(df: DataFrame, schema: str, fn: Callable, slice_rows: int = 512) -> DataFrame:
@@ -33,6 +34,19 @@ def map_rows(df: DataFrame, schema: str, fn: Callable, slice_rows: int = 512) ->
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for frames whose columns may bear any name: columns go by their place meanwhile, as Spark's own takes dots apart."""
+    names = [f.name for f in schema.fields]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
+
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    out = plain.mapInArrow(placed, T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)]))
+    return out.toDF(*names)
+
+
 def per_task(fn: Callable) -> Callable:
     fn.per_task = True
     return fn

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from taskweft.llm.common import map_rows, per_task
+from taskweft.llm.common import map_batches, map_rows, per_task
 from taskweft.llm.op4_quality import SAMPLE_ROWS, labelled_sample
 from taskweft.llm.text_features import LEVELS, STATS, structure_ids, word_list
 from taskweft.plans.scratch import Scratch
@@ -318,4 +318,4 @@ def mix(df: DataFrame, model: DomainModel, weights: dict[str, float], total: flo
                 copies = copies_of(s.rates(p), np.array(draws, dtype=float))
                 yield part.take(pa.array(np.repeat(np.arange(len(copies)), copies if repeat else np.minimum(copies, 1))))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from taskweft.llm.common import map_rows, per_task
+from taskweft.llm.common import map_batches, map_rows, per_task
 from taskweft.llm.text_features import LEVELS, STATS, Buckets, structure_ids, word_buckets, word_list
 
 #: Bound of the sample that is fitted: labelled rows, those with the smallest hash of their id.
@@ -182,4 +182,4 @@ def keep_good(df: DataFrame, machine: Machine, floor: float = 0.5, text_col: str
                 chars = part.column(names.index(chars_col)).to_pylist() if chars_col in names else [None] * part.num_rows
                 yield part.filter(pa.array(score(part.column(names.index(text_col)).to_pylist(), chars) >= floor))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from taskweft.llm.common import map_rows, per_task
+from taskweft.llm.common import map_batches, map_rows, per_task
 
 MARK = "▁"
 #: Words whose ids a worker remembers; the memo is emptied when it holds more.
@@ -278,7 +278,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", ids_co
                 lists = id_lists([encode(t or "") for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, lists.value_lengths().cast(pa.int64())], names=[*names, ids_col, count_col])
 
-    return df.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
+    return map_batches(df.select(*(F.col(f"`{n}`") for n in names)), run, schema)
 
 
 def decode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "piece_ids") -> DataFrame:
