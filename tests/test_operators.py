@@ -146,9 +146,10 @@ def test_leaders(spark):
         lead = next((x for x in leaders if 0.7 < SequenceMatcher(None, x, n).ratio() < 1), None)
         leaders += [] if lead else [n]
         want[n] = lead or n
-    for block in (2, 100):
-        got = sj.leader_clusters(spark.createDataFrame([(n,) for n in names], "n string"), "n", 0.7, 1.0, block)
-        assert {r.name: r.leader for r in got.collect()} == want
+    rounds = []
+    got = sj.leader_clusters(spark.createDataFrame([(n,) for n in names], "n string"), "n", 0.7, 1.0, rounds).collect()
+    assert len(got) == len(want) and {r.name: r.leader for r in got} == want
+    assert rounds[0] == len(want) and all(p > q for p, q in zip(rounds, rounds[1:], strict=False)) and len(rounds) < len(want)
     assert sj.leader_clusters(spark.createDataFrame([(None,)], "n string"), "n").count() == 0
 
 
