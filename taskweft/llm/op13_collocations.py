@@ -4,9 +4,11 @@ Levels go from words to phrases of three words.  A level's candidates are Aprior
 has to be frequent, and so has the bucket that its key falls into; both tests can pass too much, never too
 little.
 
-* Mappers cut texts into words, number them, count the windows of a slice with numpy, and send each window's
-  96-bit key with its count to the segment of its key.  The frequent parts are known to them as a bit field
-  of bounded size (``FILTER_BITS``): beyond that many keys it lets more pass, and only the shuffle grows.
+* Texts are cut into words and numbered once; the numbers are written, a row for each slice, and every level
+  reads them.
+* Mappers count the windows of a slice with numpy, and send each window's 96-bit key with its count to the
+  segment of its key.  The frequent parts are known to them as a bit field of bounded size
+  (``FILTER_BITS``): beyond that many keys it lets more pass, and only the shuffle grows.
 * A segment's task bincounts buckets, builds a minimal perfect hash over the keys of full buckets, looks up
   every entry, verifies the key stored in its slot, and bincounts by slot, array by array; the arrays are
   summed as a tree.  There is a segment for each ``SEGMENT_BYTES`` of text, so its memory is bounded, and a
@@ -34,6 +36,8 @@ FILTER_BITS, BITS_A_KEY = 1 << 27, 16
 SEGMENT_BYTES = 6_000_000
 #: Word places that a mapper holds before it counts, and bytes that it cuts at once.
 SLICE_WORDS, CUT_BYTES = 1_000_000, 3_000_000
+#: Slices in a file of the numbered table: a reader decodes a file's rows together.
+SLICES_A_FILE = 4
 #: Longest phrase.
 WORDS = 3
 
@@ -193,9 +197,9 @@ def _cut(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def slices(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[tuple[str, np.ndarray, Words, tuple[np.ndarray, np.ndarray]]]:
-    """(lang, ids, words, lanes): numbered words of slices; a language's next slice begins with the last ``levels - 1`` words of the one before."""
-    words, held, waiting, size, here = Words(), {}, {}, 0, 0
+def number_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, dict[str, tuple[np.ndarray, int]]]]:
+    """(words, {lang: (ids, carried)}): numbered words of slices; a language's next slice begins with the last words, ``carried`` in number, of the one before."""
+    words, held, carried, waiting, size, here = Words(), {}, {}, {}, 0, 0
 
     def number():
         nonlocal size, here
@@ -208,15 +212,14 @@ def slices(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[tuple[str
 
     def flush():
         nonlocal words, size
-        both = lanes(words.raw)
-        tails = {}
-        for lang, arrays in held.items():
-            ids = np.concatenate(arrays)
-            yield lang, ids, words, both
-            tails[lang] = [words.raw[i - 1] if i else STOP for i in ids[max(0, len(ids) - levels + 1) :]]
+        found = {lang: (np.concatenate(arrays), carried.get(lang, 0)) for lang, arrays in held.items()}
+        yield words, found
+        tails = {lang: [words.raw[i - 1] if i else STOP for i in ids[max(0, len(ids) - WORDS + 1) :]] for lang, (ids, _) in found.items()}
         words, size = Words(), 0
         held.clear()
         held.update({lang: [np.array([words[w] for w in tail], np.int64)] for lang, tail in tails.items() if any(w != STOP for w in tail)})
+        carried.clear()
+        carried.update({lang: len(tail) for lang, (tail,) in held.items()})
 
     for batch in batches:
         for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -232,19 +235,59 @@ def slices(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[tuple[str
     yield from flush()
 
 
-def _entries(texts: DataFrame, level: int, segments: int, bits) -> DataFrame:
+def of_level(words: list[bytes], found: dict[str, tuple[np.ndarray, int]], level: int) -> Iterator[tuple[str, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """(lang, ids, lanes) of a slice, with no more carried words than windows of ``level`` words need."""
+    both = lanes(words)
+    for lang, (ids, carried) in found.items():
+        yield lang, ids[max(0, carried - level + 1) :], both
+
+
+def slices(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[tuple[str, np.ndarray, Words, tuple[np.ndarray, np.ndarray]]]:
+    """(lang, ids, words, lanes): slices of texts for windows of ``level`` words, numbered and read at once."""
+    for words, found in number_slices(batches):
+        for lang, ids, both in of_level(words.raw, found, level):
+            yield lang, ids, words, both
+
+
+def packed(words: Words, found: dict[str, tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    """A slice as a row (words, lang, ids, carried)."""
+    ids, carried = [x.astype(np.int32).tobytes() for x, _ in found.values()], [n for _, n in found.values()]
+    return pa.RecordBatch.from_arrays([pa.array([b" ".join(words.raw)], pa.binary()), pa.array([list(found)], pa.list_(pa.string())), pa.array([ids], pa.list_(pa.binary())), pa.array([carried], pa.list_(pa.int32()))], names=["words", "lang", "ids", "carried"])
+
+
+def _numbered(texts: DataFrame) -> DataFrame:
+    """(words, lang, ids, carried): a row for each slice, so that all levels read numbers and texts are cut once."""
+
+    def run(batches):
+        for words, found in number_slices(batches):
+            yield packed(words, found)
+
+    return texts.mapInArrow(run, "words binary, lang array<string>, ids array<binary>, carried array<int>")
+
+
+def read_slices(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[tuple[str, np.ndarray, list[bytes], tuple[np.ndarray, np.ndarray]]]:
+    """(lang, ids, words, lanes) of the slices of a numbered table."""
+    for batch in batches:
+        for words, langs, ids, carried in zip(*batch.columns, strict=True):
+            names = words.as_py().split(b" ")
+            found = {lang.as_py(): (np.frombuffer(x.as_py(), np.int32).astype(np.int64), n.as_py()) for lang, x, n in zip(langs, ids, carried, strict=True)}
+            for lang, numbers, both in of_level(names, found, level):
+                yield lang, numbers, names, both
+
+
+def _entries(numbered: DataFrame, level: int, segments: int, bits) -> DataFrame:
     """(segment, a, b, n): packed keys and counts of a slice's windows."""
 
     def run(batches):
         field = None if bits is None else np.frombuffer(bits.value, np.uint8)
-        for lang, ids, _, both in slices(batches, level):
+        for lang, ids, _, both in read_slices(batches, level):
             parts, n = windows(ids, level, lang, both, field)
             a, b = keys(lang, parts, both)
             if level == 1:  # the language's own key counts all words
                 own = keys(lang, [], both)
                 a, b, n = np.append(a, own[0]), np.append(b, own[1]), np.append(n, n.sum())
-            to = (a % _U(segments)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            to = (a % _U(segments)).astype(np.int32)
+            order = np.argsort(to)
             a, b, n, to = a[order], b[order], n[order].astype(np.uint32), to[order]
             starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
             ends = [*starts[1:], len(to)]
@@ -252,7 +295,7 @@ def _entries(texts: DataFrame, level: int, segments: int, bits) -> DataFrame:
                 rows = [slice(s, e) for s, e in zip(starts[at : at + 16], ends[at : at + 16], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(to[starts[at : at + 16]], pa.int32()), *(pa.array([v[r].tobytes() for r in rows], pa.binary()) for v in (a, b, n))], names=["segment", "a", "b", "n"])
 
-    return texts.mapInArrow(run, "segment int, a binary, b binary, n binary")
+    return numbered.mapInArrow(run, "segment int, a binary, b binary, n binary")
 
 
 def _counted(entries: DataFrame, least: int) -> DataFrame:
@@ -287,13 +330,13 @@ def _filter(counts: DataFrame) -> object:
     return spark.sparkContext.broadcast(bytes(field))
 
 
-def _named(texts: DataFrame, bits) -> DataFrame:
+def _named(numbered: DataFrame, bits) -> DataFrame:
     """(lang, phrase): phrases of two words or more whose keys may be frequent."""
 
     def run(batches):
         field = np.frombuffer(bits.value, np.uint8)
-        for lang, ids, words, both in slices(batches, WORDS):
-            raw = [STOP, *words.raw]
+        for lang, ids, words, both in read_slices(batches, WORDS):
+            raw = [STOP, *words]
             live = [np.zeros(len(ids), bool) for _ in range(WORDS + 1)]
             for level in range(2, WORDS + 1):
                 if len(ids) < level:
@@ -317,7 +360,7 @@ def _named(texts: DataFrame, bits) -> DataFrame:
                     part = names[k : k + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string())], names=["lang", "phrase"])
 
-    return texts.mapInArrow(run, "lang string, phrase string").distinct()
+    return numbered.mapInArrow(run, "lang string, phrase string").distinct()
 
 
 def _parts(named: DataFrame) -> DataFrame:
@@ -370,20 +413,22 @@ def collocations(df: DataFrame, least: int = 10, top: int | None = 2000, share:
     texts = df.select(F.coalesce(col(lang_col), F.lit("und")).alias("lang"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     segments = max(64, -(-size // SEGMENT_BYTES))
+    numbered = scratch.cut(_numbered(texts), per_file_rows=SLICES_A_FILE)
     levels, bits = [], None
     for level in range(1, WORDS + 1):
-        levels.append(scratch.cut(_counted(_entries(texts, level, segments, bits), least)))
+        levels.append(scratch.cut(_counted(_entries(numbered, level, segments, bits), least)))
         if level < WORDS:
             bits = _filter(levels[-1])
     long = levels[1].unionByName(levels[2])
     counts = levels[0].unionByName(long)
-    named = _named(texts, _filter(long))
+    named = _named(numbered, _filter(long))
     asked = _parts(named)
     read = asked.join(counts, ["a", "b"]).groupBy("lang", "phrase", "words").agg(*(F.max(F.when(F.col("role") == x, F.col("f"))).alias(x) for x in ("f", "l1", "r1", "l2", "r2"))).where("f is not null")
     d = lambda c: F.col(c).cast("decimal(19,0)")
     scored = read.withColumns({f"s{k}": F.expr(f"(1000000 * (cast(f as decimal(19,0)) * cast(f as decimal(19,0)))) div (cast(l{k} as decimal(19,0)) * cast(r{k} as decimal(19,0)))") for k in (1, 2)})
     cut = lambda k: F.struct(F.col(f"s{k}").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))
     worst = scratch.cut(scored.withColumn("worst", F.when(F.col("words") == 2, cut(1)).otherwise(F.least(cut(1), cut(2)))))
+    scratch.drop(numbered)
     triple = worst.where("words = 3").withColumn("w", F.split("phrase", " "))
     inside = triple.select("lang", "f", F.explode(F.array(F.struct(F.array_join(F.slice("w", 1, 2), " ").alias("p"), F.col("l2").alias("of")), F.struct(F.array_join(F.slice("w", 2, 2), " ").alias("p"), F.col("r1").alias("of")))).alias("x"))
     covered = inside.where(F.col("f") * 100 >= F.col("x.of") * share).select("lang", F.col("x.p").alias("phrase")).distinct()

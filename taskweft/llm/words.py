@@ -23,11 +23,15 @@ class Words(dict):
         return number
 
     def number(self, text: bytes) -> np.ndarray:
-        """The numbers of a portion's words; Arrow cuts and groups them, so Python sees distinct words only."""
+        """The numbers of a portion's words; Arrow cuts and groups them, so Python sees distinct words only, new ones at once."""
         text = text.replace(STOP, b" ! ").strip(b" ")
         if not text:
             return np.zeros(0, np.int64)
         whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text)])
         found = pc.ascii_split_whitespace(whole).values.dictionary_encode()
-        distinct = found.dictionary.cast(pa.large_binary()).to_pylist()
+        one = pa.LargeListArray.from_arrays(pa.array([0, len(found.dictionary)], pa.int64()), found.dictionary)
+        distinct = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_buffer().to_pybytes().split(b" ")
+        new = [word for word in distinct if word not in self]
+        self.update(zip(new, range(len(self.raw) + 1, len(self.raw) + len(new) + 1), strict=True))
+        self.raw += new
         return np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[found.indices.to_numpy()]

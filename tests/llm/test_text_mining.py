@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from taskweft.llm import op11_licenses as licenses, op12_divergence as divergence, op13_collocations as phrases
 from taskweft.llm.words import Words
@@ -92,6 +93,38 @@ def test_slices_overlap(monkeypatch):
         assert got == want
 
 
+def test_texts_are_numbered_once(spark):
+    """All levels read the written numbers: the texts are made once to measure them and once to cut them."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return "a b c. New York is big" * (i % 3)
+
+    table = spark.range(40).select(F.col("id").alias("doc_id"), text("id").alias("text"), F.lit("en").alias("lang"))
+    got = rows(phrases.collocations(table, 5))
+    assert got == plain_collocations([{"text": "a b c. New York is big" * (i % 3), "lang": "en"} for i in range(40)], 5)
+    assert got and made.value == 2 * 40
+
+
+def test_packed_slices_are_read_back(monkeypatch):
+    """What a level reads from packed slices is what cutting the texts for it gives."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "SLICE_WORDS", 7)
+    monkeypatch.setattr(phrases, "CUT_BYTES", 9)
+    rng = np.random.default_rng(4)
+    texts = [(lang, " ".join(rng.choice(["a", "bb", "c\xa0c", "d.", "!", ""], rng.integers(0, 40)))) for lang in ("en", "de", "") * 10] + [("fr", ""), ("it", "one")]
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in texts]), pa.array([t.encode() for _, t in texts])], names=["lang", "text"])
+    table = pa.Table.from_batches([phrases.packed(*found) for found in phrases.number_slices(iter([batch]))])
+    assert table.num_rows > 10
+    for level in (1, 2, 3):
+        plain = lambda found: [(lang, [words[i - 1] if i else None for i in ids]) for lang, ids, words, _ in found]
+        want = plain((lang, ids, words.raw, both) for lang, ids, words, both in phrases.slices(iter([batch]), level))
+        assert plain(phrases.read_slices(iter(table.to_batches(3)), level)) == want
+
+
 @pytest.mark.parametrize("size", [0, 1, 2, 5000])
 def test_slots_are_minimal_and_perfect(size):
     rng = np.random.default_rng(size)
@@ -119,6 +152,14 @@ def test_numbers_match_split():
     assert [words.raw[i - 1] if i else b"!" for i in ids] == text.replace(b"!", b" ! ").split(b" ") or [words.raw[i - 1] if i else b"!" for i in ids] == [w for w in text.split(b" ") if w]
 
 
+def test_new_words_are_numbered_at_once(monkeypatch):
+    """No call in Python for each new word, numbers by first place over portions."""
+    monkeypatch.delattr(Words, "__missing__")
+    words = Words()
+    got = [words.number(t).tolist() for t in (b"b a b!c", b"", b" ", b"c \xc3\xa9 a ! \xff b")]
+    assert got == [[1, 2, 1, 0, 3], [], [], [3, 4, 2, 0, 5, 1]] and words.raw == [b"b", b"a", b"c", b"\xc3\xa9", b"\xff"]
+
+
 # divergence
 
 
