@@ -3,6 +3,7 @@ from difflib import SequenceMatcher
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -195,6 +196,33 @@ def test_ward_in_rounds(spark):
     assert leaves.step.tolist() == list(range(len(x) - 1)) and leaves.height.is_monotonic_increasing and leaves.leaves.iloc[-1] == len(x)
 
 
+def test_ward_rounds_with_ties(spark):
+    """On a grid most costs are equal: a round still merges many pairs, and the heights add up to twice the sum of squares."""
+    x = np.array([[i, j] for i in range(9) for j in range(9)], float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    rounds = []
+    merges = ward.ward_merges(df, in_one_task=8, block=32, rounds=rounds).toPandas()
+    assert len(merges) == 80 and merges.b.is_unique and len(rounds) < 20
+    assert merges.height.sum() == pytest.approx(2 * ((x - x.mean(axis=0)) ** 2).sum())
+    alone = sorted(ward.merge_rounds(x, np.ones(81), 8))
+    assert [m[:2] for m in alone] == sorted(zip(merges.a, merges.b, strict=True)) and sorted(h for _, _, h, _ in alone) == pytest.approx(sorted(merges.height))
+
+
+@pytest.mark.parametrize("kind", ["even", "weighted", "far", "large", "ties"])
+def test_nearest_rows(kind):
+    """The screening by matrix products loses no nearest row, ties included."""
+    rng = np.random.default_rng(8)
+    x = {"far": rng.normal(size=(90, 4)) + 1e6, "large": rng.normal(size=(90, 4)) * 1e25, "ties": rng.integers(0, 3, (90, 3)).astype(float)}.get(kind, rng.normal(size=(90, 5)))
+    w = rng.integers(1, 9, 90).astype(float) if kind == "weighted" else np.ones(90)
+    ids = 2 * np.arange(90) + 5
+    cost, tie, nn = ward.nearest_rows(ids[::3], x[::3], w[::3], ids, x, w)
+    for i in range(30):
+        each = np.array([ward._costs(x[[3 * i]], w[[3 * i]], x[[j]], w[[j]])[0] if j != 3 * i else np.inf for j in range(90)])
+        ties = ward._tie(np.full(90, ids[3 * i]), ids)
+        j = min(np.flatnonzero(each == each.min()), key=lambda j: ties[j])
+        assert (cost[i], tie[i], nn[i]) == (each[j], ties[j], ids[j])
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(6)
     rows = [(g, v) for g, n in (("a", 1), ("b", 10), ("c", 57), (None, 8)) for v in rng.integers(0, 9, n).tolist()] + [("a", None), ("d", None)]
