@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -49,7 +50,13 @@ def run(tasks: DataFrame, vectors: DataFrame, config: Config = Config(), token_v
     scores = scratch.cut(words_pairs.token_scores(words_pairs.meeting_tokens(together), token_vectors))
     planned = tasks.select("id", "planned_days")
     widths = scratch.cut(cm.run_silhouettes(vectors, labels).groupBy("k").agg(F.avg("silhouette").alias("silhouette")))
-    rows = [score_run(k, labels.where(F.col("k") == k).select("id", "label").join(vectors, "id"), planned, names, scores, width, widths.where(F.col("k") == k).select("silhouette")) for k in ks]
+
+    def score(k: int) -> DataFrame:
+        of = labels.where(F.col("k") == k).select("id", "label").join(vectors, "id")
+        return Scratch(tasks.sparkSession, "score").cut(score_run(k, of, planned, names, scores, width, widths.where(F.col("k") == k).select("silhouette")))
+
+    with ThreadPoolExecutor(min(4, len(ks)) or 1) as some:  # small jobs of several runs beside each other
+        rows = list(some.map(score, ks))
     runs = rows[0]
     for r in rows[1:]:
         runs = runs.unionByName(r)

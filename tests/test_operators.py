@@ -421,6 +421,25 @@ def test_silhouettes_of_runs(spark):
     assert alone.silhouette.tolist() == pytest.approx(plain_silhouettes(x, labels[5]))
 
 
+def test_silhouettes_leave_the_task_as_minima(spark, monkeypatch):
+    """Nested clusterings: what leaves the comparison is a few rows for each vector and k, not one for each label; copies in several clusters are at 0."""
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(240, 3))
+    fine = rng.permutation(240) // 3
+    labels = {20: fine // 4, 80: fine}
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    runs = spark.createDataFrame([(k, i, int(v)) for k, of in labels.items() for i, v in enumerate(of)], "k int, id long, label int")
+    cut, met = cm.Scratch.cut, []
+    monkeypatch.setattr(cm.Scratch, "cut", lambda self, df, *a, **b: [out := cut(self, df, *a, **b), met.append(out.count()) if "other" in df.columns else 0][0])
+    got = cm.run_silhouettes(vectors, runs, block=40).toPandas()
+    assert len(met) == 1 and met[0] <= 240 * 2 * 12
+    for k, of in labels.items():
+        assert got[got.k == k].sort_values("id").silhouette.tolist() == pytest.approx(plain_silhouettes(x, of))
+    copies = spark.createDataFrame([(i, [5.3, 0.1 + i // 20]) for i in range(40)], "id long, vec array<double>")
+    split = spark.createDataFrame([(4, i, i // 10) for i in range(40)], "k int, id long, label int")
+    assert [r.silhouette for r in cm.run_silhouettes(copies, split, block=16).collect()] == [0.0] * 40
+
+
 def test_run(spark):
     rng = np.random.default_rng(5)
     kinds = ["dig trench", "lay cable", "test pump"]
