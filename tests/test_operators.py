@@ -223,6 +223,17 @@ def test_nearest_rows(kind):
         assert (cost[i], tie[i], nn[i]) == (each[j], ties[j], ids[j])
 
 
+def test_leaves_of_many_rows(spark):
+    """6,000 rows make no rounds of written tables and no matrix of all pairs, and the merges are those of the matrix."""
+    x = np.random.default_rng(9).normal(size=(6000, 3))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(6000), "vec": x.tolist()}), "id long, vec array<double>")
+    rounds, one = [], ward.merge_list(x)
+    merges = ward.ward_merges(df, rounds=rounds).toPandas().sort_values(["height", "a", "b"])
+    assert rounds == [] and [(m[0], m[1], m[3]) for m in one] == list(zip(merges.a, merges.b, merges["size"], strict=True))
+    leaves = ward.leaf_counts(df).toPandas().sort_values("step")
+    assert leaves.height.tolist() == pytest.approx([m[2] for m in one]) and leaves.leaves.tolist() == [m[3] for m in one]
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(6)
     rows = [(g, v) for g, n in (("a", 1), ("b", 10), ("c", 57), (None, 8)) for v in rng.integers(0, 9, n).tolist()] + [("a", None), ("d", None)]
